@@ -272,8 +272,9 @@ _VEC = "SELECT query AS query_id, doc AS vec_id, round(score, 6) AS score, rank:
 _TITLE_STOP = ("what when where which who whom this that with from under into over after than about other some such only "
                "same have been made each more then them these their there does tell explain give details provision "
                "provisions part court section order test title").split()
-_TITLE_SQL = ("list_filter(list_transform(regexp_extract_all(lower(section_title), '\\b[a-z]{4,}\\b'), w -> w), "
-              "w -> NOT list_contains([" + ", ".join(f"'{w}'" for w in _TITLE_STOP) + "], w))")
+_TITLE_SQL = ("list_filter(regexp_extract_all(lower(section_title), '[\\p{L}\\p{N}_]+'), "
+              "lambda w: regexp_full_match(w, '[a-z]{4,}') AND NOT list_contains(["
+              + ", ".join(f"'{w}'" for w in _TITLE_STOP) + "], w))")
 
 RERANK_CTES = {
     "fused": f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY {RRF_ORDER}) AS prior FROM ({RRF_SQL}) QUALIFY prior <= 10",
@@ -320,7 +321,7 @@ SQL = {
     "tokenize_sections": _with(turns=TURNS_SQL) + r"""
 SELECT query_id, array_to_string(list_concat(list_concat(regexp_extract_all(t, '[a-z0-9]+'),
     flatten(list_transform(regexp_extract_all(t, '(?:section|sec\.?|s\.)\s*([0-9]+[a-z]*)', 1),
-      n -> ['s' || n, 'sec' || n, 'section' || n, n]))), regexp_extract_all(t, '\b[a-z0-9]+-[a-z0-9]+\b')), ' ') AS tokens
+      lambda n: ['s' || n, 'sec' || n, 'section' || n, n]))), regexp_extract_all(t, '\b[a-z0-9]+-[a-z0-9]+\b')), ' ') AS tokens
 FROM (SELECT query_id, lower(query_text) AS t FROM turns)""",
     "corpus_stats": f"SELECT count(*) AS n_docs, round(avg(len({DOC_TOKENS_SQL})), 6) AS avgdl FROM documents",
     "corpus_stats_by_language": f"SELECT lang, count(*) AS n_docs, round(avg(len({DOC_TOKENS_SQL})), 6) AS avgdl FROM documents GROUP BY lang",
@@ -361,7 +362,7 @@ SELECT query AS item_id, doc AS doc_id, round(raw::DOUBLE, 4) AS raw_score, roun
 WHERE length(word) > 1 GROUP BY word HAVING count(*) >= 3""",
     "multilingual_flag": r"""WITH words AS (SELECT word FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents WHERE lang = 'en')
   WHERE length(word) > 1 GROUP BY word HAVING count(*) >= 3),
-asked AS (SELECT conv_id * 1000 + turn AS query_id, text, list_filter(regexp_extract_all(lower(text), '[a-z]+'), w -> length(w) > 1) AS ws FROM conversations),
+asked AS (SELECT conv_id * 1000 + turn AS query_id, text, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 1) AS ws FROM conversations),
 known AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, unnest(ws) AS word FROM asked) JOIN words USING (word) GROUP BY query_id)
 SELECT query_id, trim(text) <> '' AND (regexp_matches(text, '[^\x00-\x7F]') OR (len(ws) > 0 AND (len(ws) - coalesce(n, 0)) / greatest(len(ws), 1) >= 0.3)) AS is_multilingual
 FROM asked LEFT JOIN known USING (query_id)""",

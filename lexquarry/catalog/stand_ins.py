@@ -106,7 +106,7 @@ FROM (SELECT *, num <> '' AND words <= 15 AND NOT rejected AS ok FROM (
     regexp_extract(q, '(?i)(?:section|sec\.?|s\.)\s*([0-9]+[a-z]?)(?:\s*\(([0-9]+[a-z]?)\))?', 1) AS num,
     regexp_extract(q, '(?i)(?:section|sec\.?|s\.)\s*([0-9]+[a-z]?)(?:\s*\(([0-9]+[a-z]?)\))?', 2) AS sub,
     upper(regexp_extract(q, '(?i)\b(BNS|BNSS|Bharatiya\s+Nyaya\s+Sanhita|Bharatiya\s+Nagarik\s+Suraksha\s+Sanhita)\b', 1)) AS named,
-    len(list_filter(regexp_split_to_array(q, '\s+'), w -> w <> '')) AS words,
+    len(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '')) AS words,
     regexp_matches(q, '(?i)\b(?:difference\s+between|compare|distinction\s+between)\b')
       OR regexp_matches(q, '(?i)(?:section|sec\.?|s\.)\s*[0-9]+\s+(?:and|vs\.?|versus|or)\s+(?:section|sec\.?|s\.)\s*[0-9]+')
       OR regexp_matches(q, '(?i)\bhow\s+many\s+sections\b') AS rejected
