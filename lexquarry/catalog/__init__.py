@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["search", "structure"]
+AREAS = ["search", "structure", "evidence"]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
