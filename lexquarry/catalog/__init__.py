@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["search", "structure", "evidence", "corpus"]
+AREAS = ["search", "structure", "evidence", "corpus", "answers"]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -363,7 +363,10 @@ def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
 
 def job_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as job events: a user's job is updated, cancelled and finalised over and over."""
-    e = table(spark, folder, "events")
+    return job_events_of(table(spark, folder, "events"))
+
+
+def job_events_of(e: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_id") % 41 == 0, "cancel").when(F.col("event_id") % 17 == 0, "finalize").otherwise("update")
     status = F.when(F.col("event_id") % 97 == 0, "FAILED").when(F.col("event_type") == "click", "PROCESSING").when(F.col("event_type") == "signup", "PENDING")
     update = kind == "update"
@@ -455,7 +458,8 @@ def _forms(*names: str) -> str:
 _ALL_FORMS = tuple(FORM_CTES)
 _CONF = """0.20e0 * CASE WHEN form_number BETWEEN 1 AND 58 THEN 1.0e0 ELSE 0.0e0 END + 0.30e0 * CASE WHEN length(form_title) >= 10 AND NOT starts_with(lower(form_title), 'form') THEN 1.0e0 WHEN length(form_title) >= 3 THEN 0.85e0 ELSE 0.2e0 END
   + 0.25e0 * CASE WHEN length(trim(raw_text)) >= 150 THEN 1.0e0 WHEN length(trim(raw_text)) >= 50 THEN 0.85e0 ELSE 0.3e0 END + 0.15e0 * CASE WHEN len(applicable_sections) > 0 THEN 1.0e0 ELSE 0.8e0 END + 0.10e0 * CASE WHEN n_parts > 0 THEN 1.0e0 ELSE 0.7e0 END"""
-_CONF = f"round(({_CONF})::DOUBLE, 2)"
+# the decimal keeps a double just below a half from being rounded up
+_CONF = f"round(({_CONF})::DOUBLE::VARCHAR::DECIMAL(20, 17), 2)::DOUBLE"
 _REVIEW = f"({_CONF} < 0.85 OR length(trim(raw_text)) < 50)"
 _SLUG = r"""array_to_string(list_transform(string_split(form_title, ' '), lambda w, i: CASE WHEN i = 1 OR NOT list_contains(['of', 'the'], lower(w)) THEN upper(w[1]) || lower(w[2:]) ELSE lower(w) END), '-')"""
 _GOLD = {"golden": GOLDEN_SQL, **bm25_ctes(), "hits": bm25_top(10)}
