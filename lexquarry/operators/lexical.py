@@ -48,22 +48,28 @@ def _raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
-def term_idf(tokens: DataFrame, by: list[str] | None = None, params: Bm25 = Bm25()) -> DataFrame:
+def _with_raw_idf(df: DataFrame, tokens: DataFrame, by: list[str]) -> DataFrame:
+    if by:
+        return df.join(corpus_stats(tokens, by).select(*by, "n_docs"), by).withColumn(
+            "raw", _raw_idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
+    return df.withColumn("raw", _raw_idf(corpus_stats(tokens).select("n_docs").scalar(), F.col("df")))
+
+
+def term_idf(tokens: DataFrame, by: list[str] | None = None, params: Bm25 = Bm25(), df: DataFrame | None = None) -> DataFrame:
     """(by..., term, df, idf).
 
-    Terms with a negative idf get epsilon times the mean raw idf of all distinct terms.
+    Terms with a negative idf get epsilon times the mean raw idf of all distinct
+    terms.  ``df`` may give the document frequencies of the terms of interest,
+    when a caller has counted them already; the mean is over all terms still.
     """
     by = by or []
-    df = document_frequencies(tokens, by)
+    every = _with_raw_idf(document_frequencies(tokens, by), tokens, by)
+    raw = every if df is None else _with_raw_idf(df, tokens, by)
     if by:
-        raw = df.join(corpus_stats(tokens, by), by).withColumn("raw", _raw_idf(F.col("n_docs"), F.col("df")))
-        mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean_idf"))
-        raw = raw.join(mean, by)
+        raw = raw.join(every.groupBy(*by).agg(F.avg("raw").alias("mean_idf")), by)
         mean_idf: Column = F.col("mean_idf")
     else:
-        n = corpus_stats(tokens).select("n_docs").scalar()
-        raw = df.withColumn("raw", _raw_idf(n, F.col("df")))
-        mean_idf = raw.agg(F.avg("raw")).scalar()
+        mean_idf = every.agg(F.avg("raw")).scalar()
     floor = F.lit(params.epsilon) * mean_idf
     return raw.select(*by, "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
@@ -101,21 +107,25 @@ def bm25_scores(
     """
     by = by or []
     tokens = tokenized(docs, doc, text, tokenizer, by)
-    idf = term_idf(tokens, by, params)
     asked = query_terms(queries, query, query_text, tokenizer, by)
     small = fits(asked, broadcast_rows)
-
     wanted = asked.select(*by, "term").distinct()
-    weighted = asked.join(idf.join(F.broadcast(wanted) if small else wanted, [*by, "term"], "left_semi"),
-                          [*by, "term"])
-    pool = docs.where(where) if where is not None else docs
-    hits = tokenized(pool, doc, text, tokenizer, by).select(*by, doc, "dl", F.explode("tokens").alias("term"))
-    if small:
-        hits = hits.join(F.broadcast(wanted), [*by, "term"], "left_semi").repartition(doc)
+
+    def counted(pool: DataFrame) -> DataFrame:
+        # the outer explode keeps Spark from cutting the tokens a second time for an emptiness test
+        hits = tokenized(pool, doc, text, tokenizer, by).select(*by, doc, "dl", F.explode_outer("tokens").alias("term"))
+        if small:
+            hits = hits.join(F.broadcast(wanted), [*by, "term"], "left_semi").repartition(doc)
+        else:
+            hits = hits.join(wanted, [*by, "term"], "left_semi")
+        return hits.groupBy(*by, doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+    postings = counted(docs if where is None else docs.where(where))
+    if where is None:
+        df = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     else:
-        hits = hits.join(wanted, [*by, "term"], "left_semi")
-    postings = hits.groupBy(*by, doc, "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        df = document_frequencies(tokens, by).join(F.broadcast(wanted) if small else wanted, [*by, "term"], "left_semi")
+    weighted = asked.join(term_idf(tokens, by, params, df), [*by, "term"])
 
     if by:
         lengths = corpus_stats(tokens, by).select(*by, "avgdl")
