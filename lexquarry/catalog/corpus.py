@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexquarry.catalog.search import _asked, _documents, _scores, bm25_ctes, bm25_top
+from lexquarry.catalog.search import _asked, _documents, _search, bm25_ctes, bm25_top
 from lexquarry.catalog.stand_ins import PASSAGES_SQL, passages, table
 from lexquarry.catalog.structure import _lines
 from lexquarry.functions.forms import extraction_confidence, render_markdown, render_text
@@ -297,7 +297,7 @@ def golden_set(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
-    return L.bm25_top_k(_scores(spark, folder), "item_id", "doc_id", k).select(
+    return _search(spark, folder, k).select(
         F.col("item_id").alias("query_id"), "rank", F.lit("BNS").alias("act_short"), _s(F.col("doc_id")).alias("section_number"), "score", "doc_id")
 
 
@@ -316,7 +316,7 @@ def config_compare(spark: SparkSession, folder: str) -> DataFrame:
     g = golden(spark, folder).where(~F.col("should_refuse"))
     runs = []
     for name, params in (("k1=1.5 b=0.75", L.Bm25()), ("k1=1.2 b=0.5", L.Bm25(1.2, 0.5)), ("k1=2 b=0", L.Bm25(2.0, 0.0))):
-        top = L.bm25_top_k(_scores(spark, folder, params=params), "item_id", "doc_id", 10)
+        top = _search(spark, folder, 10, params=params)
         runs.append(top.select(F.lit(name).alias("config"), F.col("item_id").alias("query_id"), "rank", F.lit("BNS").alias("act_short"),
                                _s(F.col("doc_id")).alias("section_number")))
     hits = runs[0].unionByName(runs[1]).unionByName(runs[2])

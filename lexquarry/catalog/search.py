@@ -75,6 +75,11 @@ def _scores(spark: SparkSession, folder: str, **kw) -> DataFrame:
                          "doc_id", "text", "item_id", "asked", **kw)
 
 
+def _search(spark: SparkSession, folder: str, k: int, **kw) -> DataFrame:
+    return L.bm25_search(_documents(spark, folder), _asked(spark, folder).withColumnRenamed("text", "asked"),
+                         "doc_id", "text", "item_id", "asked", k, **kw)
+
+
 def tokenize_docs(spark: SparkSession, folder: str) -> DataFrame:
     tokens = document_tokens(F.col("text"))
     return _documents(spark, folder).select(
@@ -105,16 +110,20 @@ def _top(hits: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _top(L.bm25_top_k(_scores(spark, folder), "item_id", "doc_id", 25))
+    return _top(_search(spark, folder, 25))
+
+
+def bm25_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search by the path for query tables beyond a broadcast."""
+    return _top(L.bm25_top_k(_scores(spark, folder, broadcast_rows=10), "item_id", "doc_id", 25))
 
 
 def bm25_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    scores = _scores(spark, folder, where=(F.col("lang") == "en") & (F.col("source") != "src1"))
-    return _top(L.bm25_top_k(scores, "item_id", "doc_id", 25))
+    return _top(_search(spark, folder, 25, where=(F.col("lang") == "en") & (F.col("source") != "src1")))
 
 
 def bm25_fallback_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _top(L.bm25_top_k(_scores(spark, folder), "item_id", "doc_id", 10, fallback=True))
+    return _top(_search(spark, folder, 10, fallback=True))
 
 
 def bm25_index_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +156,7 @@ def dense_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 def _both(spark: SparkSession, folder: str, k: int = 25) -> tuple[DataFrame, DataFrame]:
     dense = _dense(spark, folder, k).withColumnRenamed("query_id", "item_id").withColumnRenamed("vec_id", "doc_id")
-    return dense, L.bm25_top_k(_scores(spark, folder), "item_id", "doc_id", k)
+    return dense, _search(spark, folder, k)
 
 
 def _fused_out(hits: DataFrame) -> DataFrame:
@@ -257,7 +266,7 @@ def _mode(mode: str):
 
 QUERIES = {
     "tokenize_docs": tokenize_docs, "tokenize_sections": tokenize_sections, "corpus_stats": corpus_stats,
-    "corpus_stats_by_language": corpus_stats_by_language, "term_idf": term_idf, "bm25_topk": bm25_topk,
+    "corpus_stats_by_language": corpus_stats_by_language, "term_idf": term_idf, "bm25_topk": bm25_topk, "bm25_shuffled": bm25_shuffled,
     "bm25_filtered": bm25_filtered, "bm25_fallback_topk": bm25_fallback_topk, "bm25_index_search": bm25_index_search,
     "dense_topk": dense_topk, "dense_filtered": dense_filtered, "dense_threshold": dense_threshold,
     "rrf_fuse": rrf_fuse, "rrf_k_sweep": rrf_k_sweep, "rrf_user_order": rrf_user_order,
@@ -327,6 +336,7 @@ FROM (SELECT query_id, lower(query_text) AS t FROM turns)""",
     "corpus_stats_by_language": f"SELECT lang, count(*) AS n_docs, round(avg(len({DOC_TOKENS_SQL})), 6) AS avgdl FROM documents GROUP BY lang",
     "term_idf": _with(**bm25_ctes()) + " SELECT term, df, round(idf, 6) AS idf FROM b_idf",
     "bm25_topk": _with(**bm25_ctes(), top=bm25_top(25)) + f" {_HIT} FROM top",
+    "bm25_shuffled": _with(**bm25_ctes(), top=bm25_top(25)) + f" {_HIT} FROM top",
     "bm25_filtered": _with(**bm25_ctes("SELECT doc_id AS doc, text, lang, source FROM documents", where="t.lang = 'en' AND t.source <> 'src1'"), top=bm25_top(25)) + f" {_HIT} FROM top",
     "bm25_fallback_topk": _with(**bm25_ctes(), eff="SELECT query, doc, CASE WHEN score > 0 THEN score ELSE matches::DOUBLE END AS score FROM scores", top=bm25_top(10, "eff")) + f" {_HIT} FROM top",
     "bm25_index_search": _with(**bm25_ctes(), top=bm25_top(25)) + f" {_HIT} FROM top",

@@ -28,9 +28,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best_positions(scores: np.ndarray, ids: np.ndarray, k: int, digits: int = ORDER_DIGITS) -> np.ndarray:
     """Positions of the best k scores, ties by id; exact under ties at the cut."""
-    key = np.round(scores, ORDER_DIGITS)
+    key = np.round(scores, digits)
     if len(key) > k:
         cut = np.partition(key, len(key) - k)[len(key) - k]
         keep = np.flatnonzero(key >= cut)
@@ -118,7 +118,7 @@ def _searcher(shared, query: str, doc: str, vector: str, scope: str | None, k: i
                         s, i = s[s >= floor], i[s >= floor]
                     if best[j] is not None:
                         s, i = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], i])
-                    at = _best(s, i, k)
+                    at = best_positions(s, i, k)
                     best[j] = (s[at], i[at])
         for j, kept in enumerate(best):
             if kept is not None and len(kept[0]):

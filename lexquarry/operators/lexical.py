@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexquarry.functions.text import document_tokens
+from lexquarry.operators.dense import best_positions
 from lexquarry.operators.topk import top_k
 from lexquarry.sizing import BROADCAST_ROWS, fits, skew_join
 
@@ -163,6 +166,146 @@ def bm25_top_k(scores: DataFrame, query: str, doc: str, k: int, by: list[str] |
     return top_k(scores, [*by, query], order, k).select(*by, query, doc, "score", "rank")
 
 
+# Score cells a task holds at a time.
+CELLS = 4_000_000
+
+
+def bm25_search(
+    docs: DataFrame,
+    queries: DataFrame,
+    doc: str,
+    text: str,
+    query: str,
+    query_text: str,
+    k: int,
+    tokenizer: Tokenizer = document_tokens,
+    by: list[str] | None = None,
+    where: Column | None = None,
+    params: Bm25 = Bm25(),
+    fallback: bool = False,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """(query, doc, score, rank): best ``k`` documents per query.
+
+    While the query terms fit a broadcast, no posting is shuffled: the tokens of
+    a document stay in the task that cut them, are looked up among the query
+    terms, and are scored there as a sparse matrix product; every task keeps
+    ``k`` rows per query, and only those meet.  More query terms go through
+    ``bm25_scores``.
+    """
+    by = by or []
+    asked = query_terms(queries, query, query_text, tokenizer, by)
+    if not fits(asked, broadcast_rows):
+        scores = bm25_scores(docs, queries, doc, text, query, query_text, tokenizer, by, where, params, broadcast_rows)
+        return bm25_top_k(scores, query, doc, k, by, fallback).drop(*by)
+    tokens = tokenized(docs, doc, text, tokenizer, by)
+    stats = corpus_stats(tokens, by)
+    idf = term_idf(tokens, by, params).select(*by, "term", "idf")
+    weighted = asked.join(idf, [*by, "term"])
+    weighted = weighted.join(stats, by) if by else weighted.withColumn("avgdl", stats.select("avgdl").scalar())
+    # bounded by the check above
+    table = weighted.select(*by, "term", query, (F.col("qtf") * F.col("idf")).alias("w"), "avgdl").toArrow()
+    keys = list(zip(*[table.column(c).to_pylist() for c in [*by, "term"]]))
+    number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+    names = list(dict.fromkeys(table.column(query).to_pylist()))
+    place = {name: i for i, name in enumerate(names)}
+    spark = docs.sparkSession
+    types = {f.name: f.dataType for f in [docs.schema[doc], queries.schema[query]]}
+    schema = T.StructType([T.StructField(query, types[query]), T.StructField(doc, types[doc]),
+                           T.StructField("score", T.DoubleType())])
+    order = [F.round("score", ORDER_DIGITS).desc(), F.col(doc).asc()]
+    if not keys:
+        return top_k(spark.createDataFrame([], schema), [query], order, k)
+
+    term = np.array([number[key] for key in keys], dtype="int64")
+    sort = np.argsort(term, kind="stable")
+    avgdl = np.zeros(len(number))
+    avgdl[term] = table.column("avgdl").to_numpy()
+    shared = spark.sparkContext.broadcast((
+        names, np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(number)))]),
+        np.array([place[q] for q in table.column(query).to_pylist()], dtype="int64")[sort],
+        table.column("w").to_numpy()[sort], avgdl))
+    key_schema = T.StructType([*[docs.schema[c] for c in by], T.StructField("term", T.StringType()), T.StructField("key", T.LongType())])
+    lookup = spark.createDataFrame([(*key, i) for key, i in number.items()], key_schema)
+
+    pool = tokenized(docs if where is None else docs.where(where), doc, text, tokenizer, by)
+    stream = pool.select(*by, doc, "dl", F.explode_outer("tokens").alias("term")).join(
+        F.broadcast(lookup), [*by, "term"]).select(doc, "dl", "key")
+    hits = stream.mapInArrow(_scorer(shared, query, doc, k, params, fallback), schema)
+    return top_k(hits, [query], order, k)
+
+
+def _scorer(shared, query: str, doc: str, k: int, params: Bm25, fallback: bool):
+    def scores_of(ids: np.ndarray, code: np.ndarray, dl: np.ndarray, key: np.ndarray, best: list) -> None:
+        """Score whole documents; ``code`` numbers them from 0 in ``ids``."""
+        names, start, column, weight, avgdl = shared.value
+        pair, tf = np.unique(code * len(avgdl) + key, return_counts=True)
+        d, t = pair // len(avgdl), pair % len(avgdl)
+        length = np.zeros(len(ids))
+        length[code] = dl
+        gain = tf * (params.k1 + 1) / (tf + params.k1 * (1 - params.b + params.b * length[d] / avgdl[t]))
+        n = start[t + 1] - start[t]
+        row = np.repeat(np.arange(len(pair)), n)
+        at = start[t][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        cell = d[row] * len(names) + column[at]
+        size = len(ids) * len(names)
+        score = np.bincount(cell, weights=weight[at] * gain[row], minlength=size).reshape(len(ids), -1)
+        if fallback:
+            score = np.where(score > 0, score, np.bincount(cell, minlength=size).reshape(len(ids), -1))
+        for j in range(len(names)):
+            s = score[:, j]
+            keep = np.flatnonzero(s > 0)
+            s, i = s[keep], ids[keep]
+            if best[j] is not None:
+                s, i = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], i])
+            top = best_positions(s, i, k, ORDER_DIGITS)
+            best[j] = (s[top], i[top])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value[0]
+        most = max(1, CELLS // len(names))
+        best: list = [None] * len(names)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
+        types = None
+
+        def flush(final: bool) -> None:
+            """Score the documents held; the last one may go on in the next batch."""
+            nonlocal held, rows
+            if not held:
+                return
+            ids, dl, key = (np.concatenate(c) for c in zip(*held))
+            fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
+            heads = np.flatnonzero(fresh)
+            code = np.cumsum(fresh) - 1
+            whole = len(ids) if final else heads[-1]
+            for first in range(0, len(heads), most):
+                a = heads[first]
+                b = min(heads[first + most] if first + most < len(heads) else len(ids), whole)
+                if a < b:
+                    scores_of(ids[heads[first:first + most]][:code[b - 1] - first + 1], code[a:b] - first, dl[a:b], key[a:b], best)
+            held = [(ids[whole:], dl[whole:], key[whole:])] if whole < len(ids) else []
+            rows = len(ids) - whole
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            types = batch.schema.field(doc).type
+            ids = batch.column(doc).to_numpy(zero_copy_only=False)
+            held.append((ids.astype(str) if ids.dtype == object else ids,
+                         batch.column("dl").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)))
+            rows += batch.num_rows
+            if rows >= CELLS // 4:
+                flush(final=False)
+        flush(final=True)
+        for j, kept in enumerate(best):
+            if kept is not None and len(kept[0]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[j]] * len(kept[0])), pa.array(kept[1].tolist(), type=types), pa.array(kept[0])],
+                    names=[query, doc, "score"])
+    return run
+
+
 def build_index(docs: DataFrame, doc: str, text: str, tokenizer: Tokenizer = document_tokens,
                 params: Bm25 = Bm25()) -> dict[str, DataFrame]:
     """Index tables to write once and query many times: postings, terms, corpus."""

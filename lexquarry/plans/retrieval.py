@@ -14,7 +14,7 @@ from lexquarry.operators.dense import dense_top_k
 from lexquarry.operators.exact import exact_lookup, with_intent
 from lexquarry.operators.fusion import fuse, fuse_user
 from lexquarry.operators.language import multilingual_flags
-from lexquarry.operators.lexical import Bm25, Tokenizer, bm25_scores, bm25_top_k
+from lexquarry.operators.lexical import Bm25, Tokenizer, bm25_search
 from lexquarry.operators.rerank import attach, rerank
 from lexquarry.operators.tenancy import require_scope
 from lexquarry.operators.topk import top_k
@@ -104,10 +104,9 @@ def retrieved_documents(
                            "query_id", "query_vector", k, block_rows=config.query_block_rows)
 
     def sparse(k: int) -> DataFrame:
-        scores = bm25_scores(corpus.passages, searched, "chunk_id", "index_text", "query_id", "query_text",
-                             tokenizer, where=where, params=Bm25(config.k1, config.b, config.epsilon),
-                             broadcast_rows=config.broadcast_rows)
-        return bm25_top_k(scores, "query_id", "chunk_id", k)
+        return bm25_search(corpus.passages, searched, "chunk_id", "index_text", "query_id", "query_text", k, tokenizer,
+                           where=where, params=Bm25(config.k1, config.b, config.epsilon),
+                           broadcast_rows=config.broadcast_rows)
 
     texts = asked.select("query_id", "query_text")
     if mode == "dense":
@@ -174,10 +173,9 @@ def retrieve_user(
     dense = dense_top_k(visible, queries.where(F.col("query_vector").isNotNull()), "chunk_id", "embedding",
                         "query_id", "query_vector", config.user_dense_k, scope="scope_id",
                         block_rows=config.query_block_rows)
-    scores = bm25_scores(visible, queries, "chunk_id", "text", "query_id", "query_text", document_tokens,
-                         by=["scope_id"], params=Bm25(config.k1, config.b, config.epsilon),
-                         broadcast_rows=config.broadcast_rows)
-    sparse = bm25_top_k(scores, "query_id", "chunk_id", config.user_sparse_k, by=["scope_id"], fallback=True)
+    sparse = bm25_search(visible, queries, "chunk_id", "text", "query_id", "query_text", config.user_sparse_k,
+                         document_tokens, by=["scope_id"], params=Bm25(config.k1, config.b, config.epsilon),
+                         fallback=True, broadcast_rows=config.broadcast_rows)
     limit = max(config.user_dense_k, config.user_sparse_k)
     fused = fuse_user(dense, sparse, "query_id", "chunk_id", config.rrf_k, limit)
     few = fits(queries, config.broadcast_rows // limit)

@@ -9,8 +9,21 @@ TABLES = [
     "pages", "benchmark", "labels", "conversations",
 ]
 
+# Tables whose rows cost much work each.
+TEXT_TABLES = ["documents", "pages"]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when a scan has fewer splits than the cluster has cores.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
