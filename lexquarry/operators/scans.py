@@ -27,6 +27,8 @@ def running(
     keys = [*group, block]
     for name, value in {**sums, **lasts}.items():
         df = df.withColumn(f"_v_{name}", value)
+    # both branches below start from this exchange, so the rows before it are computed once
+    df = df.repartition(*keys)
     inner = W.partitionBy(*keys).orderBy(*order).rowsBetween(*FIRST_TO_HERE)
     inside = df
     for name in sums:

@@ -33,21 +33,23 @@ def is_table_head(line: Column) -> Column:
     return out
 
 
-def offence_fields(text: Column) -> dict[str, Column]:
-    """Offence, punishment, classification and court of one row's text."""
-    court = F.coalesce(*[F.nullif(strip_chars(F.regexp_extract(text, f"(?i){c}", 0), " ."), F.lit("")) for c in COURTS],
-                       F.lit("Court of Session"))
+def offence_fields(text: Column, low: Column) -> dict[str, Column]:
+    """Offence, punishment, classification and court of one row's text; ``low`` is the text in lower case."""
+    court = F.lit("Court of Session")
+    for name in reversed(COURTS):
+        at = F.locate(name.lower(), low)
+        court = F.when(at > 0, strip_chars(F.substring(text, at, F.lit(len(name))), " .")).otherwise(court)
     before = F.regexp_extract(text, rf"(?s)^(.*?){PENALTY}", 1)
     has_penalty = text.rlike(PENALTY) & (strip(before) != "")
     return {
         "offence_name": strip_chars(F.when(has_penalty, strip(before)).otherwise(F.substring(text, 1, 60)), _MARKS),
         "punishment": F.when(has_penalty, strip_chars(F.substring(text, F.length(before) + 1, F.length(text)), _MARKS))
         .otherwise(text),
-        "cognizable_status": F.when(text.rlike(r"(?i)\bNon-cognizable\b"), "Non-cognizable")
-        .when(text.rlike(r"(?i)\bCognizable\b"), "Cognizable")
+        "cognizable_status": F.when(low.rlike(r"\bnon-cognizable\b"), "Non-cognizable")
+        .when(low.rlike(r"\bcognizable\b"), "Cognizable")
         .otherwise("According as offence is cognizable or non-cognizable"),
-        "bailable_status": F.when(text.rlike(r"(?i)\bNon-bailable\b"), "Non-bailable")
-        .when(text.rlike(r"(?i)\bBailable\b"), "Bailable")
+        "bailable_status": F.when(low.rlike(r"\bnon-bailable\b"), "Non-bailable")
+        .when(low.rlike(r"\bbailable\b"), "Bailable")
         .otherwise("According as offence is bailable or non-bailable"),
         "triable_court": court,
     }
@@ -67,5 +69,6 @@ def schedule_entries(lines: DataFrame, group: list[str], max_section: int = 356)
         strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "_piece"))),
                                        lambda x: x["_piece"]), " ")).alias("full_text"),
     ).where(F.col("full_text") != "")
-    return entries.withColumns(offence_fields(F.col("full_text"))).withColumn(
+    entries = entries.withColumn("_low", F.lower("full_text"))
+    return entries.withColumns(offence_fields(F.col("full_text"), F.col("_low"))).drop("_low").withColumn(
         "raw_text", F.concat(F.lit("BNS Section "), F.col("section_number"), F.lit(": "), F.col("full_text")))

@@ -32,10 +32,14 @@ def page_range(pages: DataFrame, first: int, last: int, page: str = "page") -> D
 
 
 def section_number(line: Column) -> tuple[Column, Column]:
-    """(number or '', prefix before it) of a line that starts a section."""
-    number = F.regexp_extract(line, START, 2)
-    attached = F.regexp_extract(line, START_ATTACHED, 1)
-    return F.when(number != "", number).otherwise(attached), strip(F.regexp_extract(line, START, 1))
+    """(number or '', prefix before it) of a line that starts a section.
+
+    A digit before a full stop is looked for first, which few lines have.
+    """
+    likely = line.rlike(r"\d\.")
+    number = F.when(likely, F.coalesce(
+        F.nullif(F.regexp_extract(line, START, 2), F.lit("")), F.regexp_extract(line, START_ATTACHED, 1))).otherwise("")
+    return number, F.when(likely, strip(F.regexp_extract(line, START, 1))).otherwise("")
 
 
 def in_range(number: Column, top: int) -> Column:
@@ -60,7 +64,7 @@ def detect_sections(
     number, prefix = section_number(F.col("text"))
     rows = lines.withColumn("text", strip(F.col("text"))).where(F.col("text") != "").withColumns({
         "_chapter": F.upper(F.regexp_extract("text", CHAPTER, 1)), "_number": number, "_prefix": prefix,
-        "_break": F.col("text").rlike(CHAPTER) | F.col("text").rlike(START)})
+        "_break": F.col("text").rlike(CHAPTER) | (F.col("text").rlike(r"\d\.") & F.col("text").rlike(START))})
     near = {f"_t{i}": ("text", i) for i in (1, 2, 3)} | {f"_b{i}": ("_break", i) for i in (1, 2, 3)}
     near |= {f"_c-{i}": ("_chapter", -i) for i in (1, 2, 3)} | {f"_b-{i}": ("_break", -i) for i in (1, 2)}
     rows = neighbours(rows, group, "page", ["line_no"], near)
