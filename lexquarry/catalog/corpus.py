@@ -17,6 +17,7 @@ from lexquarry.operators import metrics as C
 from lexquarry.operators import tenancy as N
 from lexquarry.operators import validation as V
 from lexquarry.operators.admission import admit
+from lexquarry.sizing import join_bounded
 
 
 def _s(c: Column) -> Column:
@@ -278,8 +279,9 @@ def golden(spark: SparkSession, folder: str) -> DataFrame:
     df = L.document_frequencies(tokens)
     rare = L.query_terms(_asked(spark, folder), "item_id", "text").join(df, "term").groupBy("item_id").agg(
         F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(rare), "term").select("item_id", "doc_id")
-    found = docs.join(F.broadcast(pairs), "doc_id").join(F.broadcast(items), "item_id").where(F.contains("body", F.col("item")))
+    pairs = tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    pairs = join_bounded(pairs, rare, ["term"]).select("item_id", "doc_id")
+    found = join_bounded(docs.join(pairs, "doc_id"), items, ["item_id"]).where(F.contains("body", F.col("item")))
     hits = found.groupBy("item_id").agg(F.sort_array(F.collect_set(_s(F.col("doc_id")))).alias("expected_sections"))
     return _asked(spark, folder).select("item_id").join(hits, "item_id", "left").select(
         F.col("item_id").alias("query_id"), F.lit(None).cast("string").alias("expected_act"),
@@ -315,12 +317,13 @@ def config_compare(spark: SparkSession, folder: str) -> DataFrame:
     """Lexical search with and without the small-corpus fallback, and with other BM25 parameters."""
     g = golden(spark, folder).where(~F.col("should_refuse"))
     runs = []
-    for name, params in (("k1=1.5 b=0.75", L.Bm25()), ("k1=1.2 b=0.5", L.Bm25(1.2, 0.5)), ("k1=2 b=0", L.Bm25(2.0, 0.0))):
+    settings = [("k1=1.5 b=0.75", L.Bm25()), ("k1=1.2 b=0.5", L.Bm25(1.2, 0.5)), ("k1=2 b=0", L.Bm25(2.0, 0.0))]
+    for name, params in settings:
         top = _search(spark, folder, 10, params=params)
         runs.append(top.select(F.lit(name).alias("config"), F.col("item_id").alias("query_id"), "rank", F.lit("BNS").alias("act_short"),
                                _s(F.col("doc_id")).alias("section_number")))
     hits = runs[0].unionByName(runs[1]).unionByName(runs[2])
-    return Q.ranking_metrics(Q.first_hits(g, hits, by=["config"]), ["config"])
+    return Q.ranking_metrics(Q.first_hits(g, hits, by=["config"], configs=[(n,) for n, _ in settings]), ["config"])
 
 
 def _confidences(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,8 +16,9 @@ from lexquarry.operators.dense import dense_top_k
 from lexquarry.operators.exact import exact_lookup, with_intent
 from lexquarry.operators.fusion import fuse, fuse_user
 from lexquarry.operators.language import multilingual_flags, vocabulary
-from lexquarry.operators.rerank import rerank
+from lexquarry.operators.rerank import attach, rerank
 from lexquarry.plans.retrieval import Corpus, retrieve
+from lexquarry.sizing import BROADCAST_ROWS, fits, join_bounded
 
 DOC_TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -206,7 +207,7 @@ def _reranked(spark: SparkSession, folder: str) -> DataFrame:
     fused = fuse(*_both(spark, folder), "item_id", "doc_id", top=10)
     texts = _documents(spark, folder).select("doc_id", "text")
     asked = _asked(spark, folder).select("item_id", F.col("text").alias("asked"))
-    found = texts.join(F.broadcast(fused), "doc_id").join(F.broadcast(asked), "item_id")
+    found = join_bounded(attach(fused, texts, "doc_id", fits(asked, BROADCAST_ROWS // 10)), asked, ["item_id"])
     return rerank(found, "item_id", "asked", 5, passage=F.col("text"), scorer=lexical_logit)
 
 
@@ -229,7 +230,7 @@ def multilingual_flag(spark: SparkSession, folder: str) -> DataFrame:
 def confidence_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence of the reranked known items; every query is judged, also those without hits."""
     p = passages(spark, folder).drop("text", "index_text")
-    hits = p.join(F.broadcast(_reranked(spark, folder).drop("text", "lang", "source")), "doc_id")
+    hits = attach(_reranked(spark, folder).drop("text", "lang", "source"), p, "doc_id", fits(_asked(spark, folder), BROADCAST_ROWS // 5))
     fields = ["rank", "chunk_id", "act_short", "section_number", "section_title", "score", "raw_score", "dense_rank",
               "bm25_rank", F.lit(False).alias("is_exact_match")]
     docs = hits.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("docs"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexquarry.session import reliable_checkpoint
 
@@ -19,6 +19,15 @@ MICROS = 1_000_000
 MAX_ROUNDS = 10_000
 
 
+def micros(rows: DataFrame, time: str) -> Column:
+    """Microseconds of a time column; times without a zone do not pass through the session's."""
+    c = F.col(time)
+    if not isinstance(rows.schema[time].dataType, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    whole = F.unix_date(F.to_date(c)) * F.lit(86_400).cast("bigint") + F.hour(c) * 3600 + F.minute(c) * 60
+    return whole * F.lit(MICROS) + (F.extract(F.lit("SECOND"), c) * MICROS).cast("bigint")
+
+
 def _decide(times: np.ndarray, state: list[int], limit: int, window: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Admission, retry seconds and final state of one key's ordered request times."""
     n = len(times)
@@ -59,9 +68,8 @@ def admit(
     without sustained overload that takes one further round.  Between rounds
     only those few times pass through the driver.
     """
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = requests.withColumn("_t", micros).repartitionByRange(n, key, "_t", tie).sortWithinPartitions(key, "_t", tie)
+    spread = requests.withColumn("_t", micros(requests, time)).repartitionByRange(n, key, "_t", tie).sortWithinPartitions(key, "_t", tie)
     # the layout has to be the same in every round
     fixed = reliable_checkpoint(spread.withColumn("_part", F.spark_partition_id()))
     window = window_seconds * MICROS

@@ -10,12 +10,14 @@ MISS = 0
 
 
 def first_hits(golden: DataFrame, hits: DataFrame, query: str = "query_id", prefix: bool = False,
-               check_act: bool = True, by: list[str] | None = None) -> DataFrame:
+               check_act: bool = True, by: list[str] | None = None,
+               configs: list[tuple] | None = None) -> DataFrame:
     """(query, rank of the first relevant hit, 0 for none), per configuration in ``by``.
 
     ``golden``: query, expected_act, expected_sections; ``hits``: query, rank,
     act_short, section_number.  A hit is relevant when its number or base number
     is expected; with ``prefix`` it only has to start with an expected number.
+    ``configs`` lists the values of ``by``; without it they are read from the hits.
     """
     by = by or []
     wanted = golden.select(query, "expected_act", F.col("expected_sections").alias("_want"))
@@ -30,13 +32,13 @@ def first_hits(golden: DataFrame, hits: DataFrame, query: str = "query_id", pref
     best = joined.where(match).groupBy(*by, query).agg(F.min("rank").alias("first_rank"))
     every = golden.select(query)
     if by:
-        every = _configs(golden, hits, query, by)
+        every = _configs(golden, hits, query, by, configs)
     return every.join(best, [*by, query], "left").select(*by, query, F.coalesce("first_rank", F.lit(MISS)).alias("first_rank"))
 
 
-def _configs(golden: DataFrame, hits: DataFrame, query: str, by: list[str]) -> DataFrame:
+def _configs(golden: DataFrame, hits: DataFrame, query: str, by: list[str], known: list[tuple] | None) -> DataFrame:
     """Every golden query under every configuration; configurations are few and known by name."""
-    names = [tuple(r) for r in hits.select(*by).distinct().limit(1000).collect()]
+    names = known or [tuple(r) for r in hits.select(*by).distinct().limit(1000).collect()]
     configs = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(by, name)]) for name in names])
     return golden.select(query, F.explode(configs).alias("_c")).select(query, "_c.*")
 

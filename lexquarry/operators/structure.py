@@ -31,6 +31,14 @@ def page_range(pages: DataFrame, first: int, last: int, page: str = "page") -> D
     return pages.where(F.col(page).between(first, last))
 
 
+def single_page(pages: DataFrame, number: int, page: str = "page") -> DataFrame:
+    """One page; a number without a page is an error."""
+    found = page_range(pages, number, number, page)
+    if found.limit(1).count() == 0:
+        raise ValueError(f"no page {number}")
+    return found
+
+
 def section_number(line: Column) -> tuple[Column, Column]:
     """(number or '', prefix before it) of a line that starts a section.
 

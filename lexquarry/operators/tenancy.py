@@ -23,6 +23,10 @@ def scoped(rows: DataFrame, user: str, documents: list[str] | None = None) -> Da
     return out.where(F.col("document_id").isin(documents)) if documents else out
 
 
+def scoped_count(rows: DataFrame, user: str, documents: list[str] | None = None) -> int:
+    return scoped(rows, user, documents).count()
+
+
 def scoped_by(rows: DataFrame, scopes: DataFrame, on: list[str] = ("user_id", "document_id")) -> DataFrame:
     """Rows that some scope row allows; for many scopes at once."""
     return join_bounded(rows, require_scope(scopes).select(*on).distinct(), list(on), "left_semi")

@@ -27,7 +27,7 @@ def compare(golden: DataFrame, queries: DataFrame, corpus: Corpus, modes: list[s
         hits = rows if hits is None else hits.unionByName(rows)
         verdict = results.select(F.lit(mode).alias("config"), "query_id", (~F.col("is_refused")).alias("accepted"))
         judged = verdict if judged is None else judged.unionByName(verdict)
-    first = first_hits(inside, hits, by=["config"])
+    first = first_hits(inside, hits, by=["config"], configs=[(m,) for m in modes])
     ranking = ranking_metrics(first, ["config"])
     correct = first.select("config", "query_id", (F.col("first_rank") > 0).alias("correct"))
     marked = judged.join(golden.select("query_id", "should_refuse"), "query_id").join(correct, ["config", "query_id"], "left")

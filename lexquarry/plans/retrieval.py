@@ -18,7 +18,7 @@ from lexquarry.operators.lexical import Bm25, Tokenizer, bm25_search
 from lexquarry.operators.rerank import attach, rerank
 from lexquarry.operators.tenancy import require_scope
 from lexquarry.operators.topk import top_k
-from lexquarry.sizing import fits
+from lexquarry.sizing import fits, join_bounded
 
 MODES = ("auto", "hybrid", "dense", "bm25", "exact")
 PASSAGE_COLUMNS = [
@@ -169,7 +169,7 @@ def retrieve_user(
     statistics come from the scope's chunks alone, and nothing outside the
     scope is read into a result.
     """
-    visible = chunks.join(require_scope(scopes), ["user_id", "document_id"])
+    visible = join_bounded(chunks, require_scope(scopes), ["user_id", "document_id"], max_rows=config.broadcast_rows)
     dense = dense_top_k(visible, queries.where(F.col("query_vector").isNotNull()), "chunk_id", "embedding",
                         "query_id", "query_vector", config.user_dense_k, scope="scope_id",
                         block_rows=config.query_block_rows)

@@ -63,6 +63,25 @@ def extract_pages(files: DataFrame, reader: PageReader = form_feed_pages, ocr: P
         read, "path string, page_number int, text string, is_ocr boolean, problem string")
 
 
+ElementReader = Callable[[bytes], list[tuple[int, float, float, float, str]]]
+
+
+def extract_elements(files: DataFrame, reader: ElementReader) -> DataFrame:
+    """(path, page, element, x, y, font_size, text): positioned text, from a reader that plugs in.
+
+    The reader lists (page, x, y, font size, text); blank text is left out.
+    """
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                found = [(path, p, i, float(x), float(y), float(s), t.strip())
+                         for i, (p, x, y, s, t) in enumerate(reader(bytes(content))) if t.strip()]
+                yield pd.DataFrame(found, columns=["path", "page", "element", "x", "y", "font_size", "text"])
+
+    return files.select("path", "content").mapInPandas(
+        read, "path string, page int, element int, x double, y double, font_size double, text string")
+
+
 def page_lines(pages: DataFrame, group: list[str], text: str = "text", page: str = "page_number") -> DataFrame:
     """Lines of pages, numbered from 1 within a page."""
     return pages.select(*group, F.col(page).alias("page"), F.posexplode(F.split(text, "\n", -1)).alias("_i", "text")).select(

@@ -111,6 +111,11 @@ def write_lines(lines: DataFrame, folder: str) -> None:
     lines.select("line").coalesce(1).write.mode("overwrite").text(folder)
 
 
+def needs_ingest(spark: SparkSession, store: str, key: list[str], least: int) -> bool:
+    """Whether a store still lacks its rows; a bootstrap that finds them does nothing."""
+    return not exists(spark, store) or read_current(spark, store, key).limit(least).count() < least
+
+
 def describe(summary: DataFrame) -> str:
     """A one-row summary as JSON, for a log."""
     return json.dumps(summary.first().asDict(), default=str)

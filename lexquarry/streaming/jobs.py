@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexquarry.operators.admission import MICROS, _decide
+from lexquarry.operators.admission import MICROS, _decide, micros
 
 
 def _fields(df: DataFrame, names: list[str]) -> str:
@@ -23,7 +23,7 @@ def admit_stream(requests: DataFrame, key: str, time: str, tie: str, limit: int
     Requests that arrive in a later batch count as later ones.
     """
     window = window_seconds * MICROS
-    rows = requests.select(key, tie, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
+    rows = requests.select(key, tie, micros(requests, time).alias("_t"))
 
     def decide(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
