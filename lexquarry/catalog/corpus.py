@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexquarry.catalog.search import _asked, _documents, _search, bm25_ctes, bm25_top
 from lexquarry.catalog.stand_ins import PASSAGES_SQL, passages, table
-from lexquarry.catalog.structure import _lines
+from lexquarry.catalog.structure import LINES_SQL, _lines
 from lexquarry.functions.forms import extraction_confidence, render_markdown, render_text
 from lexquarry.functions.text import normalize_whitespace
 from lexquarry.operators import evaluation as Q
@@ -136,7 +136,7 @@ def _form_lines(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.substring("raw", 1, 60)
     case = n % 10
     text = (
-        F.when(case == 0, F.concat(F.lit("FORM No. "), _s(F.floor(n / 10) % 70 + 1))).when(case == 1, F.upper(raw))
+        F.when(case == 0, F.concat(F.lit("FORM No. "), _s(F.floor(n / 10) % 70 + 1))).when(case == 1, raw)
         .when(case == 2, F.concat(F.lit("[See section "), _s(n % 531 + 1), F.lit(" (2) and 90]")))
         .when(case == 3, F.concat(F.lit("Whereas ........ [name and address] "), raw)).when(case == 4, F.lit("________ day"))
         .when(case == 5, F.lit("(date and time)")).when(case == 6, F.lit("(Signature and seal) ....")).when(case == 7, F.concat(F.lit("II. "), raw))
@@ -482,7 +482,44 @@ _SWEEP = {**_GOLD, "firsts": _FIRST,
           "grid": "SELECT round(i * 0.05, 2)::DOUBLE AS threshold FROM range(2, 19) t(i)",
           "sweep": f"SELECT threshold, {_RATES} FROM (SELECT *, c >= threshold AS accepted FROM scored, grid) GROUP BY threshold"}
 
+
+def _scores_sql(k1: float, b: float) -> str:
+    return (f"SELECT query, p.doc, sum(qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * len(t.toks) / avgdl))) AS score "
+            "FROM b_q JOIN b_post p USING (term) JOIN b_idf USING (term) JOIN b_tok t ON t.doc = p.doc, b_stat GROUP BY query, p.doc")
+
+
+_SETTINGS = [("k1=1.5 b=0.75", 1.5, 0.75), ("k1=1.2 b=0.5", 1.2, 0.5), ("k1=2 b=0", 2.0, 0.0)]
+_COMPARE = {
+    "golden": GOLDEN_SQL, **{k: v for k, v in bm25_ctes().items() if k != "scores"},
+    "runs": " UNION ALL ".join(f"SELECT '{n}' AS config, * FROM ({_scores_sql(k1, b)})" for n, k1, b in _SETTINGS),
+    "hits": "SELECT *, row_number() OVER (PARTITION BY config, query ORDER BY round(score, 9) DESC, doc) AS rank FROM runs WHERE score > 0 QUALIFY rank <= 10",
+    "firsts": """SELECT c.config, g.query_id, coalesce(min(h.rank) FILTER (list_contains(g.docs, h.doc)), 0) AS first_rank
+      FROM (SELECT DISTINCT config FROM runs) c, golden g LEFT JOIN hits h ON h.query = g.query_id AND h.config = c.config WHERE NOT g.should_refuse GROUP BY ALL""",
+}
+_SEE = r"(?i)(?:\[|\()\s*See\s+sections?\s+([0-9a-zA-Z\s,\(\)andu/]+)(?:\]|\))"
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+FORM_LINE_CTES = {
+    "lines": LINES_SQL,
+    "fl": f"""SELECT act_key, page, line_no, {_TRIM.format('t')} AS text FROM (SELECT act_key, page, line_no, CASE (page * 3 + line_no) % 10
+        WHEN 0 THEN 'FORM No. ' || ((page * 3 + line_no) // 10 % 70 + 1) WHEN 1 THEN left(raw, 60) WHEN 2 THEN '[See section ' || ((page * 3 + line_no) % 531 + 1) || ' (2) and 90]'
+        WHEN 3 THEN 'Whereas ........ [name and address] ' || left(raw, 60) WHEN 4 THEN '________ day' WHEN 5 THEN '(date and time)' WHEN 6 THEN '(Signature and seal) ....'
+        WHEN 7 THEN 'II. ' || left(raw, 60) ELSE left(raw, 60) END AS t FROM lines)""",
+    "fs": r"SELECT *, regexp_extract(text, '(?i)^\s*FORM\s+(?:No\.?|NO\.?)\s*(\d+)', 1) AS num FROM fl WHERE text <> ''",
+    "fq": "SELECT *, num <> '' AS start, sum((num <> '')::INT) OVER (PARTITION BY act_key ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS seq FROM fs",
+    "fb": """SELECT act_key, seq::BIGINT AS seq, max(num) FILTER (start) AS num, min(page) AS page_start, max(page) AS page_end, list(text ORDER BY page, line_no) AS ls
+      FROM fq WHERE seq > 0 GROUP BY act_key, seq""",
+    "fh": f"SELECT *, ls[2:6] AS head, list_min(list_transform(ls[2:6], lambda x, i: CASE WHEN regexp_matches(x, '{_SEE}') THEN i END)) AS hit FROM fb",
+    "ft": f"""SELECT *, {_TRIM.format("array_to_string(CASE WHEN hit IS NOT NULL THEN head[1:hit - 1] ELSE head END, ' ')")} AS joined,
+      {_TRIM.format(f"regexp_extract(head[hit], '{_SEE}', 1)")} AS refs FROM fh""",
+    "fp": r"""SELECT *, regexp_replace(CASE WHEN joined = '' AND len(ls) >= 2 THEN ls[2] ELSE joined END, '\s+', ' ', 'g') AS title,
+      CASE WHEN hit IS NULL THEN [] ELSE list_transform(regexp_extract_all(refs, '\d+(?:\s*\(\s*[0-9a-zA-Z]+\s*\))*'), lambda x: regexp_replace(x, '\s+', '', 'g')) END AS secs,
+      ls[CASE WHEN joined = '' AND len(ls) >= 2 THEN 3 WHEN hit IS NOT NULL THEN hit + 2 ELSE 2 END:] AS body FROM ft""",
+}
+
 SQL = {
+    "config_compare": _with(**_COMPARE) + f"SELECT config, {_METRICS} FROM firsts GROUP BY config",
+    "parse_forms": _with(**FORM_LINE_CTES) + """SELECT act_key, seq, num::INT AS form_number, page_start, page_end, md5(title) AS title_md5, array_to_string(secs, ',') AS sections,
+  md5(array_to_string(ls, chr(10))) AS text_md5, len(list_filter(body, lambda x: contains(x, '(Signature') OR contains(x, '(Seal of the Court)') OR contains(x, 'Signature and seal') OR contains(x, 'Police Officer')))::INT AS n_signatures FROM fp""",
     "form_by_section": _forms("forms", "keys") + "SELECT s_suppkey, form_number FROM supplier JOIN keys ON key = (s_suppkey * 5 % 531 + 1)::VARCHAR",
     "form_by_title": _forms("forms", "asked", "titles") + f"SELECT query_id, form_number FROM asked JOIN titles ON key = {_KEY.format('query_text')}",
     "form_by_key": _forms("forms") + """SELECT c_custkey, f.form_number FROM customer LEFT JOIN forms f ON CASE WHEN c_custkey % 2 = 0 THEN f.form_number = c_custkey * 2 ELSE f.form_id = 'BNSS_FORM_' || c_custkey END""",
