@@ -20,10 +20,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(rows) if name in TEXT_TABLES else rows
 
 
+SMALL_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when a scan has fewer splits than the cluster has cores.
+    """Deal the rows of a small input out when its scan has fewer splits than the cluster has cores.
 
-    Large inputs have more splits than cores and are left as they are.
+    Inputs beyond ``SMALL_BYTES`` are never moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SMALL_BYTES and df.rdd.getNumPartitions() < cores else df
