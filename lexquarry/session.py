@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,18 +26,26 @@ def local_session(name: str = "lexquarry", cores: str = "8", partitions: int = 8
     return spark
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, one for the life of its context.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+    folder = sc.getCheckpointDir()
+    if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="lexquarry-checkpoint-", dir="/tmp")
+            atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
