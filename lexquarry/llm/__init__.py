@@ -8,7 +8,12 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op2_sharding": ("op02_sharding", None),
+    "op3_substring_dedup": ("op03_substring_dedup", "OP3_SQL"),
+    "op7_hmm": ("op07_hmm", None),
     "op8_decontaminate": ("op08_decontaminate", "OP8_SQL"),
+    "op9_packing": ("op09_packing", None),
+    "op10_simhash": ("op10_simhash", None),
 }
 
 
