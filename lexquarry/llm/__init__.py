@@ -8,8 +8,12 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_secrets": ("op01_secrets", None),
     "op2_sharding": ("op02_sharding", None),
     "op3_substring_dedup": ("op03_substring_dedup", "OP3_SQL"),
+    "op4_language": ("op04_language", None),
+    "op5_pii": ("op05_pii", None),
+    "op6_nearest": ("op06_nearest", "OP6_SQL"),
     "op7_hmm": ("op07_hmm", None),
     "op8_decontaminate": ("op08_decontaminate", "OP8_SQL"),
     "op9_packing": ("op09_packing", None),

@@ -53,13 +53,16 @@ class WordEncoder:
         self.known: dict[str, np.ndarray] = {}
 
     def split(self, word: str) -> tuple[str, str]:
-        """Letters in lower case and punctuation behind them; ("", word) for any other word."""
+        """Letters and punctuation behind them; ("", word) for any other word.
+
+        The vocabulary's lower case is that of single characters; only A-Z are mapped here.
+        """
         head = word.rstrip(PUNCTUATION)
         if head.isascii():
             if head.isalpha():
                 return head.lower(), word[len(head):]
-        elif head.isalpha() and (low := head.lower()).isalpha() and unicodedata.is_normalized("NFC", low) and low == unicodedata.normalize("NFC", head).lower():
-            return low, word[len(head):]
+        elif head.isalpha() and "".join(map(str.lower, head)).isalpha() and unicodedata.is_normalized("NFC", head):
+            return head, word[len(head):]
         return "", word
 
     def learn(self, heads: list[str], others: list[str]) -> None:
