@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,7 +16,8 @@ from lexquarry.plans.answering import answer, combined_evidence, unified
 from lexquarry.plans.benchmark import compare, generation_benchmark
 from lexquarry.plans.ingest import ingest_uploads, parse_corpus
 from lexquarry.plans.retrieval import retrieve, retrieve_user
-from lexquarry.streaming.jobs import admit_stream, counter_stream, job_state_stream, run_to_folder
+from lexquarry.session import checkpoint_folder
+from lexquarry.streaming.jobs import admit_stream, counter_stream, job_state_stream, latest, run_to_folder
 
 
 def _s(c: Column) -> Column:
@@ -24,14 +25,14 @@ def _s(c: Column) -> Column:
 
 
 def user_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that have a vector, as chunks of the users of the event table."""
+    """Documents as chunks of the users of the event table; some have a vector."""
     d = F.col("doc_id")
     docs = table(spark, folder, "documents").select(
         "doc_id", F.concat(F.lit("c"), F.lpad(_s(d), 10, "0")).alias("chunk_id"), F.concat(F.lit("doc"), _s(d % 40)).alias("document_id"),
         _s(d % 20).alias("user_id"), F.lit("notice.pdf").alias("filename"), (d % 200 + 1).cast("int").alias("page_start"),
         (d % 200 + 1).cast("int").alias("page_end"), "text")
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return docs.join(vectors, "doc_id").drop("doc_id")
+    return docs.join(vectors, "doc_id", "left").drop("doc_id")
 
 
 def scopes(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,14 +122,8 @@ def parse_statute(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------
 
 def _work(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; a local one only in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{next(_numbers)}"
-    return tempfile.mkdtemp(prefix="lexquarry-stream-", dir="/tmp")
-
-
-_numbers = iter(range(1, 1 << 30))
+    """A new folder below the checkpoint folder that all executors share."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid4().hex}"
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,13 +140,13 @@ def stream_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
 def stream_job_states(spark: SparkSession, folder: str) -> DataFrame:
     out = _work(spark)
     run_to_folder(job_state_stream(K.job_events_of(_events(spark, folder))), out, "update")
-    return spark.read.parquet(f"{out}/out").select("job_id", "status", "progress", "stage", F.col("seq").alias("last_seq"))
+    return latest(spark, out, ["job_id"], "seq").select("job_id", "status", "progress", "stage", F.col("seq").alias("last_seq"))
 
 
 def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
     out = _work(spark)
     run_to_folder(counter_stream(_events(spark, folder), ["event_type"], "value"), out, "complete")
-    return spark.read.parquet(f"{out}/out").select("event_type", "total", F.round("duration_sum", 4).alias("duration_sum"))
+    return latest(spark, out).select("event_type", "total", F.round("duration_sum", 4).alias("duration_sum"))
 
 
 QUERIES = {f.__name__: f for f in (

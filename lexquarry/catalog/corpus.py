@@ -8,7 +8,7 @@ from lexquarry.catalog.search import _asked, _documents, _search, bm25_ctes, bm2
 from lexquarry.catalog.stand_ins import PASSAGES_SQL, passages, table
 from lexquarry.catalog.structure import LINES_SQL, _lines
 from lexquarry.functions.forms import extraction_confidence, render_markdown, render_text
-from lexquarry.functions.text import normalize_whitespace
+from lexquarry.functions.text import document_tokens
 from lexquarry.operators import evaluation as Q
 from lexquarry.operators import forms as M
 from lexquarry.operators import jobs as J
@@ -133,7 +133,7 @@ def form_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _form_lines(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("page") * 3 + F.col("line_no")
-    raw = F.substring("raw", 1, 60)
+    raw = F.col("raw")
     case = n % 10
     text = (
         F.when(case == 0, F.concat(F.lit("FORM No. "), _s(F.floor(n / 10) % 70 + 1))).when(case == 1, raw)
@@ -263,19 +263,20 @@ def readable_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- evaluation ---------------------------------------------------------------
 
-def _squeezed(c: Column) -> Column:
-    return F.lower(F.regexp_replace(normalize_whitespace(c), r"\s+", " "))
+def _in_a_row(tokens: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
 
 def golden(spark: SparkSession, folder: str) -> DataFrame:
     """Items with the documents that contain them whole; items in none are to be refused.
 
-    Candidates come from the search index: a document that contains an item
-    holds all its words, among them the rarest.
+    A document contains an item if the item's tokens occur in it in a row; an item
+    without tokens is in none.  Candidates come from the search index: such a
+    document holds all tokens of the item, among them the rarest.
     """
-    docs = _documents(spark, folder).select("doc_id", _squeezed(F.col("text")).alias("body"))
-    items = _asked(spark, folder).select("item_id", _squeezed(F.col("text")).alias("item"))
     tokens = L.tokenized(_documents(spark, folder), "doc_id", "text")
+    docs = tokens.select("doc_id", _in_a_row(F.col("tokens")).alias("body"))
+    items = _asked(spark, folder).select("item_id", _in_a_row(document_tokens(F.col("text"))).alias("item"))
     df = L.document_frequencies(tokens)
     rare = L.query_terms(_asked(spark, folder), "item_id", "text").join(df, "term").groupBy("item_id").agg(
         F.min_by("term", F.struct("df", "term")).alias("term"))
@@ -290,8 +291,9 @@ def golden(spark: SparkSession, folder: str) -> DataFrame:
 
 
 GOLDEN_SQL = r"""SELECT b.item_id AS query_id, list(d.doc_id ORDER BY d.doc_id) FILTER (d.doc_id IS NOT NULL) AS docs, count(d.doc_id) = 0 AS should_refuse
-FROM (SELECT item_id, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS item FROM benchmark) b
-LEFT JOIN (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents) d ON contains(d.body, b.item) GROUP BY b.item_id"""
+FROM (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS item FROM benchmark) b
+LEFT JOIN (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS body FROM documents) d
+  ON contains(d.body, b.item) AND trim(b.item) <> '' GROUP BY b.item_id"""
 
 
 def golden_set(spark: SparkSession, folder: str) -> DataFrame:
@@ -501,9 +503,9 @@ _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 FORM_LINE_CTES = {
     "lines": LINES_SQL,
     "fl": f"""SELECT act_key, page, line_no, {_TRIM.format('t')} AS text FROM (SELECT act_key, page, line_no, CASE (page * 3 + line_no) % 10
-        WHEN 0 THEN 'FORM No. ' || ((page * 3 + line_no) // 10 % 70 + 1) WHEN 1 THEN left(raw, 60) WHEN 2 THEN '[See section ' || ((page * 3 + line_no) % 531 + 1) || ' (2) and 90]'
-        WHEN 3 THEN 'Whereas ........ [name and address] ' || left(raw, 60) WHEN 4 THEN '________ day' WHEN 5 THEN '(date and time)' WHEN 6 THEN '(Signature and seal) ....'
-        WHEN 7 THEN 'II. ' || left(raw, 60) ELSE left(raw, 60) END AS t FROM lines)""",
+        WHEN 0 THEN 'FORM No. ' || ((page * 3 + line_no) // 10 % 70 + 1) WHEN 1 THEN raw WHEN 2 THEN '[See section ' || ((page * 3 + line_no) % 531 + 1) || ' (2) and 90]'
+        WHEN 3 THEN 'Whereas ........ [name and address] ' || raw WHEN 4 THEN '________ day' WHEN 5 THEN '(date and time)' WHEN 6 THEN '(Signature and seal) ....'
+        WHEN 7 THEN 'II. ' || raw ELSE raw END AS t FROM lines)""",
     "fs": r"SELECT *, regexp_extract(text, '(?i)^\s*FORM\s+(?:No\.?|NO\.?)\s*(\d+)', 1) AS num FROM fl WHERE text <> ''",
     "fq": "SELECT *, num <> '' AS start, sum((num <> '')::INT) OVER (PARTITION BY act_key ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS seq FROM fs",
     "fb": """SELECT act_key, seq::BIGINT AS seq, max(num) FILTER (start) AS num, min(page) AS page_start, max(page) AS page_end, list(text ORDER BY page, line_no) AS ls

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexquarry.catalog.stand_ins import INTENT_SQL, PASSAGES_SQL, TURNS_SQL, passages, table, turns
 from lexquarry.functions import validation as V
 from lexquarry.functions import routing as R
+from lexquarry.functions.refs import DOC_TAG, FORM_TAG, STATUTE_TAG
 from lexquarry.functions.refs import normalize_citations as normalized
 from lexquarry.functions.render import answer_words, citation_view, event_frame, evidence_block
 from lexquarry.functions.text import plain_sentences, sentences
@@ -195,9 +196,7 @@ QUERIES = {f.__name__: f for f in (
     validate_dual_answers, render_context, context_budget, citation_views, route_queries, form_intent, sse_words, principals,
     endpoint_labels)}
 
-_TAG = r"(?i)\[\s*(BNS|BNSS)\s+(?:s\.|sec\.|section\s*)\s*(\d+[A-Za-z]?)(?:\s*:[^\]\)]+)?(?:\s*(\([0-9a-zA-Z]+\)))?(?:\s*(\([0-9a-zA-Z]+\)))?(?:\s*(\([0-9a-zA-Z]+\)))?\s*\]"
-_DOC = r"(?i)\[\s*DOC(?::\s*([^\]\s]+))?\s+(?:p\.\s*|page\s*)(\d+)(?:\s*-\s*(\d+))?\s*\]"
-_FORM = r"(?i)\[\s*(?:BNSS\s+)?(?:Second\s+Schedule\s*,\s*)?Form\s+(?:No\.?\s*)?(\d+)\s*\]"
+_TAG, _DOC, _FORM = STATUTE_TAG, DOC_TAG, FORM_TAG
 _CTES = {
     "passages": PASSAGES_SQL, "answers": ANSWERS_SQL, "evidence": EVIDENCE_SQL,
     "raws": f"SELECT answer_id, generate_subscripts(regexp_extract_all(answer, '{_TAG}'), 1) - 1 AS n, unnest(regexp_extract_all(answer, '{_TAG}')) AS raw FROM answers",

@@ -8,7 +8,7 @@ from lexquarry.catalog.stand_ins import (
     INTENT_SQL, PASSAGES_SQL, TURNS_SQL, known_items, passage_vectors, passages, table, turns,
 )
 from lexquarry.config import EngineConfig
-from lexquarry.functions.confidence import confidence
+from lexquarry.functions.confidence import TITLE_STOP_WORDS, confidence
 from lexquarry.functions.text import document_tokens, statute_tokens
 from lexquarry.models.scoring import lexical_logit
 from lexquarry.operators import lexical as L
@@ -38,7 +38,8 @@ def bm25_ctes(docs: str = "SELECT doc_id AS doc, text FROM documents",
         "b_stat": "SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM b_tok",
         "b_raw": "SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw "
                  "FROM b_post, b_stat GROUP BY term, n",
-        "b_idf": "SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM b_raw) ELSE raw END AS idf FROM b_raw",
+        "b_mean": "SELECT avg(raw) AS mean FROM b_raw",
+        "b_idf": "SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM b_raw, b_mean",
         "b_q": f"SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest({tokens}) AS term FROM b_asked) GROUP BY ALL",
         "scores": "SELECT query, p.doc, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t.toks) / avgdl))) AS score, "
                   "count(*) AS matches FROM b_q JOIN b_post p USING (term) JOIN b_idf USING (term) "
@@ -279,12 +280,9 @@ QUERIES = {
 
 _HIT = "SELECT query AS item_id, doc AS doc_id, round(score, 6) AS score, rank::INT AS rank"
 _VEC = "SELECT query AS query_id, doc AS vec_id, round(score, 6) AS score, rank::INT AS rank"
-_TITLE_STOP = ("what when where which who whom this that with from under into over after than about other some such only "
-               "same have been made each more then them these their there does tell explain give details provision "
-               "provisions part court section order test title").split()
 _TITLE_SQL = ("list_filter(regexp_extract_all(lower(section_title), '[\\p{L}\\p{N}_]+'), "
               "lambda w: regexp_full_match(w, '[a-z]{4,}') AND NOT list_contains(["
-              + ", ".join(f"'{w}'" for w in _TITLE_STOP) + "], w))")
+              + ", ".join(f"'{w}'" for w in TITLE_STOP_WORDS) + "], w))")
 
 RERANK_CTES = {
     "fused": f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY {RRF_ORDER}) AS prior FROM ({RRF_SQL}) QUALIFY prior <= 10",
@@ -377,6 +375,13 @@ asked AS (SELECT conv_id * 1000 + turn AS query_id, text, list_filter(regexp_ext
 known AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, unnest(ws) AS word FROM asked) JOIN words USING (word) GROUP BY query_id)
 SELECT query_id, trim(text) <> '' AND (regexp_matches(text, '[^\x00-\x7F]') OR (len(ws) > 0 AND (len(ws) - coalesce(n, 0)) / greatest(len(ws), 1) >= 0.3)) AS is_multilingual
 FROM asked LEFT JOIN known USING (query_id)""",
+    "retrieve_hybrid": _with(**_FUSION, **RERANK_CTES, passages=PASSAGES_SQL, **CONFIDENCE_CTES, lists="""
+SELECT query AS asked, string_agg('d' || lpad(doc::VARCHAR, 10, '0'), ',' ORDER BY rank) AS chunks, count(*)::INT AS n FROM reranked GROUP BY query""") + """
+SELECT item_id AS query_id, 'hybrid_rrf' AS mode, coalesce(chunks, '') AS chunks, coalesce(n, 0)::INT AS total_retrieved,
+  CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidence_score,
+  CASE WHEN query IS NOT NULL AND s >= 0.75 THEN 'ACCEPT' ELSE 'REFUSE' END AS decision,
+  CASE WHEN query IS NULL THEN 'no_retrieval_results' WHEN s >= 0.75 THEN 'high_retrieval_confidence' ELSE 'low_retrieval_confidence' END AS reason
+FROM final LEFT JOIN lists ON asked = item_id""",
     "confidence": _with(**_FUSION, **RERANK_CTES, passages=PASSAGES_SQL, **CONFIDENCE_CTES) + """
 SELECT item_id, CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidence_score,
   CASE WHEN query IS NOT NULL AND s >= 0.75 THEN 'ACCEPT' ELSE 'REFUSE' END AS decision,

@@ -10,7 +10,7 @@ from lexquarry.functions.ids import chunk_point_id
 from lexquarry.functions.refs import cross_references
 from lexquarry.operators import structure as S
 from lexquarry.operators.chunking import all_passages, chunk_pages, chunk_schedule, chunk_sections
-from lexquarry.operators.schedule import schedule_entries
+from lexquarry.operators.schedule import COURTS, schedule_entries
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -192,13 +192,13 @@ def _elements(spark: SparkSession, folder: str) -> DataFrame:
     n, p = F.col("line_no"), F.col("page")
     x = F.element_at(F.array(F.lit(50.0), F.lit(150.0), F.lit(480.0), F.lit(150.0)), (n % 4 + 1).cast("int"))
     y = F.lit(790.0) - (n * 13 + p % 3) % 770
-    text = F.when(n % 4 == 1, F.concat(_s(n * 5 % 560 + 1), F.lit(". The "), F.substring("raw", 1, 60))).otherwise(F.substring("raw", 1, 25))
+    text = F.when(n % 4 == 1, F.concat(_s(n * 5 % 560 + 1), F.lit(". The "), F.col("raw"))).otherwise(F.col("raw"))
     return _lines(spark, folder).select("act_key", "page", n.alias("element"), x.alias("x"), y.alias("y"), text.alias("text"))
 
 
 ELEMENTS_SQL = """SELECT act_key, page, line_no AS element, [50.0, 150.0, 480.0, 150.0][line_no % 4 + 1]::DOUBLE AS x,
   (790.0 - (line_no * 13 + page % 3) % 770)::DOUBLE AS y,
-  CASE WHEN line_no % 4 = 1 THEN (line_no * 5 % 560 + 1) || '. The ' || left(raw, 60) ELSE left(raw, 25) END AS text FROM lines"""
+  CASE WHEN line_no % 4 = 1 THEN (line_no * 5 % 560 + 1) || '. The ' || raw ELSE raw END AS text FROM lines"""
 
 
 def layout_columns(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,7 +229,7 @@ def margin_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 def _schedule_lines(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("page") + F.col("line_no")
-    raw = F.substring("raw", 1, 120)
+    raw = F.col("raw")
     tail = F.element_at(F.array(*[F.lit(x) for x in (
         " Imprisonment for 3 years. Cognizable Bailable Any Magistrate", " Death, Non-cognizable. Non-bailable High Court", " Fine.",
         " Same as for the offence. Magistrate of the first class.")]), (n % 4 + 1).cast("int"))
@@ -351,8 +351,8 @@ _ROW = r"'^(\d+(?:\s*\(\s*[0-9a-zA-Z]+\s*\))*)\s+(.*)$'"
 _PEN = r"\b(?:Imprisonment|Death|Rigorous|Simple|Fine|Same\s+as)\b"
 SCHEDULE_CTES = {
     "lines": LINES_SQL,
-    "sl": f"""SELECT act_key, page, line_no, {STRIP.format('t')} AS text FROM (SELECT *, CASE WHEN (page + line_no) % 4 = 0 THEN ((page + line_no) % 400 + 1) || ' ( 2 ) ' || left(raw, 120) || {_SCHED_TAILS}[1]
-        WHEN (page + line_no) % 9 = 1 THEN 'Section Offence ' || left(raw, 120) ELSE left(raw, 120) || {_SCHED_TAILS}[(page + line_no) % 4 + 1] END AS t FROM lines)""",
+    "sl": f"""SELECT act_key, page, line_no, {STRIP.format('t')} AS text FROM (SELECT *, CASE WHEN (page + line_no) % 4 = 0 THEN ((page + line_no) % 400 + 1) || ' ( 2 ) ' || raw || {_SCHED_TAILS}[1]
+        WHEN (page + line_no) % 9 = 1 THEN 'Section Offence ' || raw ELSE raw || {_SCHED_TAILS}[(page + line_no) % 4 + 1] END AS t FROM lines)""",
     "st": rf"""SELECT *, regexp_replace(regexp_extract(text, {_ROW}, 1), '\s+', '', 'g') AS num, regexp_extract(text, {_ROW}, 2) AS rest FROM sl
         WHERE NOT {_is_boiler('text')} AND NOT starts_with(text, 'Section Offence') AND NOT starts_with(text, '12 3 4 5 6')
         AND NOT (contains(text, 'THE FIRST SCHEDULE') OR contains(text, 'CLASSIFICATION OF OFFENCES') OR contains(text, 'EXPLANATORY NOTES'))""",
@@ -364,7 +364,7 @@ SCHEDULE_CTES = {
         CASE WHEN pen THEN trim(substr(full_text, length(fore) + 1), ' .—,') ELSE full_text END AS punishment,
         CASE WHEN regexp_matches(full_text, '(?i)\bNon-cognizable\b') THEN 'Non-cognizable' WHEN regexp_matches(full_text, '(?i)\bCognizable\b') THEN 'Cognizable' ELSE 'According as offence is cognizable or non-cognizable' END AS cognizable_status,
         CASE WHEN regexp_matches(full_text, '(?i)\bNon-bailable\b') THEN 'Non-bailable' WHEN regexp_matches(full_text, '(?i)\bBailable\b') THEN 'Bailable' ELSE 'According as offence is bailable or non-bailable' END AS bailable_status,
-        coalesce({', '.join(f"nullif(trim(regexp_extract(full_text, '(?i){c}'), ' .'), '')" for c in ('Court of Session', 'Magistrate of the first class', 'Magistrate of the second class', 'Chief Judicial Magistrate', 'Any Magistrate', 'High Court'))}, 'Court of Session') AS triable_court
+        coalesce({', '.join(f"nullif(trim(regexp_extract(full_text, '(?i){c}'), ' .'), '')" for c in COURTS)}, 'Court of Session') AS triable_court
       FROM (SELECT *, regexp_extract(full_text, '(?s)^(.*?){_PEN}', 1) AS fore, regexp_matches(full_text, '{_PEN}') AND {STRIP.format(f"regexp_extract(full_text, '(?s)^(.*?){_PEN}', 1)")} <> '' AS pen FROM se WHERE full_text <> '')""",
 }
 _SECTION_NUM = r"coalesce(nullif(regexp_extract(text, '^(|.*?\.\s)(\d+)\.\s*[A-Z(].*$', 2), ''), regexp_extract(text, '^(\d+)\.[A-Za-z].*$', 1))"

@@ -10,13 +10,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexquarry.session import reliable_checkpoint
 
 MICROS = 1_000_000
-MAX_ROUNDS = 10_000
 
 
 def micros(rows: DataFrame, time: str) -> Column:
@@ -65,49 +64,58 @@ def admit(
     partitions of equal size, and every partition is decided on its own.  A
     partition that opens in the middle of a key is decided again with the
     admitted times its predecessor ends with, until none of them changes;
-    without sustained overload that takes one further round.  Between rounds
-    only those few times pass through the driver.
+    without sustained overload that takes one further round, and never more
+    rounds than partitions.  Between rounds only those few times pass through
+    the driver.
+
+    A null key is a principal of its own.  A request without a time cannot be
+    placed: its decision is null and it counts against nobody.
     """
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = requests.withColumn("_t", micros(requests, time)).repartitionByRange(n, key, "_t", tie).sortWithinPartitions(key, "_t", tie)
+    placed = requests.withColumn("_t", micros(requests, time)).withColumn(
+        "_k", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")))
+    spread = placed.where(F.col("_t").isNotNull()).repartitionByRange(n, "_k", "_t", tie).sortWithinPartitions("_k", "_t", tie)
     # the layout has to be the same in every round
     fixed = reliable_checkpoint(spread.withColumn("_part", F.spark_partition_id()))
     window = window_seconds * MICROS
 
-    def ends(part: int, frames: Iterator[pd.DataFrame], carried: dict[int, list[int]]):
-        """Ordered (key, frame) runs of a partition and the state to enter each with."""
-        current, state, first = None, [], True
-        for frame in frames:
-            for value, rows in frame.groupby(key, sort=False):
-                if first or value != current:
-                    state = list(carried.get(part, [])) if first else []
-                    current, first = value, False
-                allowed, retry, state = _decide(rows["_t"].to_numpy(), state, limit, window)
-                yield value, rows, allowed, retry, state
-
-    key_type = requests.schema[key].dataType.simpleString()
-    summary_schema = f"part int, first_key {key_type}, last_key {key_type}, first_time bigint, state array<bigint>"
+    def runs(batches: Iterator[pa.RecordBatch], carried: dict[int, list[int]]):
+        """Runs of one key in order: batch, first and past the last row, key, decisions, state; a run may begin in an earlier batch."""
+        current, state = None, []
+        for batch in batches:
+            keys, times = batch.column("_k").dictionary_encode(), batch.column("_t").to_numpy()
+            codes = keys.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                value = keys.dictionary[int(codes[lo])].as_py()
+                if current is None:
+                    state = list(carried.get(batch.column("_part")[0].as_py(), []))
+                elif value != current:
+                    state = []
+                current = value
+                allowed, retry, state = _decide(times[lo:hi], state, limit, window)
+                yield batch, lo, hi, value, allowed, retry, state
 
     def summarise(carried: dict[int, list[int]]):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            frames = iter(frames)
-            head = next(frames, None)
-            while head is not None and head.empty:
-                head = next(frames, None)
-            if head is None:
-                return
-            part = int(head["_part"].iloc[0])
-            value, state = None, []
-            for value, _, _, _, state in ends(part, _chain(head, frames), carried):
-                pass
-            yield pd.DataFrame({"part": [part], "first_key": [head[key].iloc[0]], "last_key": [value],
-                                "first_time": [int(head["_t"].iloc[0])], "state": [state]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = last = None
+            for batch, lo, _, value, _, _, state in runs(batches, carried):
+                if first is None:
+                    first = batch.column("_part")[0].as_py(), value, batch.column("_t")[lo].as_py()
+                last = value, state
+            if first is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first[0]], pa.int32()), pa.array([first[1]]), pa.array([last[0]]), pa.array([first[2]], pa.int64()),
+                     pa.array([last[1]], pa.list_(pa.int64()))], names=["part", "first_key", "last_key", "first_time", "state"])
         return run
 
-    found = {r["part"]: r for r in fixed.select(key, "_t", "_part").mapInPandas(summarise({}), summary_schema).collect()}
+    summary = "part int, first_key string, last_key string, first_time bigint, state array<bigint>"
+    found = {r["part"]: r for r in fixed.select("_k", "_t", "_part").mapInArrow(summarise({}), summary).collect()}
     order = sorted(found)
     carried: dict[int, list[int]] = {}
-    for _ in range(MAX_ROUNDS):
+    for _ in range(len(order) + 1):
         stale = {}
         for before, part in zip(order, order[1:]):
             if found[before]["last_key"] == found[part]["first_key"]:
@@ -117,29 +125,18 @@ def admit(
         if not stale:
             break
         carried.update(stale)
-        again = fixed.where(F.col("_part").isin(list(stale))).select(key, "_t", "_part")
-        found.update({r["part"]: r for r in again.mapInPandas(summarise(dict(carried)), summary_schema).collect()})
-    else:
-        raise RuntimeError("admission did not settle")
+        again = fixed.where(F.col("_part").isin(list(stale))).select("_k", "_t", "_part")
+        found.update({r["part"]: r for r in again.mapInArrow(summarise(dict(carried)), summary).collect()})
 
     names = requests.columns
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-
-    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = iter(frames)
-        head = next(frames, None)
-        while head is not None and head.empty:
-            head = next(frames, None)
-        if head is None:
-            return
-        for _, rows, allowed, retry, _ in ends(int(head["_part"].iloc[0]), _chain(head, frames), carried):
-            yield rows[names].assign(is_allowed=allowed, retry_after=retry)
-
-    return fixed.mapInPandas(decide, f"{out_schema}, is_allowed boolean, retry_after int")
-
-
-def _chain(head: pd.DataFrame, rest: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield head
-    for frame in rest:
-        if not frame.empty:
-            yield frame
+    schema = T.StructType([*requests.schema.fields, T.StructField("is_allowed", T.BooleanType()), T.StructField("retry_after", T.IntegerType())])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lo, hi, _, allowed, retry, _ in runs(batches, carried):
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(allowed), pa.array(retry, pa.int32())], names=schema.names)
+
+    decided = fixed.mapInArrow(decide, schema)
+    timeless = placed.where(F.col("_t").isNull()).select(
+        *names, F.lit(None).cast("boolean").alias("is_allowed"), F.lit(None).cast("int").alias("retry_after"))
+    return decided.unionByName(timeless)

@@ -17,7 +17,8 @@ def first_hits(golden: DataFrame, hits: DataFrame, query: str = "query_id", pref
     ``golden``: query, expected_act, expected_sections; ``hits``: query, rank,
     act_short, section_number.  A hit is relevant when its number or base number
     is expected; with ``prefix`` it only has to start with an expected number.
-    ``configs`` lists the values of ``by``; without it they are read from the hits.
+    ``configs`` lists the values of ``by``; it is required with ``by``, so that a
+    configuration without a hit still counts its misses.
     """
     by = by or []
     wanted = golden.select(query, "expected_act", F.col("expected_sections").alias("_want"))
@@ -32,13 +33,14 @@ def first_hits(golden: DataFrame, hits: DataFrame, query: str = "query_id", pref
     best = joined.where(match).groupBy(*by, query).agg(F.min("rank").alias("first_rank"))
     every = golden.select(query)
     if by:
-        every = _configs(golden, hits, query, by, configs)
+        if configs is None:
+            raise ValueError("name the configurations to compare")
+        every = _configs(golden, query, by, configs)
     return every.join(best, [*by, query], "left").select(*by, query, F.coalesce("first_rank", F.lit(MISS)).alias("first_rank"))
 
 
-def _configs(golden: DataFrame, hits: DataFrame, query: str, by: list[str], known: list[tuple] | None) -> DataFrame:
-    """Every golden query under every configuration; configurations are few and known by name."""
-    names = known or [tuple(r) for r in hits.select(*by).distinct().limit(1000).collect()]
+def _configs(golden: DataFrame, query: str, by: list[str], names: list[tuple]) -> DataFrame:
+    """Every golden query under every configuration named."""
     configs = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(by, name)]) for name in names])
     return golden.select(query, F.explode(configs).alias("_c")).select(query, "_c.*")
 
@@ -63,26 +65,39 @@ def nearest_rank(rows: DataFrame, value: str, percentiles: dict[str, float], by:
     """Percentiles as elements of the sorted values: position int(n * p), from 0.
 
     A mergeable sketch brackets each percentile; values below the bracket are
-    counted, and only the sliver inside it is sorted, so the result is exact
-    and a hot group is never gathered.
+    counted, and only the distinct values inside it are sorted, so the result is exact
+    and a hot group is never gathered.  A null label is a group; a group without
+    values has n = 0 and null percentiles.
     """
     out = rows.groupBy(*by).agg(F.count(value).alias("n"))
     eps = 2.0 / ACCURACY
     for name, p in percentiles.items():
         ends = F.percentile_approx(value, [max(0.0, p - eps), min(1.0, p + eps)], ACCURACY)
         bracket = rows.groupBy(*by).agg(F.count(value).alias("_n"), ends.alias("_ends"))
-        near = rows.select(*by, value).join(bracket, by)
+        near = _same_group(rows.select(*by, value), bracket, by)
         low, high = F.element_at("_ends", 1), F.element_at("_ends", 2)
         below = near.groupBy(*by).agg(F.count_if(F.col(value) < low).alias("_below"))
         inside = near.where(F.col(value).between(low, high)).groupBy(*by, "_n", value).agg(F.count(F.lit(1)).alias("_c"))
         w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
         upto = F.col("_below") + F.col("_sum")
-        placed = inside.withColumn("_sum", F.sum("_c").over(w)).join(below, by)
+        placed = _same_group(inside.withColumn("_sum", F.sum("_c").over(w)), below, by)
         picked = placed.where(upto > F.floor(F.col("_n") * F.lit(p))).groupBy(*by).agg(F.min(value).alias(name))
-        out = out.join(picked, by)
+        out = _same_group(out, picked, by)
     return out
 
 
+def _same_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Left join on the labels; null is a label like any other."""
+    if not by:
+        return left.join(right, how="left")  # one row without labels
+    other = right.select(*[F.col(c).alias(f"_of_{c}") for c in by], *[c for c in right.columns if c not in by])
+    same = [left[c].eqNullSafe(other[f"_of_{c}"]) for c in by]
+    on = same[0]
+    for test in same[1:]:
+        on = on & test
+    return left.join(other, on, "left").drop(*[f"_of_{c}" for c in by])
+
+
 def refusal_rates(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts and rates of a judged golden set: should_refuse, accepted, correct."""
     outside, inside = F.col("should_refuse"), ~F.col("should_refuse")

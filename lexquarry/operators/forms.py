@@ -14,6 +14,7 @@ from lexquarry.sizing import BROADCAST_ROWS, join_bounded
 # Words a query and a title do not match on.
 TITLE_STOP = ["the", "of", "to", "an", "a", "for", "in", "by", "under"]
 QUERY_STOP = [*TITLE_STOP, "show", "give", "what", "is", "form"]
+# How a query names a form or a section.
 FORM_NUMBER = r"(?i)(?:^|\b)(?:bnss\s+)?form\s+(?:no\.?|#)?\s*(\d+)(?:\b|$)"
 SECTION = r"(?i)(?:^|\b)(?:under\s+)?(?:section|sec\.?|s\.|u/s)\s*(\d+(?:\s*\(\s*[0-9a-zA-Z]+\s*\))*)"
 MIN_SCORE, SURE, LEAD, MAYBE, CANDIDATE, MAX_CANDIDATES = 0.3, 0.70, 0.15, 0.50, 0.45, 5
@@ -36,7 +37,8 @@ def parse_forms(lines: DataFrame, group: list[str], with_heads: list[int] = (33,
     if dropped:
         rows = rows.where(~F.col("text").isin(list(dropped)))
     number = F.regexp_extract("text", P.HEADER, 1)
-    rows = rows.withColumns({"_number": number, "_start": (number != "") & (F.length(number) <= 9)})
+    # a number beyond an int is no form number
+    rows = rows.withColumns({"_number": number, "_start": number.try_cast("int").isNotNull()})
     rows = running(rows, group, "page", ["line_no"], sums={"seq": F.col("_start").cast("int")}).where(F.col("seq") > 0)
     blocks = rows.groupBy(*group, "seq").agg(
         F.max(F.when(F.col("_start"), F.col("_number"))).cast("int").alias("form_number"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lexquarry.functions.text import strip
 from lexquarry.operators.scans import neighbours, running
 
+# Line grammars of a printed act.
 CHAPTER = r"(?i)^\s*CHAPTER\s+([IVXLCDM]+)\s*$"
 START = r"^(.*?)(?:^|(?<=\.\s))(\d+)\.\s*[A-Z(].*$"
 START_ATTACHED = r"^(\d+)\.[A-Za-z].*$"

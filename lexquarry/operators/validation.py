@@ -46,7 +46,10 @@ def corpus_issues(
     ``blocks`` (kind, ...) are the attached blocks found; provisos among them
     that no chunk is flagged for are an error.
     """
-    numbers = sections.where(F.col("section_number").rlike(r"^\d+$") & (F.length("section_number") <= 18)).select("section_number")
+    plain = F.col("section_number").rlike(r"^\d+$")
+    number = F.col("section_number").try_cast("bigint")
+    numbers = sections.where(plain & number.isNotNull()).select("section_number")
+    huge = sections.where(plain & number.isNull())
     gaps = missing_numbers(numbers, "section_number", expected_sections).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
     bad_pages = (F.col("page_start") < 1) | (F.col("page_end") > total_pages) | (F.col("page_start") > F.col("page_end"))
     thin = F.length(strip(F.col("text"))) < 25
@@ -54,6 +57,7 @@ def corpus_issues(
         _issue(gaps, F.when(F.col("n") <= few_missing, "WARNING").otherwise("ERROR"), "MISSING_SECTIONS", "sections", F.col("n")),
         _issue(duplicates(sections, ["section_number"]), "ERROR", "DUPLICATE_SECTIONS",
                F.concat(F.lit("section_"), F.col("section_number")), F.col("n")),
+        _issue(huge, "ERROR", "SECTION_NUMBER_TOO_LARGE", F.concat(F.lit("section_"), F.col("section_number"))),
         _issue(sections.where(bad_pages), "ERROR", "INVALID_PAGE_RANGE", F.concat(F.lit("section_"), F.col("section_number"))),
         _issue(duplicates(chunks, ["chunk_id"]), "ERROR", "DUPLICATE_CHUNK_IDS", F.col("chunk_id"), F.col("n")),
         _issue(chunks.where(thin), "WARNING", "SUSPICIOUS_SHORT_CHUNK", F.col("chunk_id"), F.length("text")),

@@ -167,10 +167,10 @@ def retrieve_user(
     chunk_id, document_id, user_id, text, embedding; ``scopes``: scope_id,
     user_id, document_id - one row per document a scope may see.  BM25
     statistics come from the scope's chunks alone, and nothing outside the
-    scope is read into a result.
+    scope is read into a result.  A chunk without an embedding is found by BM25.
     """
     visible = join_bounded(chunks, require_scope(scopes), ["user_id", "document_id"], max_rows=config.broadcast_rows)
-    dense = dense_top_k(visible, queries.where(F.col("query_vector").isNotNull()), "chunk_id", "embedding",
+    dense = dense_top_k(visible.where(F.col("embedding").isNotNull()), queries.where(F.col("query_vector").isNotNull()), "chunk_id", "embedding",
                         "query_id", "query_vector", config.user_dense_k, scope="scope_id",
                         block_rows=config.query_block_rows)
     sparse = bm25_search(visible, queries, "chunk_id", "text", "query_id", "query_text", config.user_sparse_k,

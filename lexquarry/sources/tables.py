@@ -20,14 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(rows) if name in TEXT_TABLES else rows
 
 
-SMALL_BYTES = 1 << 30
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out when its scan has fewer splits than the cluster has cores.
-
-    Inputs beyond ``SMALL_BYTES`` are never moved.
-    """
+    """Deal rows out when their scan has fewer splits than the cluster has cores; files of one row group cannot be split."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= SMALL_BYTES and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

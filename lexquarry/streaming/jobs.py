@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexquarry.operators.admission import MICROS, _decide, micros
@@ -45,18 +45,19 @@ def job_state_stream(events: DataFrame, key: str = "job_id", order: str = "seq")
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, progress, stage = state.get if state.exists else ("PENDING", None, None)
         batch = pd.concat(list(frames)).sort_values(order)
-        for e in batch.itertuples():
-            if e.kind == "cancel":
+        columns = (batch[c].tolist() for c in ("kind", "status", "progress", "stage"))
+        for kind, new_status, new_progress, new_stage in zip(*columns):
+            if kind == "cancel":
                 if status not in over:
                     status, stage = "CANCELLED", "cancelled"
-            elif e.kind == "finalize":
+            elif kind == "finalize":
                 if status not in dead:
                     status, progress, stage = "READY", 100, "complete"
             else:
-                if isinstance(e.status, str) and (status not in dead or e.status in dead):
-                    status = e.status
-                progress = int(e.progress) if pd.notna(e.progress) else progress
-                stage = e.stage if isinstance(e.stage, str) else stage
+                if isinstance(new_status, str) and (status not in dead or new_status in dead):
+                    status = new_status
+                progress = int(new_progress) if pd.notna(new_progress) else progress
+                stage = new_stage if isinstance(new_stage, str) else stage
         state.update((status, progress, stage))
         yield pd.DataFrame({key: [k[0]], order: [int(batch[order].iloc[-1])], "status": [status],
                             "progress": pd.array([progress], dtype="Int32"), "stage": [stage]})
@@ -75,7 +76,7 @@ def run_to_folder(stream: DataFrame, folder: str, mode: str = "append") -> None:
     """Process what is available, write it as parquet, and stop.
 
     ``append`` adds files with exactly-once commits; ``complete`` and ``update``
-    write every micro-batch to a folder of its own.
+    write every micro-batch to a folder of its own, and ``latest`` reads the state they leave.
     """
     if mode == "append":
         writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
@@ -86,6 +87,19 @@ def run_to_folder(stream: DataFrame, folder: str, mode: str = "append") -> None:
     writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def latest(spark: SparkSession, folder: str, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """State after the last micro-batch that ``run_to_folder`` wrote.
+
+    In ``complete`` mode that is the last batch.  In ``update`` mode give the ``keys``: their last row by batch (then ``order``) counts.
+    """
+    rows = spark.read.parquet(f"{folder}/out")
+    if keys is None:
+        return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    at = F.struct("batch", order) if order else F.col("batch")
+    fields = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), at).alias("_last")).select(*keys, "_last.*")
+
+
 def ingest_stream(uploads: DataFrame, folder: str, steps) -> None:
     """Run the ingestion steps for every micro-batch of uploads and stop.
 

@@ -153,3 +153,68 @@ def test_store_round_trip(spark, tmp_path):
     assert sorted(map(tuple, now.collect())) == [("a", 1), ("b", 2), ("c", 2)]
     store.delete_batch(spark.createDataFrame([("a",)], "chunk_id string"), now, ["chunk_id"], path, 2)
     assert sorted(r[0] for r in store.read_current(spark, path, ["chunk_id"]).collect()) == ["b", "c"]
+
+
+def test_admission_keeps_null_keys_and_times(spark):
+    from lexquarry.operators.admission import admit
+
+    rows = [(i, None if i % 3 == 0 else 2 ** 60 + i % 3, i * 1_000_000) for i in range(30)] + [(30, 2 ** 60 + 1, None)]
+    asked = spark.createDataFrame(rows, "id long, user long, us long").selectExpr("id", "user", "timestamp_micros(us) AS at")
+    got = admit(asked, "user", "at", "id", limit=2, window_seconds=10, partitions=4).collect()
+    assert sorted(r.id for r in got) == list(range(31))
+    assert {r.user for r in got} == {None, 2 ** 60 + 1, 2 ** 60 + 2}
+    assert [r.is_allowed for r in got if r.id == 30] == [None]
+    for user in {r.user for r in got}:
+        held, want = [], []
+        for i in [r[0] for r in rows if r[1] == user and r[2] is not None]:
+            held = [t for t in held if t > i - 10]
+            want.append(len(held) < 2)
+            held += [i] if want[-1] else []
+        mine = sorted((r for r in got if r.user == user and r.id < 30), key=lambda r: r.id)
+        assert [r.is_allowed for r in mine] == want
+
+
+def test_percentiles_keep_null_labels(spark):
+    from lexquarry.operators.evaluation import nearest_rank
+
+    rows = [(None, float(i)) for i in range(10)] + [("a", float(i)) for i in range(5)] + [("b", None)]
+    got = {r.label: (r.n, r.p50) for r in nearest_rank(spark.createDataFrame(rows, "label string, v double"), "v", {"p50": 0.5}, ["label"]).collect()}
+    assert got == {None: (10, 5.0), "a": (5, 2.0), "b": (0, None)}
+
+
+def test_budget_counts_short_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from lexquarry.operators.evidence import within_budget
+
+    ranked = spark.range(1, 2001).selectExpr("1 AS q", "cast(id AS int) AS rank", "'ab' AS text")
+    assert within_budget(ranked, "q", F.col("text"), 4000).count() == 1000
+
+
+def test_streams_show_the_last_state_of_several_batches(spark, tmp_path):
+    from lexquarry.streaming.jobs import counter_stream, job_state_stream, latest, run_to_folder
+
+    source = tmp_path / "in"
+    schema = "job_id string, seq long, kind string, status string, progress int, stage string"
+    for part in range(3):
+        rows = [(f"j{k}", part * 10 + k, "update", "PROCESSING", part, f"s{part}") for k in range(part, 4)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    run_to_folder(job_state_stream(stream), str(tmp_path / "a"), "update")
+    got = {r.job_id: (r.progress, r.stage) for r in latest(spark, str(tmp_path / "a"), ["job_id"], "seq").collect()}
+    assert got == {"j0": (0, "s0"), "j1": (1, "s1"), "j2": (2, "s2"), "j3": (2, "s2")}
+    run_to_folder(counter_stream(stream, ["job_id"], "progress"), str(tmp_path / "b"), "complete")
+    assert {r.job_id: r.total for r in latest(spark, str(tmp_path / "b")).collect()} == {"j0": 1, "j1": 2, "j2": 3, "j3": 3}
+
+
+def test_configurations_have_to_be_named(spark):
+    import pytest
+
+    from lexquarry.operators.evaluation import first_hits
+
+    golden = spark.createDataFrame([(1, None, ["1"])], "query_id int, expected_act string, expected_sections array<string>")
+    hits = spark.createDataFrame([("c", 1, 1, "BNS", "1")], "config string, query_id int, rank int, act_short string, section_number string")
+    with pytest.raises(ValueError):
+        first_hits(golden, hits, by=["config"])
+    got = first_hits(golden, hits, by=["config"], configs=[("c",), ("d",)]).collect()
+    assert {(r.config, r.first_rank) for r in got} == {("c", 1), ("d", 0)}
