@@ -1,7 +1,7 @@
 """Hidden Markov language model.
 
 Words are observed through classes: each of the ``own_classes`` most frequent words is a class, the others share ``HASHED`` classes
-by their ending, and the end of a text is a class.  A state emits a class, a class emits a word by its corpus count (add 0.1, one
+by their ending, and the end of a text is the last class.  A state emits a class, a class emits a word by its corpus count (add 0.1, one
 further word reserved for what was never seen), so the model gives every word its own probability while the tables of states stay
 small.  Baum-Welch: each task runs scaled forward and backward recursions over its training texts and returns expected counts, which
 are summed by state and block of classes; the sums, of fixed size, reach the driver.  For training, a text is cut into runs of at most
@@ -35,9 +35,9 @@ ITERATIONS = 4
 RUN = 256
 RUN_TOKENS = 1 << 20
 BLOCK = 256
-END = OWN_CLASSES + HASHED
-CLASSES = END + 1
 ADD = 0.1
+#: How often a state keeps itself at first: the texts of one kind then gather in one state within a round.
+STAY = 0.95
 
 
 def hashed_class(word: bytes) -> int:
@@ -126,7 +126,7 @@ def observed(docs: DataFrame, keep: list[str], text: str, shared, own_classes: i
                 codes, n = words.codes, hi - lo
                 owner = words.text_of_word()
                 total = np.diff(words.starts)
-                classes = np.insert(class_of[codes], words.starts[1:], END).astype("<u2")
+                classes = np.insert(class_of[codes], words.starts[1:], own_classes + HASHED).astype("<u2")
                 ends = words.starts + np.arange(n + 1)
                 raw = classes.tobytes()
                 is_rare = rank[codes] < 0
@@ -157,9 +157,9 @@ class Model:
 def first_model(states: int, share: np.ndarray, seed: int = 7) -> Model:
     draw = np.random.default_rng(seed)
     emit = share[:, None] * draw.uniform(0.5, 1.5, (len(share), states))
-    move = draw.uniform(0.5, 1.5, (states, states))
     even = np.full(states, 1 / states)
-    return Model(even, even.copy(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    move = STAY * np.eye(states) + (1 - STAY) * even
+    return Model(even, even.copy(), move, emit / emit.sum(0))
 
 
 def _steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
