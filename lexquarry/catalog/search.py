@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexquarry.catalog.stand_ins import (
@@ -18,7 +20,9 @@ from lexquarry.operators.fusion import fuse, fuse_user
 from lexquarry.operators.language import multilingual_flags, vocabulary
 from lexquarry.operators.rerank import attach, rerank
 from lexquarry.plans.retrieval import Corpus, retrieve
+from lexquarry.session import checkpoint_folder
 from lexquarry.sizing import BROADCAST_ROWS, fits, join_bounded
+from lexquarry.sources.store import load_index, save_index
 
 DOC_TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -134,6 +138,25 @@ def bm25_index_search(spark: SparkSession, folder: str) -> DataFrame:
                                "asked", 25))
 
 
+def _stored_index(docs: DataFrame, doc: str, text: str, tokenizer=document_tokens) -> dict[str, DataFrame]:
+    """The index written below the checkpoint folder and read again."""
+    path = f"{checkpoint_folder(docs.sparkSession)}/index-{uuid4().hex}"
+    save_index(L.build_index(docs, doc, text, tokenizer), path)
+    return load_index(docs.sparkSession, path)
+
+
+def bm25_stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    index = _stored_index(_documents(spark, folder), "doc_id", "text")
+    return _top(L.search_index(index, _asked(spark, folder).withColumnRenamed("text", "asked"), "doc_id", "item_id", "asked", 25))
+
+
+def retrieve_stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Known items in mode hybrid, searched in a stored index."""
+    corpus = _corpus(spark, folder)
+    stored = Corpus(corpus.passages, corpus.vectors, _stored_index(corpus.passages, "chunk_id", "index_text"))
+    return _results(retrieve(known_items(spark, folder), stored, "hybrid", tokenizer=document_tokens))
+
+
 def _dense(spark: SparkSession, folder: str, k: int, **kw) -> DataFrame:
     queries = known_items(spark, folder).where(F.col("query_vector").isNotNull())
     return dense_top_k(table(spark, folder, "embeddings"), queries, "vec_id", "embedding", "query_id", "query_vector",
@@ -270,6 +293,7 @@ QUERIES = {
     "tokenize_docs": tokenize_docs, "tokenize_sections": tokenize_sections, "corpus_stats": corpus_stats,
     "corpus_stats_by_language": corpus_stats_by_language, "term_idf": term_idf, "bm25_topk": bm25_topk, "bm25_shuffled": bm25_shuffled,
     "bm25_filtered": bm25_filtered, "bm25_fallback_topk": bm25_fallback_topk, "bm25_index_search": bm25_index_search,
+    "bm25_stored_index": bm25_stored_index, "retrieve_stored_index": retrieve_stored_index,
     "dense_topk": dense_topk, "dense_filtered": dense_filtered, "dense_threshold": dense_threshold,
     "rrf_fuse": rrf_fuse, "rrf_k_sweep": rrf_k_sweep, "rrf_user_order": rrf_user_order,
     "section_intent": section_intents, "exact_lookup": exact_lookups, "rerank_topk": rerank_topk,
@@ -388,3 +412,6 @@ SELECT item_id, CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidenc
   CASE WHEN query IS NULL THEN 'no_retrieval_results' WHEN s >= 0.75 THEN 'high_retrieval_confidence' ELSE 'low_retrieval_confidence' END AS reason,
   round(ce::DOUBLE, 4) AS s_ce, agree AS s_agree, round(margin::DOUBLE, 4) AS s_margin, cohere AS s_cohere FROM final""",
 }
+
+SQL["bm25_stored_index"] = SQL["bm25_index_search"]
+SQL["retrieve_stored_index"] = SQL["retrieve_hybrid"]

@@ -200,18 +200,32 @@ def bm25_search(
         return bm25_top_k(scores, query, doc, k, by, fallback).drop(*by)
     tokens = tokenized(docs, doc, text, tokenizer, by)
     stats = corpus_stats(tokens, by)
-    idf = term_idf(tokens, by, params).select(*by, "term", "idf")
-    weighted = asked.join(idf, [*by, "term"])
+    table = _weights(asked, term_idf(tokens, by, params), stats, query, by)
+    pool = tokenized(docs if where is None else docs.where(where), doc, text, tokenizer, by)
+    stream = pool.select(*by, doc, "dl", F.explode_outer("tokens").alias("term"), F.lit(1).cast("bigint").alias("tf"))
+    return _best(stream, table, doc, query, queries.schema[query].dataType, k, by, params, fallback)
+
+
+def _weights(asked: DataFrame, idf: DataFrame, stats: DataFrame, query: str, by: list[str]) -> pa.Table:
+    """by, term, query, w, avgdl of query terms whose number was checked."""
+    weighted = asked.join(idf.select(*by, "term", "idf"), [*by, "term"])
     weighted = weighted.join(stats, by) if by else weighted.withColumn("avgdl", stats.select("avgdl").scalar())
-    # bounded by the check above
-    table = weighted.select(*by, "term", query, (F.col("qtf") * F.col("idf")).alias("w"), "avgdl").toArrow()
+    return weighted.select(*by, "term", query, (F.col("qtf") * F.col("idf")).alias("w"), "avgdl").toArrow()
+
+
+def _best(stream: DataFrame, table: pa.Table, doc: str, query: str, query_type: T.DataType, k: int, by: list[str], params: Bm25,
+          fallback: bool, grouped: bool = True) -> DataFrame:
+    """Top ``k`` documents per query from a stream of (by, doc, dl, term, tf).
+
+    Rows of a document have to be neighbours in one partition; if they are not (``grouped`` false), those that hold a query term are
+    shuffled by document.
+    """
     keys = list(zip(*[table.column(c).to_pylist() for c in [*by, "term"]]))
     number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
     names = list(dict.fromkeys(table.column(query).to_pylist()))
     place = {name: i for i, name in enumerate(names)}
-    spark = docs.sparkSession
-    types = {f.name: f.dataType for f in [docs.schema[doc], queries.schema[query]]}
-    schema = T.StructType([T.StructField(query, types[query]), T.StructField(doc, types[doc]),
+    spark = stream.sparkSession
+    schema = T.StructType([T.StructField(query, query_type), T.StructField(doc, stream.schema[doc].dataType),
                            T.StructField("score", T.DoubleType())])
     order = [F.round("score", ORDER_DIGITS).desc(), F.col(doc).asc()]
     if not keys:
@@ -225,21 +239,21 @@ def bm25_search(
         names, np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(number)))]),
         np.array([place[q] for q in table.column(query).to_pylist()], dtype="int64")[sort],
         table.column("w").to_numpy()[sort], avgdl))
-    key_schema = T.StructType([*[docs.schema[c] for c in by], T.StructField("term", T.StringType()), T.StructField("key", T.LongType())])
+    key_schema = T.StructType([*[stream.schema[c] for c in by], T.StructField("term", T.StringType()), T.StructField("key", T.LongType())])
     lookup = spark.createDataFrame([(*key, i) for key, i in number.items()], key_schema)
-
-    pool = tokenized(docs if where is None else docs.where(where), doc, text, tokenizer, by)
-    stream = pool.select(*by, doc, "dl", F.explode_outer("tokens").alias("term")).join(
-        F.broadcast(lookup), [*by, "term"]).select(doc, "dl", "key")
-    hits = stream.mapInArrow(_scorer(shared, query, doc, k, params, fallback), schema)
+    found = stream.join(F.broadcast(lookup), [*by, "term"]).select(doc, "dl", "key", F.col("tf").cast("bigint").alias("tf"))
+    if not grouped:
+        found = found.repartition(doc).sortWithinPartitions(doc)
+    hits = found.mapInArrow(_scorer(shared, query, doc, k, params, fallback), schema)
     return top_k(hits, [query], order, k)
 
 
 def _scorer(shared, query: str, doc: str, k: int, params: Bm25, fallback: bool):
-    def scores_of(ids: np.ndarray, code: np.ndarray, dl: np.ndarray, key: np.ndarray, best: list) -> None:
+    def scores_of(ids: np.ndarray, code: np.ndarray, dl: np.ndarray, key: np.ndarray, times: np.ndarray, best: list) -> None:
         """Score whole documents; ``code`` numbers them from 0 in ``ids``."""
         names, start, column, weight, avgdl = shared.value
-        pair, tf = np.unique(code * len(avgdl) + key, return_counts=True)
+        pair, of = np.unique(code * len(avgdl) + key, return_inverse=True)
+        tf = np.bincount(of, weights=times)
         d, t = pair // len(avgdl), pair % len(avgdl)
         length = np.zeros(len(ids))
         length[code] = dl
@@ -252,7 +266,7 @@ def _scorer(shared, query: str, doc: str, k: int, params: Bm25, fallback: bool):
         score = np.bincount(cell, weights=weight[at] * gain[row], minlength=size).reshape(len(ids), -1)
         if fallback:
             score = np.where(score > 0, score, np.bincount(cell, minlength=size).reshape(len(ids), -1))
-        for j in range(len(names)):
+        for j in np.flatnonzero((score > 0).any(axis=0)):
             s = score[:, j]
             keep = np.flatnonzero(s > 0)
             s, i = s[keep], ids[keep]
@@ -265,7 +279,7 @@ def _scorer(shared, query: str, doc: str, k: int, params: Bm25, fallback: bool):
         names = shared.value[0]
         most = max(1, CELLS // len(names))
         best: list = [None] * len(names)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         types = None
 
@@ -274,7 +288,7 @@ def _scorer(shared, query: str, doc: str, k: int, params: Bm25, fallback: bool):
             nonlocal held, rows
             if not held:
                 return
-            ids, dl, key = (np.concatenate(c) for c in zip(*held))
+            ids, dl, key, times = (np.concatenate(c) for c in zip(*held))
             fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
             heads = np.flatnonzero(fresh)
             code = np.cumsum(fresh) - 1
@@ -283,8 +297,8 @@ def _scorer(shared, query: str, doc: str, k: int, params: Bm25, fallback: bool):
                 a = heads[first]
                 b = min(heads[first + most] if first + most < len(heads) else len(ids), whole)
                 if a < b:
-                    scores_of(ids[heads[first:first + most]][:code[b - 1] - first + 1], code[a:b] - first, dl[a:b], key[a:b], best)
-            held = [(ids[whole:], dl[whole:], key[whole:])] if whole < len(ids) else []
+                    scores_of(ids[heads[first:first + most]][:code[b - 1] - first + 1], code[a:b] - first, dl[a:b], key[a:b], times[a:b], best)
+            held = [(ids[whole:], dl[whole:], key[whole:], times[whole:])] if whole < len(ids) else []
             rows = len(ids) - whole
 
         for batch in batches:
@@ -293,7 +307,8 @@ def _scorer(shared, query: str, doc: str, k: int, params: Bm25, fallback: bool):
             types = batch.schema.field(doc).type
             ids = batch.column(doc).to_numpy(zero_copy_only=False)
             held.append((ids.astype(str) if ids.dtype == object else ids,
-                         batch.column("dl").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)))
+                         batch.column("dl").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False),
+                         batch.column("tf").to_numpy(zero_copy_only=False)))
             rows += batch.num_rows
             if rows >= CELLS // 4:
                 flush(final=False)
@@ -319,18 +334,25 @@ def build_index(docs: DataFrame, doc: str, text: str, tokenizer: Tokenizer = doc
 
 def search_index(index: dict[str, DataFrame], queries: DataFrame, doc: str, query: str, query_text: str, k: int,
                  tokenizer: Tokenizer = document_tokens, params: Bm25 = Bm25(),
-                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Top-k over saved index tables; postings are read by term only."""
+                 broadcast_rows: int = BROADCAST_ROWS, visible: DataFrame | None = None) -> DataFrame:
+    """Top-k over saved index tables.
+
+    Of the postings, those of the query's terms are read and shuffled once by document; a task scores its documents for all queries
+    and keeps ``k`` rows of each.  ``visible`` limits the documents, not the statistics.  More query terms than a broadcast holds are
+    joined by term.
+    """
     asked = query_terms(queries, query, query_text, tokenizer)
-    small = fits(asked, broadcast_rows)
+    postings = index["postings"]
+    if visible is not None:
+        postings = postings.join(visible.select(doc).distinct(), doc, "left_semi")
+    if fits(asked, broadcast_rows):
+        table = _weights(asked, index["terms"], index["corpus"], query, [])
+        return _best(postings.select(doc, "dl", "term", "tf"), table, doc, query, queries.schema[query].dataType, k, [], params, False, grouped=False)
     weighted = asked.join(index["terms"].select("term", "idf"), "term")
     avgdl = index["corpus"].select("avgdl").scalar()
     gain = F.col("tf") * (params.k1 + 1) / (
         F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("dl") / avgdl))
-    postings = index["postings"].select(doc, "term", gain.alias("gain"))
-    pairs = (
-        postings.join(F.broadcast(weighted), "term") if small else skew_join(postings, weighted, ["term"])
-    )
+    pairs = skew_join(postings.select(doc, "term", gain.alias("gain")), weighted, ["term"])
     scores = pairs.groupBy(query, doc).agg(
         F.sum(F.col("qtf") * F.col("idf") * F.col("gain")).alias("score"), F.count(F.lit(1)).alias("matches"))
     return bm25_top_k(scores, query, doc, k)

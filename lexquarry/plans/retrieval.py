@@ -14,7 +14,7 @@ from lexquarry.operators.dense import dense_top_k
 from lexquarry.operators.exact import exact_lookup, with_intent
 from lexquarry.operators.fusion import fuse, fuse_user
 from lexquarry.operators.language import multilingual_flags
-from lexquarry.operators.lexical import Bm25, Tokenizer, bm25_search
+from lexquarry.operators.lexical import Bm25, Tokenizer, bm25_search, search_index
 from lexquarry.operators.rerank import attach, rerank
 from lexquarry.operators.tenancy import require_scope
 from lexquarry.operators.topk import top_k
@@ -31,11 +31,13 @@ PASSAGE_COLUMNS = [
 class Corpus:
     """Passages with an indexed text column, and their vectors.
 
-    ``passages``: chunk_id, index_text and PASSAGE_COLUMNS; ``vectors``: chunk_id, embedding.
+    ``passages``: chunk_id, index_text and PASSAGE_COLUMNS; ``vectors``: chunk_id, embedding; ``index``: tables of
+    ``lexical.build_index`` over chunk_id, such as ``store.load_index`` reads.  With an index no passage is tokenised.
     """
 
     passages: DataFrame
     vectors: DataFrame
+    index: dict[str, DataFrame] | None = None
 
 
 def equality_filter(fields: dict[str, str | None]) -> Column | None:
@@ -104,9 +106,12 @@ def retrieved_documents(
                            "query_id", "query_vector", k, block_rows=config.query_block_rows)
 
     def sparse(k: int) -> DataFrame:
+        params = Bm25(config.k1, config.b, config.epsilon)
+        if corpus.index is not None:
+            return search_index(corpus.index, searched, "chunk_id", "query_id", "query_text", k, tokenizer, params,
+                                config.broadcast_rows, None if where is None else corpus.passages.where(where))
         return bm25_search(corpus.passages, searched, "chunk_id", "index_text", "query_id", "query_text", k, tokenizer,
-                           where=where, params=Bm25(config.k1, config.b, config.epsilon),
-                           broadcast_rows=config.broadcast_rows)
+                           where=where, params=params, broadcast_rows=config.broadcast_rows)
 
     texts = asked.select("query_id", "query_text")
     if mode == "dense":

@@ -48,17 +48,25 @@ def skew_join(
     Hot keys are found with a pre-aggregated count.  Their left rows are dealt
     over ``salts`` numbers by a hash of the row (a retried task deals the same
     way), their right rows are repeated once per number, and every other row
-    carries number 0, so only the hot part of ``right`` is repeated.
+    carries number 0, so only the hot part of ``right`` is repeated.  Rows with a
+    null key match nothing, so they never meet the join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot split the left side of a {how} join")
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    whole, left = left, left.where(~null_key)
+    alone = whole.where(null_key) if how in ("left", "left_anti") else None
+
+    def with_alone(joined: DataFrame) -> DataFrame:
+        return joined if alone is None else joined.unionByName(alone, allowMissingColumns=True)
+
     hot = (
         left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot"))
     )
     found = hot.limit(BROADCAST_ROWS + 1).count()
     if found == 0:
-        return left.join(right, on, how)
+        return with_alone(left.join(right, on, how))
     if found <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     dealt = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
@@ -68,7 +76,7 @@ def skew_join(
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right_s = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left_s.join(right_s, [*on, "_salt"], how).drop("_salt")
+    return with_alone(left_s.join(right_s, [*on, "_salt"], how).drop("_salt"))
 
 
 def blocks(df: DataFrame, key: str, max_rows: int) -> list[DataFrame]:
