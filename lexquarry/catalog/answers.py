@@ -14,9 +14,11 @@ from lexquarry.functions.text import document_tokens
 from lexquarry.models.embedding import HashedEmbedding
 from lexquarry.plans.answering import answer, combined_evidence, unified
 from lexquarry.plans.benchmark import compare, generation_benchmark
-from lexquarry.plans.ingest import ingest_uploads, parse_corpus
+from lexquarry.operators.tenancy import within_active
+from lexquarry.plans.ingest import ingest_corpus, ingest_uploads, parse_corpus
 from lexquarry.plans.retrieval import retrieve, retrieve_user
 from lexquarry.session import checkpoint_folder
+from lexquarry.sources.store import LAYOUT, delete_batch, read_current
 from lexquarry.streaming.jobs import admit_stream, counter_stream, job_state_stream, latest, run_to_folder
 
 
@@ -43,7 +45,7 @@ def scopes(spark: SparkSession, folder: str) -> DataFrame:
 def user_queries(spark: SparkSession, folder: str) -> DataFrame:
     """Every known item asked by one of the users."""
     return known_items(spark, folder).withColumns({
-        "scope_id": F.concat(F.lit("s"), _s(F.col("query_id") % 20)), "active_documents": F.array(F.lit("doc1"))})
+        "scope_id": F.concat(F.lit("s"), _s(F.col("query_id") % 20)), "active_documents": F.array(F.concat(F.lit("doc"), _s(F.col("query_id") % 20)))})
 
 
 def retrieve_user_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +59,38 @@ def retrieve_user_reranked(spark: SparkSession, folder: str) -> DataFrame:
         "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
+def active_scope_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits of known items among one active document of the user, with the document of each hit."""
+    asked, seen = within_active(user_queries(spark, folder), scopes(spark, folder))
+    chunks = user_chunks(spark, folder)
+    hits = retrieve_user(asked, chunks, seen, scorer=None)
+    return hits.join(chunks.select("chunk_id", F.col("document_id").alias("found_in")), "chunk_id").groupBy("query_id", "found_in").agg(
+        F.count(F.lit(1)).alias("n_hits"))
+
+
+def ingest_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as sections: validated, embedded and written, written again without a change, some deleted, and read back."""
+    p, n = table(spark, folder, "part"), table(spark, folder, "part").count()
+    key, page = F.col("p_partkey"), (F.col("p_partkey") % 50 + 1).cast("int")
+    text = F.concat(F.lit("The "), F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit(" is "), F.col("p_type"), F.lit("."))
+    none = F.lit(None).cast("string")
+    sections = p.select(_s(key).alias("section_number"), F.lit("1").alias("chapter"), page.alias("page_start"), page.alias("page_end"),
+                        F.array(text).alias("lines"))
+    passages = p.select(
+        F.concat(F.lit("p"), _s(key)).alias("chunk_id"), F.lit("An Act").alias("act"), F.lit("BNS").alias("act_short"), F.lit("1").alias("chapter"),
+        F.lit("Of parts").alias("chapter_title"), _s(key).alias("section_number"), F.col("p_name").alias("section_title"), none.alias("subsection"),
+        none.alias("clause"), F.lit("substantive_section").alias("chunk_type"), text.alias("text"), page.alias("page_start"), page.alias("page_end"),
+        text.alias("index_text"), F.lit(False).alias("has_proviso"))
+    store, config, model = f"{_work(spark)}-store", EngineConfig(max_section=n), HashedEmbedding(EngineConfig(embedding_dim=64))
+    for _ in range(2):
+        ingest_corpus(sections, passages, model, store, 0, 60, config)
+    stored = read_current(spark, f"{store}/passages", ["chunk_id"])
+    delete_batch(stored.where(F.col("section_number").cast("int") % 10 == 0), stored, ["chunk_id"], f"{store}/passages", 1, LAYOUT)
+    vectors = read_current(spark, f"{store}/vectors", ["chunk_id"])
+    return read_current(spark, f"{store}/passages", ["chunk_id"]).join(vectors, "chunk_id").select(
+        "chunk_id", "chunk_type", F.md5("index_text").alias("index_md5"), F.size("embedding").cast("long").alias("dim"))
+
+
 def generate_validate(spark: SparkSession, folder: str) -> DataFrame:
     """Section questions and known items retrieved, gated, answered and validated."""
     queries = known_items(spark, folder).unionByName(turns(spark, folder).select(
@@ -150,10 +184,15 @@ def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    retrieve_user_documents, retrieve_user_reranked, generate_validate, combined_answers, unified_answers, mode_compare,
+    retrieve_user_documents, retrieve_user_reranked, active_scope_search, ingest_store, generate_validate, combined_answers, unified_answers, mode_compare,
     generation_rates, embed_documents, ingest_documents, parse_statute, stream_rate_limit, stream_job_states, stream_counters)}
 
 SQL = {
+    # every hit lies in the active document; five of its chunks are found, or all if there are fewer
+    "active_scope_search": """SELECT item_id AS query_id, 'doc' || (item_id % 20) AS found_in, least(5, n)::BIGINT AS n_hits
+FROM benchmark JOIN (SELECT doc_id % 40 AS d, count(*) AS n FROM documents GROUP BY d) ON d = item_id % 20""",
+    "ingest_store": """SELECT 'p' || p_partkey AS chunk_id, 'substantive_section' AS chunk_type,
+  md5('The ' || p_name || ' of ' || p_brand || ' is ' || p_type || '.') AS index_md5, 64::BIGINT AS dim FROM part WHERE p_partkey % 10 <> 0""",
     "stream_rate_limit": K.SQL["rate_limit"],
     "stream_job_states": K.SQL["job_states"].replace("n AS n_events, ", ""),
     "stream_counters": K.SQL["counters"],

@@ -17,6 +17,7 @@ from lexquarry.operators import metrics as C
 from lexquarry.operators import tenancy as N
 from lexquarry.operators import validation as V
 from lexquarry.operators.admission import admit
+from lexquarry.session import reliable_checkpoint
 from lexquarry.sizing import join_bounded
 
 
@@ -330,9 +331,10 @@ def config_compare(spark: SparkSession, folder: str) -> DataFrame:
 
 def _confidences(spark: SparkSession, folder: str) -> DataFrame:
     """Top score squeezed to [0, 1] as the confidence of an item."""
-    g = golden(spark, folder)
-    first = Q.first_hits(g, _hits(spark, folder))
-    top = _hits(spark, folder, 1).select("query_id", F.round(F.least(F.lit(1.0), F.col("score") / 200.0), 4).alias("confidence_score"))
+    # one row per item, and k hits of each: stored, as the plan below takes them apart
+    g, hits = reliable_checkpoint(golden(spark, folder)), reliable_checkpoint(_hits(spark, folder))
+    first = Q.first_hits(g, hits)
+    top = hits.where("rank = 1").select("query_id", F.round(F.least(F.lit(1.0), F.col("score") / 200.0), 4).alias("confidence_score"))
     return g.join(first, "query_id").join(top, "query_id", "left").select(
         "should_refuse", F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"), (F.col("first_rank") > 0).alias("correct"))
 

@@ -31,15 +31,24 @@ class HashedEmbedding:
         return self.documents(text)
 
 
+# Counters a batch of embeddings holds at a time.
+FOLD_CELLS = 4_000_000
+
+
 def _fold(dim: int) -> Callable[[Column], Column]:
     @F.pandas_udf("array<float>")
     def fold(slots: pd.Series) -> pd.Series:
-        def one(s) -> np.ndarray:
-            counts = np.bincount(np.asarray(s, dtype="int64"), minlength=2 * dim).astype("float64")
-            v = counts[:dim] - counts[dim:]
-            norm = np.sqrt((v * v).sum())
-            return (v / norm if norm else v).astype("float32")
-        return slots.map(one)
+        out: list[np.ndarray] = []
+        most = max(1, FOLD_CELLS // (2 * dim))
+        for lo in range(0, len(slots), most):
+            part = [np.asarray(s, dtype="int64") for s in slots.iloc[lo:lo + most]]
+            row = np.repeat(np.arange(len(part)), [len(s) for s in part])
+            flat = np.concatenate([np.zeros(0, dtype="int64"), *part])
+            counts = np.bincount(row * 2 * dim + flat, minlength=len(part) * 2 * dim).reshape(len(part), 2 * dim).astype("float64")
+            v = counts[:, :dim] - counts[:, dim:]
+            norm = np.sqrt((v * v).sum(1, keepdims=True))
+            out += list((v / np.where(norm > 0, norm, 1)).astype("float32"))
+        return pd.Series(out, index=slots.index)
     return fold
 
 

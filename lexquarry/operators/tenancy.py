@@ -47,6 +47,23 @@ def active_documents(requested: Column, scoped_ids: Column, ready: Column) -> Co
     )
 
 
+def within_active(queries: DataFrame, scopes: DataFrame, active: str = "active_documents") -> tuple[DataFrame, DataFrame]:
+    """Queries and scopes such that a query with active documents sees those of its scope only.
+
+    Every distinct list of active documents gets a scope of its own; a query without one keeps its scope.
+    """
+    listed = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(active), F.array().cast("array<string>")))))
+    keyed = queries.withColumn("_active", listed).withColumn("_scope", F.when(
+        F.size("_active") > 0, F.concat_ws("|", F.col("scope_id").cast("string"), F.sha2(F.to_json("_active"), 256))).otherwise(
+        F.col("scope_id").cast("string")))
+    lists = keyed.where(F.size("_active") > 0).select("scope_id", "_scope", "_active").distinct()
+    narrow = scopes.join(lists, "scope_id").where(F.array_contains("_active", F.col("document_id")))
+    rest = [c for c in scopes.columns if c != "scope_id"]
+    every = scopes.select(F.col("scope_id").cast("string").alias("scope_id"), *rest).unionByName(
+        narrow.select(F.col("_scope").alias("scope_id"), *rest).distinct())
+    return keyed.withColumn("scope_id", F.col("_scope")).drop("_scope", "_active"), every
+
+
 def latest(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:
     """Last version of every key.  A pre-aggregation, so hot keys stay cheap."""
     rest = [c for c in rows.columns if c not in key]
