@@ -22,6 +22,7 @@ import os
 import unicodedata
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,34 @@ from lexquarry.llm.words import Words, slices, split_words
 CAPACITY = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 400_000
-PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+CACHED_WORDS = 600_000
+PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+class Pool:
+    """Id sequences by name, stored in a row."""
+
+    def __init__(self) -> None:
+        self.number: dict = {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, names: list, flat: np.ndarray, size: np.ndarray) -> None:
+        first = len(self.size)
+        self.number.update(zip(names, range(first, first + len(names))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat.astype(np.uint32)])
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences one after the other, and the end of each."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        source = np.repeat(self.begin[numbers] - (ends - size), size)
+        source += np.arange(len(source))
+        return self.flat[source], ends
+
+
 class WordEncoder:
     """Token ids of words, with a bounded memory of words seen."""
 
@@ -50,58 +73,59 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.parts = Pool(), Pool()
+        self.parts.add([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
-    def split(self, word: str) -> tuple[str, str]:
-        """Letters and punctuation behind them; ("", word) for any other word.
+    def split(self, word: bytes) -> tuple[bytes, bytes]:
+        """Letters and punctuation behind them; (b"", word) for any other word.
 
         The vocabulary's lower case is that of single characters; only A-Z are mapped here.
         """
         head = word.rstrip(PUNCTUATION)
-        if head.isascii():
-            if head.isalpha():
-                return head.lower(), word[len(head):]
-        elif head.isalpha() and "".join(map(str.lower, head)).isalpha() and unicodedata.is_normalized("NFC", head):
-            return head, word[len(head):]
-        return "", word
-
-    def learn(self, heads: list[str], others: list[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        for lo in range(0, len(heads), 2000):
-            part = heads[lo:lo + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+        if head.isalpha():
+            return head.lower(), word[len(head):]
+        if not head.isascii():
+            letters = head.decode("utf-8", "replace")
+            if letters.isalpha() and "".join(map(str.lower, letters)).isalpha() and unicodedata.is_normalized("NFC", letters):
+                return head, word[len(head):]
+        return b"", word
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new words by their parts; runs of letters are encoded together."""
+        pairs = [self.split(w) for w in words]
+        known = self.parts.number
+        heads = list({h for h, _ in pairs if h not in known})
+        others = list({t for _, t in pairs if t not in known})
+        for lo in range(0, len(heads), 5000):
+            part = heads[lo:lo + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                self.known.update(zip(part, np.split(ids.astype(np.uint32), cuts[:-1])))
+                self.parts.add(part, ids, np.diff(cuts, prepend=0))
             else:
-                others = others + part
-        for lo in range(0, len(others), 2000):
-            part = others[lo:lo + 2000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, np.uint32)
+                others += part
+        others = [x for x in dict.fromkeys(others) if x not in known]
+        if others:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in others], add_special_tokens=False)]
+            self.parts.add(others, np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64))
+        numbers = np.array([(known[h], known[t]) for h, t in pairs], np.int64).reshape(-1)
+        flat, ends = self.parts.joined(numbers)
+        self.words.add(words, flat, np.diff(ends[1::2], prepend=0))
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins."""
-        pairs = [self.split(w.decode("utf-8", "replace")) for w in words.values]
-        heads = {h for h, _ in pairs if h}
-        tails = {t for _, t in pairs if t}
-        if len(self.known) + len(heads) > CACHED_WORDS:
-            self.known.clear()
-        self.learn([h for h in heads if h not in self.known], [t for t in tails if t not in self.known])
-        known, empty = self.known, np.zeros(0, np.uint32)
-        known[""] = empty
-        parts = [x for h, t in pairs for x in (known[h], known[t])]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate([empty, *parts])
-        size = sizes[::2] + sizes[1::2]
-        begin = np.cumsum(size) - size
-        per_word = size[words.codes] if len(size) else np.zeros(0, np.int64)
-        ends = np.cumsum(per_word)
-        source = np.arange(int(ends[-1]) if len(ends) else 0)
-        if len(ends):
-            source += np.repeat(begin[words.codes] - (ends - per_word), per_word)
-        return flat[source], np.concatenate([[0], ends])[words.starts]
+        if len(self.words.number) + len(words.values) > CACHED_WORDS:
+            self.forget()
+        new = [w for w in words.values if w not in self.words.number]
+        if new:
+            self.learn(new)
+        number = self.words.number
+        of_value = np.fromiter((number[w] for w in words.values), np.int64, len(words.values))
+        flat, ends = self.words.joined(of_value[words.codes])
+        return flat, np.concatenate([[0], ends])[words.starts]
 
 
 def encoder(path: str) -> WordEncoder:
