@@ -415,3 +415,23 @@ SELECT item_id, CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidenc
 
 SQL["bm25_stored_index"] = SQL["bm25_index_search"]
 SQL["retrieve_stored_index"] = SQL["retrieve_hybrid"]
+
+
+def _judged_sql(mode: str, ranked: str, dense_rank: str, bm25_rank: str, **before: str) -> str:
+    """Results of a search without reranking; ``ranked`` gives query, doc, score, rank."""
+    hits = f"""SELECT t.query, t.rank, t.score, t.score AS raw_score, {dense_rank}::INT AS dense_rank, {bm25_rank}::INT AS bm25_rank, p.act_short,
+        regexp_extract(p.section_number, '^[0-9]+[a-zA-Z]?') AS base, {_TITLE_SQL} AS words FROM ranked t JOIN passages p ON p.doc_id = t.doc"""
+    factors = CONFIDENCE_CTES["factors"].replace("(top_raw + 10.5) / 6.0", "top_raw").replace("/ 1.5", "/ 0.15")
+    lists = "SELECT query AS asked, string_agg('d' || lpad(doc::VARCHAR, 10, '0'), ',' ORDER BY rank) AS chunks, count(*)::INT AS n FROM ranked GROUP BY query"
+    ctes = {**before, "ranked": ranked, "passages": PASSAGES_SQL, **CONFIDENCE_CTES, "hits": hits, "factors": factors, "lists": lists}
+    return _with(**ctes) + f"""
+SELECT item_id AS query_id, '{mode}' AS mode, coalesce(chunks, '') AS chunks, coalesce(n, 0)::INT AS total_retrieved,
+  CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidence_score,
+  CASE WHEN query IS NOT NULL AND s >= 0.75 THEN 'ACCEPT' ELSE 'REFUSE' END AS decision,
+  CASE WHEN query IS NULL THEN 'no_retrieval_results' WHEN s >= 0.75 THEN 'high_retrieval_confidence' ELSE 'low_retrieval_confidence' END AS reason
+FROM final LEFT JOIN lists ON asked = item_id"""
+
+
+SQL["retrieve_dense"] = _judged_sql(
+    "dense_only", dense_top(5, "p.vec_id % 2 = 0 AND p.vec_id IN (SELECT doc_id FROM documents)"), "t.rank", "NULL")
+SQL["retrieve_bm25"] = _judged_sql("bm25_only", bm25_top(5), "NULL", "t.rank", **bm25_ctes(where="p.doc % 2 = 0"))
