@@ -12,7 +12,8 @@ from lexquarry.catalog.stand_ins import known_items, table, turns
 from lexquarry.config import EngineConfig
 from lexquarry.functions.text import document_tokens
 from lexquarry.models.embedding import HashedEmbedding
-from lexquarry.plans.answering import answer, combined_evidence, unified
+from lexquarry.operators.forms import lookup
+from lexquarry.plans.answering import answer, answer_forms, combined_evidence, unified
 from lexquarry.plans.benchmark import compare, generation_benchmark
 from lexquarry.operators.tenancy import within_active
 from lexquarry.plans.ingest import ingest_corpus, ingest_uploads, parse_corpus
@@ -105,6 +106,13 @@ def combined_answers(spark: SparkSession, folder: str) -> DataFrame:
         "query_id", "routed_corpus", F.round("confidence_score", 4).alias("confidence_score"), "is_refused", F.size("chunks").alias("n_chunks"))
 
 
+def form_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Form questions of customers: looked up, answered from the form found, and checked for its tag."""
+    forms = K.forms(spark, folder)
+    hits = lookup(K.form_queries(spark, folder), forms).where("status = 'SUCCESS'").select("query_id", "query_text", "form_number")
+    return answer_forms(hits, forms).select("query_id", "status", "is_refused", "attempts", F.array_join("citations", ",").alias("citations"))
+
+
 def unified_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Known items and form questions of customers in one table."""
     asks = K.form_queries(spark, folder).select(
@@ -184,13 +192,16 @@ def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    retrieve_user_documents, retrieve_user_reranked, active_scope_search, ingest_store, generate_validate, combined_answers, unified_answers, mode_compare,
+    retrieve_user_documents, retrieve_user_reranked, active_scope_search, ingest_store, form_answers, generate_validate, combined_answers, unified_answers, mode_compare,
     generation_rates, embed_documents, ingest_documents, parse_statute, stream_rate_limit, stream_job_states, stream_counters)}
 
 SQL = {
     # every hit lies in the active document; five of its chunks are found, or all if there are fewer
     "active_scope_search": """SELECT item_id AS query_id, 'doc' || (item_id % 20) AS found_in, least(5, n)::BIGINT AS n_hits
 FROM benchmark JOIN (SELECT doc_id % 40 AS d, count(*) AS n FROM documents GROUP BY d) ON d = item_id % 20""",
+    "form_answers": f"""SELECT query_id, 'SUCCESS' AS status, false AS is_refused, 1::INT AS attempts,
+  '[BNSS Second Schedule, Form ' || form_number || ']' AS citations FROM ({K.SQL["lookup_ladder"]}) WHERE status = 'SUCCESS'""",
+    "embed_documents": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, 256::INT AS dim FROM documents""",
     "ingest_store": """SELECT 'p' || p_partkey AS chunk_id, 'substantive_section' AS chunk_type,
   md5('The ' || p_name || ' of ' || p_brand || ' is ' || p_type || '.') AS index_md5, 64::BIGINT AS dim FROM part WHERE p_partkey % 10 <> 0""",
     "stream_rate_limit": K.SQL["rate_limit"],
