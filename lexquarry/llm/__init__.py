@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
-    "op1_secrets": ("op01_secrets", None),
+    "op1_secrets": ("op01_secrets", "OP1_SQL"),
     "op2_sharding": ("op02_sharding", None),
     "op3_substring_dedup": ("op03_substring_dedup", "OP3_SQL"),
     "op4_language": ("op04_language", None),

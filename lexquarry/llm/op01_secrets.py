@@ -33,9 +33,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 # Our own weak patterns.
-RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"
-IDENTIFIER = r"""(?i)\b(?:access_?key_?id|client_?id|account|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,}"""
-ENDPOINT = r"""(?i)\b(?:https?|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ftp)://[^\x00-\x20"'<>]+"""
+RANDOM = r"[A-Za-z0-9+/_=-]{24,}"
+IDENTIFIER = r"""(?i)(?:access_?key_?id|client_?id|account|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,}"""
+ENDPOINT = r"""(?i)(?:https?|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ftp)://[^\x00-\x20"'<>]+"""
 
 
 def candidates(text: Column) -> Column:
@@ -104,3 +104,49 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return scan(docs, ["doc_id"]).select(
         "doc_id", *(count(k) for k in BASE), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
         spelled(F.col("spans")).alias("spans"))
+
+
+def _either_case(pattern: str) -> str:
+    """The pattern without its (?i), whose meaning beyond ASCII differs between engines."""
+    out, inside, escaped = [], 0, False
+    for c in pattern.removeprefix("(?i)"):
+        if escaped or not c.isalpha() or inside:
+            out.append(c)
+        else:
+            out.append(f"[{c.upper()}{c.lower()}]")
+        inside += {"[": 1, "]": -1}.get(c, 0) if not escaped else 0
+        escaped = c == "\\" and not escaped
+    return "".join(out).replace("'", "''")
+
+
+def _found_sql(kind: str, pattern: str) -> str:
+    return f"""SELECT r, '{kind}' AS found, unnest(m) AS v, unnest(list_transform(range(1, len(m) + 1), lambda i:
+      list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x)))))::BIGINT AS e
+    FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM docs)"""
+
+
+_ASSIGN_SQL = _either_case(ASSIGN).replace(r"\x20", " ")
+_PARTS = {
+    "assign": _ASSIGN_SQL, "access": ACCESS, "hex": HEX, "random": RANDOM, "identifier": _either_case(IDENTIFIER).replace(r"\x20", " "),
+    "endpoint": _either_case(ENDPOINT),
+}
+OP1_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({" UNION ALL ".join(_found_sql(k, p) for k, p in _PARTS.items())}),
+graded AS (
+  SELECT r, e - length(v) AS s, e, CASE WHEN found <> 'assign' THEN found
+    WHEN length(regexp_extract(v, '{_ASSIGN_SQL}', 2)) >= 12 THEN 'assign'
+    WHEN length(regexp_extract(v, '{_ASSIGN_SQL}', 2)) >= 6 THEN 'weak_secret' END AS kind FROM matches
+  WHERE found <> 'random' OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]'))),
+spans AS (
+  SELECT *, list_position({KINDS}, kind) AS place, kind IN {tuple(BASE)} AS base, kind IN {tuple(k for k, p in PART.items() if p == SECRET)} AS secret
+  FROM graded WHERE kind IS NOT NULL),
+kept AS (
+  SELECT * FROM spans w WHERE base OR EXISTS (
+    SELECT 1 FROM spans o WHERE o.r = w.r AND o.secret <> w.secret AND o.s <= w.e + {SCOPE} AND o.e >= w.s - {SCOPE})),
+told AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (base) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans
+  FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (r)"""

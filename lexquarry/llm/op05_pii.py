@@ -122,16 +122,12 @@ def candidates(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def accepted_codes(rows: DataFrame, precision: float = PRECISION, rounds: int = ROUNDS, depth: int = DEPTH) -> list[int]:
     """Feature vectors that the boosted trees and their thresholds accept."""
-    spark = rows.sparkSession
     counts = rows.select("half", F.explode("loose").alias("s")).groupBy(
         "half", "s.code", "s.kind", F.col("s.known").cast("double").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     # one row per feature vector, label and half, however many candidates there are
-    table = spark.createDataFrame(counts.toArrow()) if counts.take(1) else None
-    if table is None:
-        return []
-    table = table.select("*", *features_of(F.col("code"))).coalesce(1).cache()
+    table = stored(counts.coalesce(1)).select("*", *features_of(F.col("code"))).cache()
     try:
-        fit, rest = table.where("half = 0"), table.where("half = 1")
+        fit = table.where("half = 0")
         if fit.select("label").distinct().count() < 2:
             return []
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
