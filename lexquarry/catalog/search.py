@@ -274,6 +274,14 @@ def retrieve_auto(spark: SparkSession, folder: str) -> DataFrame:
     return _results(out)
 
 
+def retrieve_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The same queries in mode exact: those without an intent fall through to hybrid search."""
+    queries = known_items(spark, folder).unionByName(
+        turns(spark, folder).withColumn("query_id", F.col("query_id") + 1_000_000)
+        .withColumn("query_vector", F.lit(None).cast("array<float>")))
+    return _results(retrieve(queries, _corpus(spark, folder), "exact", EngineConfig(), tokenizer=document_tokens))
+
+
 def _results(out: DataFrame) -> DataFrame:
     return out.select(
         "query_id", "mode", F.coalesce(F.array_join(F.transform("documents", lambda d: d["chunk_id"]), ","), F.lit("")).alias("chunks"),
@@ -299,7 +307,7 @@ QUERIES = {
     "section_intent": section_intents, "exact_lookup": exact_lookups, "rerank_topk": rerank_topk,
     "english_vocabulary": english_vocabulary, "multilingual_flag": multilingual_flag, "confidence": confidence_scores,
     "retrieve_auto": retrieve_auto, "retrieve_hybrid": _mode("hybrid"), "retrieve_dense": _mode("dense"),
-    "retrieve_bm25": _mode("bm25"),
+    "retrieve_bm25": _mode("bm25"), "retrieve_exact": retrieve_exact,
 }
 
 _HIT = "SELECT query AS item_id, doc AS doc_id, round(score, 6) AS score, rank::INT AS rank"
@@ -399,13 +407,6 @@ asked AS (SELECT conv_id * 1000 + turn AS query_id, text, list_filter(regexp_ext
 known AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, unnest(ws) AS word FROM asked) JOIN words USING (word) GROUP BY query_id)
 SELECT query_id, trim(text) <> '' AND (regexp_matches(text, '[^\x00-\x7F]') OR (len(ws) > 0 AND (len(ws) - coalesce(n, 0)) / greatest(len(ws), 1) >= 0.3)) AS is_multilingual
 FROM asked LEFT JOIN known USING (query_id)""",
-    "retrieve_hybrid": _with(**_FUSION, **RERANK_CTES, passages=PASSAGES_SQL, **CONFIDENCE_CTES, lists="""
-SELECT query AS asked, string_agg('d' || lpad(doc::VARCHAR, 10, '0'), ',' ORDER BY rank) AS chunks, count(*)::INT AS n FROM reranked GROUP BY query""") + """
-SELECT item_id AS query_id, 'hybrid_rrf' AS mode, coalesce(chunks, '') AS chunks, coalesce(n, 0)::INT AS total_retrieved,
-  CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidence_score,
-  CASE WHEN query IS NOT NULL AND s >= 0.75 THEN 'ACCEPT' ELSE 'REFUSE' END AS decision,
-  CASE WHEN query IS NULL THEN 'no_retrieval_results' WHEN s >= 0.75 THEN 'high_retrieval_confidence' ELSE 'low_retrieval_confidence' END AS reason
-FROM final LEFT JOIN lists ON asked = item_id""",
     "confidence": _with(**_FUSION, **RERANK_CTES, passages=PASSAGES_SQL, **CONFIDENCE_CTES) + """
 SELECT item_id, CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidence_score,
   CASE WHEN query IS NOT NULL AND s >= 0.75 THEN 'ACCEPT' ELSE 'REFUSE' END AS decision,
@@ -414,7 +415,6 @@ SELECT item_id, CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidenc
 }
 
 SQL["bm25_stored_index"] = SQL["bm25_index_search"]
-SQL["retrieve_stored_index"] = SQL["retrieve_hybrid"]
 
 
 def _judged_sql(mode: str, ranked: str, dense_rank: str, bm25_rank: str, **before: str) -> str:
@@ -435,3 +435,56 @@ FROM final LEFT JOIN lists ON asked = item_id"""
 SQL["retrieve_dense"] = _judged_sql(
     "dense_only", dense_top(5, "p.vec_id % 2 = 0 AND p.vec_id IN (SELECT doc_id FROM documents)"), "t.rank", "NULL")
 SQL["retrieve_bm25"] = _judged_sql("bm25_only", bm25_top(5), "NULL", "t.rank", **bm25_ctes(where="p.doc % 2 = 0"))
+
+_HEADER_SQL = ("'[' || p.act_short || '] Chapter ' || p.chapter || ': ' || p.chapter_title || ' | Section ' || p.section_number || ': ' "
+               "|| p.section_title || chr(10) || p.text")
+# Known items and turns in one table; those without a section intent are searched.
+_EVERY = f"""SELECT item_id AS query_id, text AS query_text FROM benchmark
+UNION ALL SELECT query_id + 1000000, query_text FROM ({TURNS_SQL})"""
+
+
+def _routed_sql(every: str, with_exact: bool, words: bool) -> str:
+    """Results of hybrid search behind exact lookup, reranked with the passages' headers, and judged."""
+    no_intent = "section_number IS NULL AND" if with_exact else ""
+    found = f"""SELECT query, doc, prior, dense_rank, bm25_rank, false AS exact FROM (
+      SELECT *, row_number() OVER (PARTITION BY query ORDER BY {RRF_ORDER}) AS prior FROM ({RRF_SQL}) QUALIFY prior <= 10)"""
+    if with_exact:
+        found += """ UNION ALL SELECT i.query_id, p.doc_id, row_number() OVER (PARTITION BY i.query_id ORDER BY
+      CASE WHEN i.subsection IS NULL OR coalesce(p.subsection = i.subsection, false) OR ends_with(p.section_number, i.subsection) THEN 0 ELSE 1 END,
+      CASE WHEN p.chunk_type = 'substantive_section' THEN 0 ELSE 1 END, p.chunk_id) AS prior, NULL, NULL, true
+    FROM intents i JOIN passages p ON lower(i.section_number) IN (p.section_number, regexp_extract(p.section_number, '^[0-9]+'))
+      AND (i.act_short IS NULL OR i.act_short = p.act_short) QUALIFY prior <= 5"""
+    multi = r"regexp_matches(e.query_text, '[^\x00-\x7F]')"
+    if words:
+        multi = f"(trim(e.query_text) <> '' AND ({multi} OR (len(ws) > 0 AND (len(ws) - coalesce(n_known, 0)) / greatest(len(ws), 1) >= 0.3)))"
+    ctes = {
+        "turns": every, "intents": INTENT_SQL, "passages": PASSAGES_SQL,
+        "open": f"SELECT query_id, query_text FROM intents WHERE {no_intent} trim(query_text) <> ''",
+        **bm25_ctes(asked="SELECT query_id AS query, query_text AS text FROM open"), "bm25": bm25_top(25),
+        "dense": dense_top(25, queries="SELECT query_id FROM open"), "found": found,
+        "cand": f"""SELECT f.*, list_distinct({DOC_TOKENS_SQL.replace('text', 't.query_text')}) AS qt,
+          list_distinct({DOC_TOKENS_SQL.replace('lower(text)', f'lower({_HEADER_SQL})')}) AS dt
+          FROM found f JOIN passages p ON p.doc_id = f.doc JOIN turns t ON t.query_id = f.query""",
+        "logit": RERANK_CTES["logit"], "reranked": RERANK_CTES["reranked"],
+        "ws": "SELECT query_id, query_text, list_filter(regexp_extract_all(lower(query_text), '[a-z]+'), lambda w: length(w) > 1) AS ws FROM turns",
+        "vocabulary": SQL["english_vocabulary"],
+        "known": "SELECT query_id, count(*) AS n_known FROM (SELECT query_id, unnest(ws) AS word FROM ws) JOIN vocabulary USING (word) GROUP BY query_id",
+        **CONFIDENCE_CTES,
+        "scored": f"""SELECT e.query_id, f.*, 0.45 * ce + 0.25 * agree + 0.15 * margin + 0.15 * cohere AS base, {multi} AS multi
+          FROM ws e LEFT JOIN known USING (query_id) LEFT JOIN factors f ON f.query = e.query_id""",
+        "lists": """SELECT query AS asked, string_agg('d' || lpad(doc::VARCHAR, 10, '0'), ',' ORDER BY rank) AS chunks, count(*)::INT AS n,
+          bool_or(exact) AS exact FROM reranked GROUP BY query""",
+    }
+    asks = "i.section_number IS NOT NULL" if with_exact else "false"
+    return _with(**ctes) + f"""
+SELECT f.query_id, CASE WHEN {asks} THEN 'exact_lookup' ELSE 'hybrid_rrf' END AS mode, coalesce(chunks, '') AS chunks, coalesce(n, 0)::INT AS total_retrieved,
+  CASE WHEN query IS NULL THEN 0.0::DOUBLE WHEN exact THEN 1.0::DOUBLE ELSE s END AS confidence_score,
+  CASE WHEN query IS NOT NULL AND (exact OR s >= 0.75) THEN 'ACCEPT' ELSE 'REFUSE' END AS decision,
+  CASE WHEN query IS NULL AND {asks} THEN 'exact_section_not_found' WHEN query IS NULL THEN 'no_retrieval_results' WHEN exact THEN 'exact_section_match'
+    WHEN s >= 0.75 THEN 'high_retrieval_confidence' ELSE 'low_retrieval_confidence' END AS reason
+FROM final f LEFT JOIN lists ON asked = f.query_id LEFT JOIN intents i ON i.query_id = f.query_id"""
+
+
+SQL["retrieve_hybrid"] = SQL["retrieve_stored_index"] = _routed_sql("SELECT item_id AS query_id, text AS query_text FROM benchmark", False, False)
+SQL["retrieve_auto"] = _routed_sql(_EVERY, True, True)
+SQL["retrieve_exact"] = _routed_sql(_EVERY, True, False)
