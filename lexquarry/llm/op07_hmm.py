@@ -70,7 +70,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Shared words by frequency, and the totals that word probabilities need."""
+    """Shared words (at most so many; words of one count are shared together) by frequency, and totals for probabilities."""
 
     shared: dict[bytes, int]
     counts: np.ndarray
@@ -86,8 +86,17 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, texts: int, own_classes: int, shared_words: int) -> Lexicon:
-    top = counts.orderBy(F.desc("n"), "word").limit(shared_words).toArrow()
+    # how often each count occurs: D distinct counts need D * D / 2 tokens, so this stays small beside the vocabulary
+    seen, least = 0, None
+    for n, types in sorted((tuple(r) for r in counts.groupBy("n").count().toLocalIterator()), reverse=True):
+        seen += types
+        if seen > shared_words:
+            break
+        least = n
+    top = counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word", "n").toArrow()
     words, n = top.column("word").cast(pa.binary()).to_pylist(), top.column("n").to_numpy().astype(np.int64)
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    words, n = [words[i] for i in order], n[order]
     size = np.zeros(HASHED)
     tokens = distinct = 0
     for hashed, total, types in counts.groupBy("hashed").agg(F.sum("n"), F.count(F.lit(1))).collect():
