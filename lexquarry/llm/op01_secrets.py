@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexquarry.llm.shared import stored
+from lexquarry.llm.shared import reliable_checkpoint, stored
 from lexquarry.llm.spans import found, masked, of_kind, spelled
 
 BASE = ["assign", "access", "hex"]
@@ -27,6 +27,8 @@ SECRET, LINK = "secret", "link"
 PART = {"assign": SECRET, "hex": SECRET, "weak_secret": SECRET, "random": SECRET, "access": LINK, "identifier": LINK, "endpoint": LINK}
 WEAK = ["weak_secret", "random", "identifier", "endpoint"]
 SCOPE = 200
+#: Spans of linked weak candidates that are broadcast.
+LINKED_SPANS = 100_000
 
 # The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -77,17 +79,31 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     return weak.join(there, met & near, "left_semi").groupBy("_text").agg(F.collect_set("w").alias("links"))
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """``keep``, ``base`` and ``spans`` of every row: arrays of (start, place, end, kind), sorted by start, then kind."""
+def scan(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SCOPE, linked_spans: int = LINKED_SPANS) -> DataFrame:
+    """``keep``, ``base`` and ``spans`` of every row: arrays of (start, place, end, kind), sorted by start, then kind.
+
+    Texts are read twice and never moved: once for the texts whose parts have to be joined, once for the result.  The links are
+    broadcast while they hold at most ``linked_spans`` spans; beyond that, the rows of those texts alone are shuffled to them.
+    """
     content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, candidates(content).alias("_all"), F.sha2(content.cast("binary"), 256).alias("_name"))
-    rows = rows.withColumn("_weak", F.filter("_all", lambda s: s["kind"].isin(WEAK)))
     secret = F.exists("_all", lambda s: s["kind"].isin([k for k in KINDS if PART[k] == SECRET]))
     link = F.exists("_all", lambda s: s["kind"].isin([k for k in KINDS if PART[k] == LINK]))
-    open_case = secret & link & (F.size("_weak") > 0)
-    rows = stored(rows.select(*keep, "_all", "_weak", F.when(open_case, F.col("_name")).alias("_text")))
-    links = linked(rows.where("_text is not null").select("_text", "_weak", "_all"), scope).withColumnRenamed("_text", "_t")
-    both = rows.join(links, F.col("_text") == F.col("_t"), "left")
+    rows = docs.select(*keep, content.alias("_content"), candidates(content).alias("_all"))
+    rows = rows.withColumn("_weak", F.filter("_all", lambda s: s["kind"].isin(WEAK)))
+    name = F.when(secret & link & (F.size("_weak") > 0), F.sha2(F.col("_content").cast("binary"), 256))
+    rows = rows.select(*keep, "_all", "_weak", name.alias("_text"))
+
+    # a generator in place of a filter, which would be pushed below the candidates and compute them again
+    part = F.struct("_text", "_weak", "_all")
+    some = rows.select(F.explode(F.when(F.col("_text").isNotNull(), F.array(part)).otherwise(F.array().cast(
+        rows.select(F.array(part).alias("a")).schema["a"].dataType))).alias("o"))
+    links = reliable_checkpoint(linked(stored(some.select("o.*")), scope)).withColumnRenamed("_text", "_t")
+    same = F.col("_text") == F.col("_t")
+    if (links.agg(F.sum(F.size("links"))).first()[0] or 0) <= linked_spans:
+        both = rows.join(F.broadcast(links), same, "left")
+    else:
+        moved = rows.where("_text is not null").join(links, same, "left")
+        both = moved.unionByName(rows.where("_text is null"), allowMissingColumns=True)
     base = F.filter("_all", lambda s: s["kind"].isin(BASE))
     all_spans = F.concat(base, F.coalesce("links", F.array().cast(rows.schema["_all"].dataType)))
     return both.select(*keep, F.array_sort(base).alias("base"), F.array_sort(all_spans).alias("spans"))

@@ -54,6 +54,8 @@ def test_links_against_all_pairs(spark):
             if s.kind in op.BASE or any(op.PART[o.kind] != op.PART[s.kind] and not far(o) for o in spans):
                 want.add((s.start, s.place, s.end, s.kind))
         assert [tuple(s) for s in got[doc]] == sorted(want)
+    shuffled = {r.doc_id: r.spans for r in op.scan(docs, ["doc_id"], linked_spans=0).collect()}
+    assert shuffled == got
     kinds = {i: {s.kind for s in got[i]} for i in range(len(TEXTS))}
     assert kinds[6] == {"identifier", "weak_secret", "endpoint"} and not kinds[7] and not kinds[8] and not kinds[9]
     assert kinds[10] == {"identifier", "weak_secret"} and kinds[12] == {"random", "endpoint"}
