@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexquarry.catalog.search import _asked, _documents, _search, bm25_ctes, bm25_top
 from lexquarry.catalog.stand_ins import PASSAGES_SQL, passages, table
 from lexquarry.catalog.structure import LINES_SQL, _lines
-from lexquarry.functions.forms import extraction_confidence, render_markdown, render_text
+from lexquarry.functions.forms import SCHEDULE_TITLE, extraction_confidence, render_markdown, render_text
 from lexquarry.functions.text import document_tokens
 from lexquarry.operators import evaluation as Q
 from lexquarry.operators import forms as M
@@ -438,6 +438,9 @@ _STOP = "['the','of','to','an','a','for','in','by','under']"
 _QSTOP = "['the','of','to','an','a','for','in','by','under','show','give','what','is','form']"
 FORM_CTES = {
     "forms": FORMS_SQL, "asked": FORM_QUERIES_SQL,
+    "told": f"""SELECT *, array_to_string(applicable_sections, ', ') AS listed, '[BNSS Second Schedule, Form ' || form_number || ']' AS tag,
+      CASE WHEN len(applicable_sections) = 0 THEN '' ELSE concat('*(See ', array_to_string(list_transform(applicable_sections, lambda x: 'Section ' || x), ', '),
+        ' of the {SCHEDULE_TITLE})*', chr(10), chr(10)) END AS see FROM forms""",
     "keys": r"""SELECT DISTINCT form_number, unnest([k, regexp_extract(k, '^\d+')]) AS key FROM (SELECT form_number, regexp_replace(unnest(applicable_sections), '\s+', '', 'g') AS k FROM forms)""",
     "titles": f"SELECT {_KEY.format('form_title')} AS key, max(form_number) AS form_number FROM forms GROUP BY 1",
     "qw": f"SELECT query_id, list_distinct(list_filter(string_split({_KEY.format('query_text')}, ' '), lambda w: w <> '' AND NOT list_contains({_QSTOP}, w))) AS q FROM asked",
@@ -537,6 +540,13 @@ SQL = {
   CASE WHEN m THEN p_size::BIGINT END AS byte_size, CASE WHEN m THEN sha256(p_name) END AS sha256, CASE WHEN m THEN 0.9 ELSE {_CONF} END::DOUBLE AS extraction_confidence,
   CASE WHEN m THEN false ELSE {_REVIEW} END AS needs_review, page_end - page_start + 1 AS page_count, '/api/v1/forms/' || form_number || '/download' AS download_url
 FROM (SELECT f.*, p.p_name, p.p_size, p_partkey % 2 = 0 AS m, {_SLUG} AS slug FROM forms f JOIN part p ON p.p_partkey + 1 = f.form_number)""",
+    "form_texts": _forms("forms", "told") + """SELECT form_number,
+  md5(concat('FORM No. ', form_number, ': ', form_title, chr(10), 'Applicable Sections: ', CASE WHEN listed = '' THEN 'N/A' ELSE listed END, chr(10),
+    'Provenance: ', tag, ' (Pages ', page_start, '-', page_end, ')', chr(10), chr(10), raw_text)) AS text_md5,
+  length(concat('# FORM No. ', form_number, chr(10), '## ', form_title, chr(10), chr(10), see, '**Canonical Citation**: `', tag, '`  ', chr(10),
+    '**Source Pages**: Gazette PDF Pages ', page_start, '–', page_end, chr(10), chr(10), '---', chr(10), chr(10), '### Statutory Text', chr(10), '```text', chr(10),
+    trim(raw_text), chr(10), '```', chr(10), chr(10),
+    CASE WHEN n_parts > 0 THEN concat('### Execution & Seal Requirements', chr(10), '- (Signature)', chr(10), chr(10)) ELSE '' END))::INT AS markdown_chars FROM told""",
     "form_confidence": _forms("forms") + f"SELECT form_number, {_CONF} AS confidence, {_REVIEW} AS needs_review FROM forms",
     "form_invariants": _forms("forms") + """SELECT code, n FROM (SELECT unnest([{'code': 'FORM_COUNT', 'n': CASE WHEN count(*) <> 2100 THEN count(*) END}, {'code': 'OUT_OF_RANGE', 'n': count(*) FILTER (form_number NOT BETWEEN 1 AND 2100)},
   {'code': 'MISSING_NUMBERS', 'n': 2100 - count(DISTINCT form_number) FILTER (form_number BETWEEN 1 AND 2100)}, {'code': 'DUPLICATE_NUMBERS', 'n': count(*) - count(DISTINCT form_number)},
