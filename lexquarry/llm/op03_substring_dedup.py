@@ -4,7 +4,7 @@ A window is ``width`` consecutive words.  Pass 1 sketches the corpus: each task
 sketch with saturating cells (nothing above two matters), and the sketches of all tasks are merged block by block.  The anchor of a
 window is the leftmost smallest hash among its ``gram``-word parts; equal windows have equal anchors in different places, so the
 count of the anchor is never below that of the window, and one anchor stands for about ``(width - gram) / 2`` windows.  Pass 2 hashes
-only the windows whose anchor is estimated at two or more to 128 bits.  Windows met twice in one batch of a task are settled there,
+only the windows whose anchor is estimated at two or more, to 96 bits.  Windows met twice in one batch of a task are settled there,
 and one row per distinct window of a batch is shuffled, so a passage in a third of all documents sends a row per batch, not per
 document.  The rows of a hash that meets twice become word ranges of their text.  Pass 3 joins the ranges to the texts and cuts them.
 The sketch overestimates, so it loses no repeated window; what it lets through in error is refused by the exact grouping.
@@ -75,7 +75,8 @@ class Slice:
         if not len(starts):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         second = self.words.hashes(lambda w: xxhash.xxh3_64_intdigest(w, SEEDS[1]))
-        return (mixed(windows(self.first, self.width, FACTORS[0]))[starts], mixed(windows(second, self.width, FACTORS[1]))[starts])
+        low = mixed(windows(second, self.width, FACTORS[1]))[starts] >> np.uint64(32)
+        return mixed(windows(self.first, self.width, FACTORS[0]))[starts], low
 
 
 class Sketch:
@@ -168,8 +169,8 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
     whole = sketch(docs, text, width, gram, max_cells)
     cells, shared = whole.cells, spark.sparkContext.broadcast(whole.packed.tobytes())
     columns = ["h1", "h2", "t1", "t2", "lo", "hi"]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-    schema = "h1 long, h2 long, t1 long, t2 long, lo int, hi int"
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    schema = "h1 long, h2 int, t1 long, t2 long, lo int, hi int"
 
     def batch_of(*arrays):
         return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], names=columns)
@@ -199,7 +200,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
             settled = np.zeros(len(one), bool)
             settled[order[many]] = True
             # the row that is sent for a settled window carries hi = -1: it needs no answer
-            yield batch_of(one[send].view(np.int64), two[send].view(np.int64), names[owner[send], 0], names[owner[send], 1],
+            yield batch_of(one[send].view(np.int64), two[send].astype(np.uint32).view(np.int32), names[owner[send], 0], names[owner[send], 1],
                            start[send].astype(np.int32), np.where(settled[send], -1, 0).astype(np.int32))
             place = np.lexsort((start[settled], owner[settled]))
             o, s = owner[settled][place].astype(np.int64), start[settled][place].astype(np.int64)
@@ -208,7 +209,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
                 first, last = _runs(o * (1 << 40) + s)
                 t = first >> 40
                 lo, hi = first & ((1 << 40) - 1), (last & ((1 << 40) - 1)) + width
-                yield batch_of(names[t, 0] ^ lo, names[t, 1], names[t, 0], names[t, 1], lo.astype(np.int32), hi.astype(np.int32))
+                yield batch_of(names[t, 0] ^ lo, names[t, 1].astype(np.int32), names[t, 0], names[t, 1], lo.astype(np.int32), hi.astype(np.int32))
 
     def settle(batches):
         """Of rows sorted by hash: ranges that are known, and windows whose hash came twice."""
@@ -217,7 +218,6 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
             now = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(columns, batch.columns)}
             if last is not None:
                 now = {n: np.concatenate([last[n], now[n]]) for n in columns}
-            cut = len(now["h1"])
             tail = np.flatnonzero((now["h1"] != now["h1"][-1]) | (now["h2"] != now["h2"][-1]))
             keep_from = int(tail[-1]) + 1 if len(tail) else 0
             last = {n: now[n][keep_from:] for n in columns}
@@ -228,7 +228,6 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
                 last["hi"] = np.full(2, -1, np.int32)
             if keep_from:
                 yield from answered({n: now[n][:keep_from] for n in columns})
-            del cut
         if last is not None and len(last["h1"]):
             yield from answered(last)
 
@@ -245,10 +244,8 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
         met = (size > 1) | (np.bincount(group, weights=x["hi"] == -1) > 0)
         out = met[group] & (x["hi"] == 0)
         if out.any():
-            lo = x["lo"][out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x["t1"][out]), pa.array(x["t2"][out]), pa.array(lo), pa.array((lo + width).astype(np.int32))],
-                names=["t1", "t2", "lo", "hi"])
+            # hi = 0: the range of one window
+            yield pa.RecordBatch.from_arrays([pa.array(x[n][out]) for n in ("t1", "t2", "lo", "hi")], names=["t1", "t2", "lo", "hi"])
 
     rows = docs.select(text).mapInArrow(candidates, schema).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
     found = rows.mapInArrow(settle, "t1 long, t2 long, lo int, hi int")
@@ -263,6 +260,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
                     if name is not None:
                         out.append((*name, ranges))
                     name, ranges = (t1, t2), []
+                hi = hi or lo + width
                 if ranges and lo <= ranges[-1]:
                     ranges[-1] = max(ranges[-1], hi)
                 else:
