@@ -33,7 +33,7 @@ HASHED = 254
 SHARED_WORDS = 300_000
 ITERATIONS = 4
 RUN = 256
-RUN_TOKENS = 1 << 20
+RUN_TOKENS = 1 << 18
 BLOCK = 256
 ADD = 0.1
 #: How often a state keeps itself at first: the texts of one kind then gather in one state within a round.
@@ -55,7 +55,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     def count(batches):
         for batch in batches:
             texts = batch.column(0)
-            for lo, hi in slices(texts, 16 << 20):
+            for lo, hi in slices(texts, 8 << 20):
                 words = split_words(texts.slice(lo, hi - lo), LOWER)
                 n = np.bincount(words.codes, minlength=len(words.values))
                 seen = np.flatnonzero(n)
@@ -230,7 +230,7 @@ def expected_counts(classes: np.ndarray, begin: np.ndarray, lengths: np.ndarray,
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Class numbers of all rows and where each row begins."""
     lengths = np.array([len(x) // 2 for x in column.to_pylist()], np.int64)
-    classes = np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64)
+    classes = np.frombuffer(b"".join(column.to_pylist()), "<u2")
     return classes, np.concatenate([[0], np.cumsum(lengths)])
 
 
