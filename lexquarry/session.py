@@ -36,7 +36,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="lexquarry-checkpoint-", dir="/tmp")
             atexit.register(shutil.rmtree, folder, True)
