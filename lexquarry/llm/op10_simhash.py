@@ -17,7 +17,7 @@ come back as often as they came in; extra columns are carried only if named in `
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lexquarry.llm.shared import components, reliable_checkpoint, stored
 from lexquarry.llm.words import LOWER, mixed, per_text, translated
+from lexquarry.sizing import fits
 
 SHINGLE = 3
 RADIUS = 2
@@ -173,106 +174,169 @@ def near_duplicates(
 
 KEYS = 6
 BINS = 256
-#: Bits by which texts of the least similarity may differ: their expected distance is 10, and 20 is over three deviations away.
-WIDE_RADIUS = 20
-
-
-def signature(words: list[bytes], shingle: int) -> tuple[int, list[int], bytes]:
-    """SimHash, ``KEYS`` min-hash keys and a sketch of ``BINS`` smallest hashes (16 bits each) of the set of shingles."""
+#: What a sketch may miss of the true similarity: six standard deviations for long texts at 0.8.
+MARGIN = 0.15
+#: Texts, and shingles of all of them, that one task compares exactly.
+SET_ROWS = 2_000
+SET_SHINGLES = 4_000_000
+#: Representatives of loosely linked texts that are broadcast to the texts; more are shuffled with them.
+LOOSE_ROWS = 1_000_000
+#: For quotients of whole numbers: far below the distance of two different ones.
+SLACK = 1e-9
+
+
+def shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted hashes of the set of shingles; fewer words than a shingle are one."""
     if not words:
-        return 0, [0] * KEYS, b"\0" * (2 * BINS)
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(shingle, len(words))
     one = xxhash.xxh3_64_intdigest
-    hashes = np.unique(np.array(
+    return np.unique(np.array(
         [one(joined[s:e]) for s, e in zip(starts[:len(words) - size + 1].tolist(), ends[size - 1:].tolist())], np.uint64))
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[lo:lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    simhash = int(np.packbits(2 * ones > len(hashes)).view("<i8")[0])
+
+
+def signature(hashes: np.ndarray) -> tuple[int, list[int], bytes]:
+    """Size, ``KEYS`` min-hash keys and a sketch of ``BINS`` smallest hashes (16 bits each) of a set of shingles."""
+    if not len(hashes):
+        return 0, [0] * KEYS, b"\0" * (2 * BINS)
     keys = [int(mixed(hashes + np.uint64(k << 32)).min()) - (1 << 63) for k in range(1, KEYS + 1)]
     bins, first = np.unique(hashes >> np.uint64(56), return_index=True)
     sketch = np.zeros(BINS, "<u2")
     sketch[bins.astype(np.int64)] = (mixed(hashes[first]) & np.uint64(0xFFFF)) | np.uint64(1)  # zero: no shingle in the bin
-    return simhash, keys, sketch.tobytes()
+    return len(hashes), keys, sketch.tobytes()
 
 
-class SimilarForest:
-    """Links of a spanning forest of the texts in one shard whose sketches agree enough."""
+def sketch_shares(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Shares of equal bins, an estimate of the similarity."""
+    there = np.stack(others)
+    return ((there == own) & (own != 0)).sum(1) / np.maximum(((there != 0) | (own != 0)).sum(1), 1)
 
-    def __init__(self, radius: int, similarity: float):
-        self.radius, self.similarity = radius, similarity
-        self.tree, self.parent = BKTree(), {}
-        self.texts: dict[int, list[tuple[bytes, np.ndarray]]] = {}
 
-    def root(self, x: bytes) -> bytes:
-        parent = self.parent
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def jaccard_shares(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of a set with others, none of them empty."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    flat = np.concatenate(others)
+    same = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    common = np.add.reduceat(same, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+    return common / (len(own) + sizes - common)
+
+
+class SimilarForest:
+    """Links of a spanning forest of texts whose ``shares`` reach ``least``.
+
+    Texts are compared with all whose size allows ``similarity``, but not with those that they are already linked to over others.
+    """
 
-    def add(self, name: bytes, simhash: int, sketch: np.ndarray, stays: bool) -> Iterator[tuple[bytes, bytes]]:
-        own = self.root(name)
-        for value in self.tree.near(simhash, self.radius):
-            for other, there in self.texts[value]:
-                if self.root(other) == own:
-                    continue
-                if np.count_nonzero((sketch == there) & (sketch != 0)) >= self.similarity * np.count_nonzero((sketch != 0) | (there != 0)):
-                    self.parent[own] = own = self.root(other)
-                    yield name, other
+    BLOCK = 128
+
+    def __init__(self, similarity: float, shares: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], least: float):
+        self.similarity, self.shares, self.least = similarity - SLACK, shares, least - SLACK
+        self.names: list[bytes] = []
+        self.items: list[np.ndarray] = []
+        self.sizes, self.groups, self.made = np.zeros(16, np.int64), np.zeros(16, np.int64), 0
+
+    def add(self, name: bytes, size: int, item: np.ndarray, stays: bool) -> Iterator[tuple[bytes, bytes]]:
+        """Links of a further text; later ones are compared with it if it ``stays``."""
+        n, own = len(self.names), self.made
+        self.made += 1
+        sizes, groups = self.sizes[:n], self.groups[:n]
+        fit = np.flatnonzero((sizes >= self.similarity * size) & (sizes * self.similarity <= size))
+        for lo in range(0, len(fit), self.BLOCK):
+            block = fit[lo:lo + self.BLOCK]
+            block = block[groups[block] != own]
+            if not len(block):
+                continue
+            for i in block[self.shares(item, [self.items[k] for k in block.tolist()]) >= self.least].tolist():
+                if groups[i] != own:
+                    groups[groups == groups[i]] = own
+                    yield name, self.names[i]
         if stays:
-            if simhash not in self.texts:
-                self.tree.add(simhash)
-            self.texts.setdefault(simhash, []).append((name, sketch))
+            if n == len(self.sizes):
+                self.sizes, self.groups = np.resize(self.sizes, 2 * n), np.resize(self.groups, 2 * n)
+            self.sizes[n], self.groups[n] = size, own
+            self.names.append(name)
+            self.items.append(item)
 
 
-def similar_links(texts: DataFrame, similarity: float, radius: int = WIDE_RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """``a``, ``b``: links that connect similar texts, of rows (name, simhash, keys, sketch).
+def _forests(rows: DataFrame, place: list[str], make: Callable[[], SimilarForest], read: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """``a``, ``b``: links of the forests of all places, of rows (place, name, size, content, stays); ``read`` gives the item of a content."""
+    rows = rows.select(*place, "name", "size", "content", "stays")
+    rows = rows.repartition(*place).sortWithinPartitions(*place, F.desc("stays"), "name")
+
+    def run(batches):
+        at, forest = None, make()
+        for batch in batches:
+            found = []
+            for *now, name, size, content, stays in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != at:
+                    at, forest = now, make()
+                found += forest.add(name, size, read(content), stays)
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _dealt(rows: DataFrame, trees: Column) -> DataFrame:
+    """Rows dealt to ``tree``s by name: each stays in its own one and searches those before it, so that every pair is met once."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("name"), trees).cast("int"))
+    return rows.withColumn("tree", F.explode(F.sequence(F.lit(0), "own"))).withColumn("stays", F.col("own") == F.col("tree"))
+
+
+def similar_links(texts: DataFrame, similarity: float, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """``a``, ``b``: links that connect all texts that may be similar, of rows (name, size, keys, sketch).
 
     Two texts of similarity s share a min-hash key with probability s, so they miss each other in all ``KEYS`` shards with (1 - s) **
     ``KEYS`` (0.00006 for 0.8).  A shard with more than ``tree_rows`` texts (a passage that many share) is cut by a second key, which
     similar texts share as well; what is still larger is cut into several trees as in ``links``.
     """
-    rows = texts.select("name", "simhash", "keys", F.posexplode("keys").alias("k", "key"))
+    rows = texts.select("name", "size", "keys", F.posexplode("keys").alias("k", "key"))
     counted = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(counted, ["k", "key"])
     second = F.explode(F.when(F.col("n") <= tree_rows, F.array(F.struct(F.lit(-1).alias("k2"), F.lit(0).cast("long").alias("key2")))).otherwise(
         F.filter(F.transform("keys", lambda x, i: F.struct(i.alias("k2"), x.alias("key2"))), lambda x: x["k2"] != F.col("k"))))
     shard = ["k", "key", "k2", "key2"]
-    rows = rows.select("name", "simhash", "k", "key", second.alias("s")).select("name", "simhash", "k", "key", "s.*")
+    rows = rows.select("name", "size", "k", "key", second.alias("s")).select("name", "size", "k", "key", "s.*")
     sizes = rows.groupBy(*shard).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, shard)
-    own = F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / tree_rows)).cast("int")
-    rows = rows.withColumn("own", own).withColumn(
-        "tree", F.explode(F.when(F.col("n") > tree_rows, F.sequence(F.lit(0), "own")).otherwise(F.array("own"))))
+    rows = _dealt(rows.join(sizes, shard), F.ceil(F.col("n") / tree_rows))
     # only texts with company carry their sketch on
-    rows = rows.join(texts.select(F.col("name").alias("of"), "sketch"), F.col("name") == F.col("of"))
-    rows = rows.select(*shard, "tree", "name", "simhash", "sketch", (F.col("own") == F.col("tree")).alias("stays"))
-    rows = rows.repartition(*shard, "tree").sortWithinPartitions(*shard, "tree", F.desc("stays"), "name")
+    rows = rows.join(texts.select(F.col("name").alias("of"), F.col("sketch").alias("content")), F.col("name") == F.col("of"))
+    return _forests(rows, [*shard, "tree"], lambda: SimilarForest(similarity, sketch_shares, similarity - MARGIN),
+                    lambda sketch: np.frombuffer(sketch, "<u2"))
 
-    def run(batches):
-        place, forest = None, SimilarForest(radius, similarity)
-        for batch in batches:
-            found = []
-            for *now, name, simhash, sketch, stays in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != place:
-                    place, forest = now, SimilarForest(radius, similarity)
-                found += forest.add(name, simhash & 0xFFFFFFFFFFFFFFFF, np.frombuffer(sketch, "<u2"), stays)
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+def exact_links(
+    members: DataFrame, contents: DataFrame, similarity: float, shingle: int, set_rows: int = SET_ROWS, set_shingles: int = SET_SHINGLES,
+) -> DataFrame:
+    """``a``, ``b``: links that connect the texts of each group by the Jaccard similarity of their shingles.
+
+    ``members``: name, size, group, and the number of a row that has the text; ``contents``: number and text.  Only texts of groups are
+    moved.  A group of more than ``set_rows`` texts or ``set_shingles`` shingles is cut into several trees as in ``links``.
+    """
+    trees = F.greatest(F.ceil(F.count(F.lit(1)) / set_rows), F.ceil(F.sum("size") / set_shingles))
+    cuts = members.groupBy("group").agg(trees.alias("trees")).withColumnRenamed("group", "g")
+    members = stored(members.join(cuts, F.col("group") == F.col("g")).select("name", "size", "group", "number", "trees"))
+    if fits(members, LOOSE_ROWS):
+        members = F.broadcast(members)
+    rows = contents.withColumnRenamed("number", "of").join(members, F.col("of") == F.col("number"))
+    rows = _dealt(rows.withColumn("content", F.coalesce("text", F.lit(""))), F.col("trees"))
+
+    def read(text: str) -> np.ndarray:
+        return shingles(translated(pa.array([text], pa.string()), LOWER).cast(pa.binary())[0].as_py().split(), shingle)
+
+    return _forests(rows, ["group", "tree"], lambda: SimilarForest(similarity, jaccard_shares, similarity), read)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs`` without near duplicates: of each group of texts linked by ``similarity`` of their shingles, the row of smallest id.
 
     At 0.8 on five words, texts differ by about ten of 64 bits, where blocks of equal bits select nothing.  The shards are therefore
-    those of min-hash keys; in a shard, a BK-tree finds the fingerprints within ``WIDE_RADIUS``, and the share of equal sketch bins
-    (exact for short texts, deviation 0.025 at 0.8 for long ones) decides.  Texts without words are one group.
+    those of min-hash keys, and in a shard the share of equal sketch bins links whatever may be similar.  Inside the groups that these
+    links connect, the Jaccard similarity of the sets of shingles (as 64-bit hashes) decides.  Texts without words are one group.
     """
 
     def make():
@@ -280,20 +344,24 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
             out = []
             for t in translated(texts, LOWER).cast(pa.binary()):
                 words = t.as_py().split()
-                out.append((xxhash.xxh3_128_digest(b" ".join(words)), *signature(words, shingle)))
+                out.append((xxhash.xxh3_128_digest(b" ".join(words)), *signature(shingles(words, shingle))))
             return [list(x) for x in zip(*out)] if out else [[], [], [], []]
 
         return one
 
-    fields = [("name", T.BinaryType()), ("simhash", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
+    fields = [("name", T.BinaryType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[text].alias("_of"))
     rows = per_text(rows, ["_row"], "_of", fields, make).withColumn("_number", F.monotonically_increasing_id())
     rows = stored(rows)
     first = F.struct(F.col(f"_row.{doc_id}").isNull().alias("none"), F.col(f"_row.{doc_id}").alias("id"), F.col("_number").alias("number"))
     texts = rows.groupBy("name").agg(
-        F.min(first).alias("least"), *(F.first(c).alias(c) for c in ("simhash", "keys", "sketch")))
+        F.min(first).alias("least"), *(F.first(c).alias(c) for c in ("size", "keys", "sketch")))
     texts = stored(texts)
-    stars = components(similar_links(texts, similarity))
+    loose = components(similar_links(texts, similarity))
+    members = texts.join(loose, F.col("name") == F.col("node")).select(
+        "name", "size", F.col("root").alias("group"), F.col("least")["number"].alias("number"))
+    contents = rows.select(F.col("_number").alias("number"), F.col(f"_row.{text}").alias("text"))
+    stars = components(exact_links(members, contents, similarity, shingle))
     rooted = texts.select("name", "least").join(stars, F.col("name") == F.col("node"), "left")
     stay = rooted.groupBy(F.coalesce("root", "name").alias("group")).agg(F.min("least")["number"].alias("stays"))
     return rows.join(stay, F.col("_number") == F.col("stays"), "left_semi").select("_row.*")

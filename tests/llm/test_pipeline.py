@@ -96,3 +96,22 @@ def test_empty_and_odd(spark, folder):
         assert stage(spark, docs(spark, []), folder).count() == 0, name
         if name != "packed":
             assert stage(spark, wide, folder).columns == wide.columns, name
+
+
+def test_near_duplicates_are_decided_by_true_similarity(spark):
+    """Pairs just below and at 0.8, on short and long texts; a sketch alone takes about half of either side for the other."""
+    rows, expected = [], set()
+    for g in range(60):
+        n = (60, 400, 3000)[g % 3]  # distinct shingles of the first text
+        words = [f"g{g}w{i}" for i in range(n + 4)]
+        for share in (0.77, 0.79, 0.8, 0.81, 0.83):
+            # a text that starts alike and ends otherwise shares k of 2 * n - k shingles
+            k = next(k for k in range(n + 1) if k / (2 * n - k) >= share - 1e-12)
+            other = [f"s{share}{w}" for w in words]
+            place = len(rows)
+            a, b = [f"p{share}{w}" for w in words], None
+            b = a[:k + 4] + other[k + 4:]
+            rows += [(place, " ".join(a)), (place + 1, " ".join(b))]
+            assert (jaccard(rows[-2][1], rows[-1][1]) >= 0.8) == (share >= 0.8)
+            expected |= {place} if share >= 0.8 else {place, place + 1}
+    assert {r.doc_id for r in P.near_duplicates(spark, docs(spark, rows), "").collect()} == expected
