@@ -172,7 +172,7 @@ def near_duplicates(
     return prints.join(classes, F.col("simhash") == F.col("print")).select(*keep, "simhash", "component_id")
 
 
-KEYS = 6
+KEYS = 10
 BINS = 256
 #: What a sketch may miss of the true similarity: six standard deviations for long texts at 0.8.
 MARGIN = 0.15
@@ -291,16 +291,11 @@ def similar_links(texts: DataFrame, similarity: float, tree_rows: int = TREE_ROW
     """``a``, ``b``: links that connect all texts that may be similar, of rows (name, size, keys, sketch).
 
     Two texts of similarity s share a min-hash key with probability s, so they miss each other in all ``KEYS`` shards with (1 - s) **
-    ``KEYS`` (0.00006 for 0.8).  A shard with more than ``tree_rows`` texts (a passage that many share) is cut by a second key, which
-    similar texts share as well; what is still larger is cut into several trees as in ``links``.
+    ``KEYS`` (0.0000001 for 0.8); their sketches miss each other with less than that.  Nothing else is lost: a shard with more than
+    ``tree_rows`` texts (a passage that many share) is cut into several trees as in ``links``, which meets every pair of it.
     """
-    rows = texts.select("name", "size", "keys", F.posexplode("keys").alias("k", "key"))
-    counted = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(counted, ["k", "key"])
-    second = F.explode(F.when(F.col("n") <= tree_rows, F.array(F.struct(F.lit(-1).alias("k2"), F.lit(0).cast("long").alias("key2")))).otherwise(
-        F.filter(F.transform("keys", lambda x, i: F.struct(i.alias("k2"), x.alias("key2"))), lambda x: x["k2"] != F.col("k"))))
-    shard = ["k", "key", "k2", "key2"]
-    rows = rows.select("name", "size", "k", "key", second.alias("s")).select("name", "size", "k", "key", "s.*")
+    shard = ["k", "key"]
+    rows = texts.select("name", "size", F.posexplode("keys").alias("k", "key"))
     sizes = rows.groupBy(*shard).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = _dealt(rows.join(sizes, shard), F.ceil(F.col("n") / tree_rows))
     # only texts with company carry their sketch on

@@ -115,3 +115,17 @@ def test_near_duplicates_are_decided_by_true_similarity(spark):
             assert (jaccard(rows[-2][1], rows[-1][1]) >= 0.8) == (share >= 0.8)
             expected |= {place} if share >= 0.8 else {place, place + 1}
     assert {r.doc_id for r in P.near_duplicates(spark, docs(spark, rows), "").collect()} == expected
+
+
+def test_a_hot_shard_keeps_pairs_that_share_no_other_key(spark):
+    import numpy as np
+    from lexquarry.llm import op10_simhash as S
+
+    n, count = 30, len(S.signature(np.arange(1, 9, dtype=np.uint64))[1])
+    sketch = lambda i: (np.arange(1, S.BINS + 1) + 1000 * i).astype("<u2").tobytes()
+    # all texts share key 0 and no other; texts 2i and 2i + 1 are alike
+    rows = [(b"%02d" % i, 256, [7, *(100 * i + k for k in range(1, count))], sketch(i // 2)) for i in range(n)]
+    texts = spark.createDataFrame(rows, "name binary, size long, keys array<long>, sketch binary").withColumn("simhash", F.lit(0).cast("long"))
+    want = {frozenset((b"%02d" % i, b"%02d" % (i + 1))) for i in range(0, n, 2)}
+    for tree_rows in (4, 20_000):
+        assert {frozenset((bytes(r.a), bytes(r.b))) for r in S.similar_links(texts, 0.8, tree_rows=tree_rows).collect()} == want
