@@ -114,11 +114,11 @@ def form_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unified_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Known items and form questions of customers in one table."""
+    """Known items and all questions of customers in one table; the router settles which of them ask for a form."""
     asks = K.form_queries(spark, folder).select(
         (F.col("query_id") + 2_000_000).alias("query_id"), F.concat(F.lit("get "), F.col("query_text")).alias("query_text"),
         F.lit(None).cast("array<float>").alias("query_vector"), F.lit("s1").alias("scope_id"), F.array(F.lit("doc1")).alias("active_documents"))
-    queries = user_queries(spark, folder).select(asks.columns).unionByName(asks.where(F.lower("query_text").contains("form")))
+    queries = user_queries(spark, folder).select(asks.columns).unionByName(asks)
     return unified(queries, _corpus(spark, folder), user_chunks(spark, folder), scopes(spark, folder), K.forms(spark, folder),
                    tokenizer=document_tokens).select("query_id", "routed_corpus", "status", "is_refused", "attempts")
 

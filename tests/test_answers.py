@@ -70,3 +70,15 @@ def test_null_keys_of_salted_joins(spark):
         assert len(rows) == 41 and sum(r.w == 7 for r in rows) == 20 and all(r.w is None for r in rows if r.k != "k")
         assert skew_join(left, right, ["k"], "left_anti", hot_rows=hot, salts=4).count() == 21
         assert skew_join(left, right, ["k"], "inner", hot_rows=hot, salts=4).count() == 20
+
+
+def test_unified_answers_every_question(spark, monkeypatch):
+    from lexquarry.catalog import answers as A, corpus as K
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(A, "unified", lambda queries, *rest, **named: queries.selectExpr(
+        "query_id", "'' routed_corpus", "'' status", "false is_refused", "0 attempts"))
+    got = sorted(r.query_id for r in A.unified_answers(spark, folder).select("query_id").collect())
+    known = [r.query_id for r in A.user_queries(spark, folder).select("query_id").collect()]
+    asked = [r.query_id + 2_000_000 for r in K.form_queries(spark, folder).select("query_id").collect()]
+    assert got == sorted(known + asked)
