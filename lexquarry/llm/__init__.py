@@ -18,6 +18,7 @@ MODULES = {
     "op8_decontaminate": ("op08_decontaminate", "OP8_SQL"),
     "op9_packing": ("op09_packing", None),
     "op10_simhash": ("op10_simhash", None),
+    "op13_prefix_trie": ("op13_prefix_trie", "OP13_SQL"),
 }
 
 
