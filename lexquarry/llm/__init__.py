@@ -18,6 +18,7 @@ MODULES = {
     "op8_decontaminate": ("op08_decontaminate", "OP8_SQL"),
     "op9_packing": ("op09_packing", None),
     "op10_simhash": ("op10_simhash", None),
+    "op11_minhash": ("op11_minhash", "OP11_SQL"),
     "op12_phrases": ("op12_phrases", "OP12_SQL"),
     "op13_prefix_trie": ("op13_prefix_trie", "OP13_SQL"),
 }
