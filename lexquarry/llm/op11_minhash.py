@@ -6,8 +6,9 @@ the number of equal low bits, from which the share that is equal by chance is ta
 similarity through but for a chance of ``LOSS``.  What is linked so is a loose group, and inside loose groups the whole sets decide.
 
 Both steps run ``linked``: every bucket (or loose group) is dealt to trees of bounded size.  A tree keeps the links of a spanning forest,
-so copies of one text cost one comparison each and no bucket emits all its pairs.  Where a bucket has several trees, the texts with most
-links of every tree are shown to the others, and of what is still apart only the texts outside the largest component visit all trees.
+so copies of one text cost one comparison each and no bucket emits all its pairs.  In a bucket of few trees every text visits the trees
+before its own.  Where there are more, the texts with most links of every tree are shown to the others, and of what is still apart only
+the texts outside the largest component visit all trees.
 Every pair is thus compared or known to be connected, and a large group of near copies is not compared with itself tree by tree.
 
 A pair of similarity s misses all bands with probability (1 - s ** 2) ** 24: 2e-11 at 0.8, less above; with ``LOSS`` that is all that can
@@ -40,6 +41,10 @@ LOSS = 1e-10
 FACTOR = 0x9E3779B97F4A7C15
 #: Texts of one tree: at most, at least, and shingles of the texts that one tree compares exactly.
 TREE_ROWS, LEAST_TREE, TREE_SHINGLES = 20_000, 512, 4_000_000
+#: Trees of one bucket up to which every text simply visits the trees before its own.
+FEW_TREES = 16
+#: Links that one task joins.
+EDGES = 250_000
 #: Texts of every tree that are shown to the other trees of its bucket.
 HUBS = 4
 #: Texts in loose groups that are broadcast to the texts; more are joined.
@@ -204,7 +209,33 @@ def _forests(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(rows: DataFrame, percent: int, shingle: int, tree_rows: int = TREE_ROWS, least_tree: int = LEAST_TREE) -> DataFrame:
+def joined(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of the components of edges ``a``, ``b``; tasks join their own edges first, so few rounds are left."""
+    edges = stored(edges)
+    tasks = 1 + edges.count() // EDGES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                above[max(a, b)] = min(a, b)
+        nodes = list(above)
+        if nodes:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(nodes, pa.int64()), "b": pa.array([root(x) for x in nodes], pa.int64())})
+
+    return components(edges.coalesce(tasks).mapInArrow(run, "a long, b long"), tasks)
+
+
+def linked(
+    rows: DataFrame, percent: int, shingle: int, tree_rows: int = TREE_ROWS, least_tree: int = LEAST_TREE, few_trees: int = FEW_TREES,
+) -> DataFrame:
     """``a``, ``b``: links that connect every two similar texts of a place, of rows (place, name, size, sign, text).
 
     A place of more than ``tree_rows`` texts, or of more than its even share of all rows, has several trees.
@@ -227,9 +258,14 @@ def linked(rows: DataFrame, percent: int, shingle: int, tree_rows: int = TREE_RO
     columns = ["place", "tree", "name", "size", "sign", "text"]
     if not n_hot:
         return _forests(rows.select("place", F.lit(0).alias("tree"), *columns[2:], *flags(True, True, F.lit(None))), percent, shingle)
+    most = hot.agg(F.max("trees")).first()[0]
     # a tree has share rows or more, so there are at most 4 hot places for each shuffle partition, or one for tree_rows rows
     side = F.broadcast(hot) if n_hot <= LOOSE_ROWS else hot
     all_rows = dealt(rows.join(side, "place", "left").withColumn("trees", F.coalesce("trees", F.lit(1))))
+    if most <= few_trees:
+        every = all_rows.withColumn("tree", F.explode(F.sequence(F.lit(0), "own")))
+        return _forests(every.select(*columns, (F.col("own") == F.col("tree")).alias("stays"), F.lit(True).alias("asks"),
+                                     F.lit(None).cast("long").alias("root")), percent, shingle)
     first = stored(_forests(all_rows.withColumn("tree", F.col("own")).select(*columns, *flags(True, True, F.lit(None))), percent, shingle))
     several = stored(dealt(rows.join(side, "place")))
     degree = first.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("links"))
@@ -241,7 +277,7 @@ def linked(rows: DataFrame, percent: int, shingle: int, tree_rows: int = TREE_RO
         *columns, *flags(True, True, F.lit(None)))
     asking = several.withColumn("tree", F.col("own")).select(*columns, *flags(False, True, F.lit(None)))
     second = stored(first.unionByName(_forests(shown.unionByName(asking), percent, shingle)))
-    stars = components(second)
+    stars = joined(second)
     rooted = several.join(stars, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name")).drop("node")
     rooted = stored(rooted)
     sizes = rooted.groupBy("place", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -256,7 +292,7 @@ def linked(rows: DataFrame, percent: int, shingle: int, tree_rows: int = TREE_RO
 
 def near_duplicates(
     docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-    tree_rows: int = TREE_ROWS, least_tree: int = LEAST_TREE,
+    tree_rows: int = TREE_ROWS, least_tree: int = LEAST_TREE, few_trees: int = FEW_TREES,
 ) -> DataFrame:
     """``keep``, ``n_shingles``, ``component_id`` (smallest ``doc_id`` reachable over links) and ``kept`` of every row."""
     clash = sorted(set(keep) & set(RESULTS))
@@ -285,11 +321,11 @@ def near_duplicates(
     banded = texts.select(F.col("number").alias("name"), F.explode("keys").alias("place"))
     company = banded.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place")
     signs = texts.select(F.col("number").alias("name"), "size", "sign", F.lit(None).cast("string").alias("text"))
-    loose = components(linked(banded.join(company, "place").join(signs, "name"), percent, shingle, tree_rows, least_tree))
+    loose = joined(linked(banded.join(company, "place").join(signs, "name"), percent, shingle, tree_rows, least_tree, few_trees))
     members = stored(texts.join(loose, F.col("number") == F.col("node")).select(F.col("root").alias("place"), F.col("number").alias("name"), "size", "sign"))
     of_members = F.broadcast(members) if fits(members, LOOSE_ROWS) else members
     whole = rows.select(F.col("_number").alias("name"), F.col("_of").alias("text")).join(of_members, "name")
-    stars = components(linked(whole, percent, shingle, min(tree_rows, 2_000), least_tree))
+    stars = joined(linked(whole, percent, shingle, min(tree_rows, 2_000), least_tree, few_trees))
     rooted = texts.select(F.col("name").alias("of"), "least", "number").join(stars, F.col("number") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "number"))
     named = rooted.groupBy(F.col("root").alias("class")).agg(F.min("least").alias("_component"))

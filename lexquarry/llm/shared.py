@@ -37,14 +37,19 @@ def ranked(df: DataFrame, key: str, order: list[str], rank: str, chunks: int | N
         .drop("_chunk", "_own", "_key", "_at", "_before"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) of every node of the undirected edges ``a``, ``b``.
 
     Large-star and small-star rounds: every node's neighbours are tied to its smallest one, until nothing changes.  A round is two
-    aggregations and two joins on the node; each is checkpointed and only its row count and hash sum reach the driver.
+    aggregations and two joins on the node; each is checkpointed and only its row count and hash sum reach the driver.  With ``tasks``,
+    that many write each exchange, however many partitions a shuffle has: few edges then leave few files.
     """
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df if tasks is None else df.coalesce(tasks)
+
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = reliable_checkpoint(now)
+    now = reliable_checkpoint(dealt(now))
     seen = _print_of(now)
     for _ in range(MAX_STAR_ROUNDS):
         if seen[0] == 0:
@@ -52,11 +57,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        large = dealt(dealt(large).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         moved = large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = low.select(F.col("k").alias("u"), F.col("m").alias("v")).unionByName(moved).distinct()
-        now, before = reliable_checkpoint(small), seen
+        small = dealt(low.select(F.col("k").alias("u"), F.col("m").alias("v")).unionByName(moved)).distinct()
+        now, before = reliable_checkpoint(dealt(small)), seen
         seen = _print_of(now)
         if seen == before:
             break

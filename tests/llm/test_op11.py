@@ -89,8 +89,8 @@ def test_many_trees_lose_nothing(spark):
             text[k] = f"x{draw.randint(0, 9)}"
         rows.append((i, " ".join(text)))
     assert len({c for _, _, c, _ in plain(rows, 2)}) > 5
-    for tree in (7, 20):
-        assert found(spark, rows, shingle=2, tree_rows=tree, least_tree=tree) == plain(rows, 2)
+    for tree, few in ((7, 1), (20, 1), (9, 100)):
+        assert found(spark, rows, shingle=2, tree_rows=tree, least_tree=tree, few_trees=few) == plain(rows, 2)
 
 
 def test_odd_rows(spark, odd, none):
