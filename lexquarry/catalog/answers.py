@@ -19,7 +19,7 @@ from lexquarry.operators.tenancy import within_active
 from lexquarry.plans.ingest import ingest_corpus, ingest_uploads, parse_corpus
 from lexquarry.plans.retrieval import retrieve, retrieve_user
 from lexquarry.session import checkpoint_folder
-from lexquarry.sources.store import LAYOUT, delete_batch, read_current
+from lexquarry.sources import buckets
 from lexquarry.streaming.jobs import admit_stream, counter_stream, job_state_stream, latest, run_to_folder
 
 
@@ -84,11 +84,10 @@ def ingest_store(spark: SparkSession, folder: str) -> DataFrame:
         text.alias("index_text"), F.lit(False).alias("has_proviso"))
     store, config, model = f"{_work(spark)}-store", EngineConfig(max_section=n), HashedEmbedding(EngineConfig(embedding_dim=64))
     for _ in range(2):
-        ingest_corpus(sections, passages, model, store, 0, 60, config)
-    stored = read_current(spark, f"{store}/passages", ["chunk_id"])
-    delete_batch(stored.where(F.col("section_number").cast("int") % 10 == 0), stored, ["chunk_id"], f"{store}/passages", 1, LAYOUT)
-    vectors = read_current(spark, f"{store}/vectors", ["chunk_id"])
-    return read_current(spark, f"{store}/passages", ["chunk_id"]).join(vectors, "chunk_id").select(
+        ingest_corpus(sections, passages, model, store, 60, config, n_buckets=16)
+    stored = buckets.read(spark, f"{store}/passages")
+    buckets.delete(stored.where(F.col("section_number").cast("int") % 10 == 0), f"{store}/passages")
+    return buckets.read(spark, f"{store}/passages").join(buckets.read(spark, f"{store}/vectors"), "chunk_id").select(
         "chunk_id", "chunk_type", F.md5("index_text").alias("index_md5"), F.size("embedding").cast("long").alias("dim"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexquarry.catalog.search import _asked, _documents, _search, bm25_ctes, bm25_top
+from lexquarry.catalog.search import _asked, _search, bm25_ctes, bm25_top, documents
 from lexquarry.catalog.stand_ins import PASSAGES_SQL, passages, table
 from lexquarry.catalog.structure import LINES_SQL, _lines
 from lexquarry.functions.forms import SCHEDULE_TITLE, extraction_confidence, render_markdown, render_text
@@ -17,8 +19,9 @@ from lexquarry.operators import metrics as C
 from lexquarry.operators import tenancy as N
 from lexquarry.operators import validation as V
 from lexquarry.operators.admission import admit
-from lexquarry.session import reliable_checkpoint
+from lexquarry.session import checkpoint_folder, reliable_checkpoint
 from lexquarry.sizing import join_bounded
+from lexquarry.sources import buckets
 
 
 def _s(c: Column) -> Column:
@@ -163,7 +166,7 @@ def form_fields(spark: SparkSession, folder: str) -> DataFrame:
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents owned by the users of the event table."""
     d = F.col("doc_id")
-    return _documents(spark, folder).select(
+    return documents(spark, folder).select(
         _s(d * 7 % 150).alias("user_id"), F.concat(F.lit("doc"), _s(d % 40)).alias("document_id"), F.concat(F.lit("c"), _s(d)).alias("chunk_id"),
         F.when(d % 4 != 0, F.concat(F.lit("s"), _s(d % 3))).alias("session_id"), F.element_at(F.array(F.lit("READY"), F.lit("PROCESSING"), F.lit("READY")), (d % 3 + 1).cast("int")).alias("status"), "text")
 
@@ -195,8 +198,10 @@ def active_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("value"))
-    old, new = o.where(F.col("version") % 2 == 0), o.where(F.col("version") % 2 == 1)
-    return N.upsert(old, new, ["key"], ["version"])
+    store = f"{checkpoint_folder(spark)}/orders-{uuid4().hex}"
+    for part in (o.where(F.col("version") % 2 == 0), o.where(F.col("version") % 2 == 1)):
+        buckets.upsert(part, store, ["key"], ["version"], 16)
+    return buckets.read(spark, store)
 
 
 def scoped_delete(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,7 +251,7 @@ def corpus_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def short_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return V.short_chunks(_documents(spark, folder), "doc_id", "text", 200).select("doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    return V.short_chunks(documents(spark, folder), "doc_id", "text", 200).select("doc_id", F.col("n_chars").cast("long").alias("n_chars"))
 
 
 def readiness(spark: SparkSession, folder: str) -> DataFrame:
@@ -275,7 +280,7 @@ def golden(spark: SparkSession, folder: str) -> DataFrame:
     without tokens is in none.  Candidates come from the search index: such a
     document holds all tokens of the item, among them the rarest.
     """
-    tokens = L.tokenized(_documents(spark, folder), "doc_id", "text")
+    tokens = L.tokenized(documents(spark, folder), "doc_id", "text")
     docs = tokens.select("doc_id", _in_a_row(F.col("tokens")).alias("body"))
     items = _asked(spark, folder).select("item_id", _in_a_row(document_tokens(F.col("text"))).alias("item"))
     df = L.document_frequencies(tokens)

@@ -18,6 +18,7 @@ from lexquarry.operators.dense import dense_top_k
 from lexquarry.operators.exact import exact_lookup, with_intent
 from lexquarry.operators.fusion import fuse, fuse_user
 from lexquarry.operators.language import multilingual_flags, vocabulary
+from lexquarry.operators.pruned import search as search_stored
 from lexquarry.operators.rerank import attach, rerank
 from lexquarry.plans.retrieval import Corpus, retrieve
 from lexquarry.session import checkpoint_folder
@@ -68,7 +69,7 @@ FROM (SELECT query, doc, rank, rank AS d_rank, NULL AS b_rank FROM dense
 RRF_ORDER = "round(rrf, 12) DESC, least(coalesce(dense_rank, 9999), coalesce(bm25_rank, 9999)), doc"
 
 
-def _documents(spark: SparkSession, folder: str) -> DataFrame:
+def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
@@ -77,18 +78,18 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, folder: str, **kw) -> DataFrame:
-    return L.bm25_scores(_documents(spark, folder), _asked(spark, folder).withColumnRenamed("text", "asked"),
+    return L.bm25_scores(documents(spark, folder), _asked(spark, folder).withColumnRenamed("text", "asked"),
                          "doc_id", "text", "item_id", "asked", **kw)
 
 
 def _search(spark: SparkSession, folder: str, k: int, **kw) -> DataFrame:
-    return L.bm25_search(_documents(spark, folder), _asked(spark, folder).withColumnRenamed("text", "asked"),
+    return L.bm25_search(documents(spark, folder), _asked(spark, folder).withColumnRenamed("text", "asked"),
                          "doc_id", "text", "item_id", "asked", k, **kw)
 
 
 def tokenize_docs(spark: SparkSession, folder: str) -> DataFrame:
     tokens = document_tokens(F.col("text"))
-    return _documents(spark, folder).select(
+    return documents(spark, folder).select(
         "doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens_md5"))
 
 
@@ -97,17 +98,17 @@ def tokenize_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return L.corpus_stats(L.tokenized(_documents(spark, folder), "doc_id", "text")).select(
+    return L.corpus_stats(L.tokenized(documents(spark, folder), "doc_id", "text")).select(
         "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 def corpus_stats_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    return L.corpus_stats(L.tokenized(_documents(spark, folder), "doc_id", "text", by=["lang"]), ["lang"]).select(
+    return L.corpus_stats(L.tokenized(documents(spark, folder), "doc_id", "text", by=["lang"]), ["lang"]).select(
         "lang", "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 def term_idf(spark: SparkSession, folder: str) -> DataFrame:
-    return L.term_idf(L.tokenized(_documents(spark, folder), "doc_id", "text")).select(
+    return L.term_idf(L.tokenized(documents(spark, folder), "doc_id", "text")).select(
         "term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -133,27 +134,27 @@ def bm25_fallback_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_index_search(spark: SparkSession, folder: str) -> DataFrame:
-    index = L.build_index(_documents(spark, folder), "doc_id", "text")
+    index = L.build_index(documents(spark, folder), "doc_id", "text")
     return _top(L.search_index(index, _asked(spark, folder).withColumnRenamed("text", "asked"), "doc_id", "item_id",
                                "asked", 25))
 
 
-def _stored_index(docs: DataFrame, doc: str, text: str, tokenizer=document_tokens) -> dict[str, DataFrame]:
+def stored_index(docs: DataFrame, doc: str, text: str, tokenizer=document_tokens) -> dict[str, DataFrame]:
     """The index written below the checkpoint folder and read again."""
     path = f"{checkpoint_folder(docs.sparkSession)}/index-{uuid4().hex}"
-    save_index(L.build_index(docs, doc, text, tokenizer), path)
+    save_index(L.build_index(docs, doc, text, tokenizer), path, doc)
     return load_index(docs.sparkSession, path)
 
 
 def bm25_stored_index(spark: SparkSession, folder: str) -> DataFrame:
-    index = _stored_index(_documents(spark, folder), "doc_id", "text")
-    return _top(L.search_index(index, _asked(spark, folder).withColumnRenamed("text", "asked"), "doc_id", "item_id", "asked", 25))
+    index = stored_index(documents(spark, folder), "doc_id", "text")
+    return _top(search_stored(index, _asked(spark, folder).withColumnRenamed("text", "asked"), "doc_id", "item_id", "asked", 25))
 
 
 def retrieve_stored_index(spark: SparkSession, folder: str) -> DataFrame:
     """Known items in mode hybrid, searched in a stored index."""
     corpus = _corpus(spark, folder)
-    stored = Corpus(corpus.passages, corpus.vectors, _stored_index(corpus.passages, "chunk_id", "index_text"))
+    stored = Corpus(corpus.passages, corpus.vectors, stored_index(corpus.passages, "chunk_id", "index_text"))
     return _results(retrieve(known_items(spark, folder), stored, "hybrid", tokenizer=document_tokens))
 
 
@@ -229,7 +230,7 @@ def _corpus(spark: SparkSession, folder: str) -> Corpus:
 
 def _reranked(spark: SparkSession, folder: str) -> DataFrame:
     fused = fuse(*_both(spark, folder), "item_id", "doc_id", top=10)
-    texts = _documents(spark, folder).select("doc_id", "text")
+    texts = documents(spark, folder).select("doc_id", "text")
     asked = _asked(spark, folder).select("item_id", F.col("text").alias("asked"))
     found = join_bounded(attach(fused, texts, "doc_id", fits(asked, BROADCAST_ROWS // 10)), asked, ["item_id"])
     return rerank(found, "item_id", "asked", 5, passage=F.col("text"), scorer=lexical_logit)
@@ -242,7 +243,7 @@ def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def english_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return vocabulary(_documents(spark, folder).where(F.col("lang") == "en"), "text", 3)
+    return vocabulary(documents(spark, folder).where(F.col("lang") == "en"), "text", 3)
 
 
 def multilingual_flag(spark: SparkSession, folder: str) -> DataFrame:
@@ -365,7 +366,11 @@ SELECT query_id, array_to_string(list_concat(list_concat(regexp_extract_all(t, '
 FROM (SELECT query_id, lower(query_text) AS t FROM turns)""",
     "corpus_stats": f"SELECT count(*) AS n_docs, round(avg(len({DOC_TOKENS_SQL})), 6) AS avgdl FROM documents",
     "corpus_stats_by_language": f"SELECT lang, count(*) AS n_docs, round(avg(len({DOC_TOKENS_SQL})), 6) AS avgdl FROM documents GROUP BY lang",
-    "term_idf": _with(**bm25_ctes()) + " SELECT term, df, round(idf, 6) AS idf FROM b_idf",
+    "term_idf": f"""WITH terms AS MATERIALIZED (SELECT term, count(*) AS df FROM (
+  SELECT unnest(list_distinct({DOC_TOKENS_SQL})) AS term FROM documents) GROUP BY term),
+raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM terms, (SELECT count(*) AS n FROM documents)),
+m AS MATERIALIZED (SELECT avg(raw) AS mean FROM raws)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raws, m""",
     "bm25_topk": _with(**bm25_ctes(), top=bm25_top(25)) + f" {_HIT} FROM top",
     "bm25_shuffled": _with(**bm25_ctes(), top=bm25_top(25)) + f" {_HIT} FROM top",
     "bm25_filtered": _with(**bm25_ctes("SELECT doc_id AS doc, text, lang, source FROM documents", where="t.lang = 'en' AND t.source <> 'src1'"), top=bm25_top(25)) + f" {_HIT} FROM top",

@@ -47,15 +47,15 @@ def document_frequencies(tokens: DataFrame, by: list[str] | None = None) -> Data
     )
 
 
-def _raw_idf(n: Column, df: Column) -> Column:
+def raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
-def _with_raw_idf(df: DataFrame, tokens: DataFrame, by: list[str]) -> DataFrame:
+def _withraw_idf(df: DataFrame, tokens: DataFrame, by: list[str]) -> DataFrame:
     if by:
         return df.join(corpus_stats(tokens, by).select(*by, "n_docs"), by).withColumn(
-            "raw", _raw_idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
-    return df.withColumn("raw", _raw_idf(corpus_stats(tokens).select("n_docs").scalar(), F.col("df")))
+            "raw", raw_idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
+    return df.withColumn("raw", raw_idf(corpus_stats(tokens).select("n_docs").scalar(), F.col("df")))
 
 
 def term_idf(tokens: DataFrame, by: list[str] | None = None, params: Bm25 = Bm25(), df: DataFrame | None = None) -> DataFrame:
@@ -66,8 +66,8 @@ def term_idf(tokens: DataFrame, by: list[str] | None = None, params: Bm25 = Bm25
     when a caller has counted them already; the mean is over all terms still.
     """
     by = by or []
-    every = _with_raw_idf(document_frequencies(tokens, by), tokens, by)
-    raw = every if df is None else _with_raw_idf(df, tokens, by)
+    every = _withraw_idf(document_frequencies(tokens, by), tokens, by)
+    raw = every if df is None else _withraw_idf(df, tokens, by)
     if by:
         raw = raw.join(every.groupBy(*by).agg(F.avg("raw").alias("mean_idf")), by)
         mean_idf: Column = F.col("mean_idf")

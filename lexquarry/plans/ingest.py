@@ -14,7 +14,8 @@ from lexquarry.operators.chunking import all_passages, chunk_pages, chunk_schedu
 from lexquarry.operators.schedule import schedule_entries
 from lexquarry.operators.structure import attached_blocks, detect_sections, is_act_footnote
 from lexquarry.operators.validation import assert_no_errors, corpus_issues
-from lexquarry.sources.store import LAYOUT, write_batch
+from lexquarry.sources import buckets
+from lexquarry.sources.store import LAYOUT
 
 Embedding = HashedEmbedding | TrainedEmbedding
 
@@ -39,16 +40,16 @@ def parse_corpus(
         "index_text": embedding_text(), "point_id": chunk_point_id(F.col("chunk_id"))})
 
 
-def ingest_corpus(sections: DataFrame, passages: DataFrame, model: Embedding, store: str, batch: int, total_pages: int,
-                  config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Validate, embed and write a batch; an ERROR issue stops the job before anything is written."""
+def ingest_corpus(sections: DataFrame, passages: DataFrame, model: Embedding, store: str, total_pages: int,
+                  config: EngineConfig = EngineConfig(), n_buckets: int = buckets.BUCKETS) -> DataFrame:
+    """Validate, embed and lay passages and vectors over the stored ones; an ERROR issue stops the job before anything is written."""
     kinds = sections.select(F.explode(attached_blocks(F.col("lines"))).alias("b")).select("b.kind")
     issues = corpus_issues(sections, passages, total_pages, config.max_section, blocks=kinds)
     assert_no_errors(issues)
-    write_batch(passages, f"{store}/passages", batch, LAYOUT)
-    written = passages.sparkSession.read.option("basePath", f"{store}/passages").parquet(f"{store}/passages/batch={batch}")
-    vectors = written.select("chunk_id", model.documents(F.col("index_text")).alias("embedding"))
-    write_batch(vectors, f"{store}/vectors", batch)
+    buckets.upsert(passages, f"{store}/passages", ["chunk_id"], buckets=n_buckets, layout=LAYOUT)
+    written = buckets.lookup(passages.sparkSession, f"{store}/passages", passages)
+    buckets.upsert(written.select("chunk_id", model.documents(F.col("index_text")).alias("embedding")), f"{store}/vectors", ["chunk_id"],
+                   buckets=n_buckets)
     return issues
 
 

@@ -14,7 +14,8 @@ from lexquarry.operators.dense import dense_top_k
 from lexquarry.operators.exact import exact_lookup, with_intent
 from lexquarry.operators.fusion import fuse, fuse_user
 from lexquarry.operators.language import multilingual_flags
-from lexquarry.operators.lexical import Bm25, Tokenizer, bm25_search, search_index
+from lexquarry.operators.lexical import Bm25, Tokenizer, bm25_search
+from lexquarry.operators.pruned import search as search_index
 from lexquarry.operators.rerank import attach, rerank
 from lexquarry.operators.tenancy import require_scope
 from lexquarry.operators.topk import top_k

@@ -11,6 +11,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexquarry.operators.lexical import Bm25
+from lexquarry.operators.pruned import RANGE_DOCS, block_terms, layout, posting_blocks, write_blocks
 from lexquarry.operators.tenancy import latest
 
 LAYOUT = ["chunk_type", "act_short"]
@@ -51,15 +53,28 @@ def compact(spark: SparkSession, store: str, target: str, key: list[str], layout
     write_batch(read_current(spark, store, key), target, 0, layout)
 
 
-def save_index(index: dict[str, DataFrame], folder: str) -> None:
-    """Postings are written by term, so that a search reads few files of them."""
-    index["postings"].repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    for name in ("terms", "corpus"):
-        index[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+def save_index(index: dict[str, DataFrame], folder: str, doc: str, params: Bm25 = Bm25(), range_docs: int = RANGE_DOCS) -> None:
+    """Write index tables of ``lexical.build_index`` for searches that skip blocks.
+
+    The corpus row is written first, as blocks depend on the average length; terms are counted from the blocks that were written.
+    """
+    spark = index["postings"].sparkSession
+    layout(index["corpus"], params, range_docs).coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus")
+    corpus = spark.read.parquet(f"{folder}/corpus")
+    blocks = posting_blocks(index["postings"], corpus, doc, params)
+    # keeps the columns of an index without a posting
+    spark.createDataFrame([], blocks.schema).write.mode("overwrite").parquet(f"{folder}/columns")
+    write_blocks(blocks, f"{folder}/blocks")
+    terms = block_terms(_blocks(spark, folder), corpus, params)
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+
+
+def _blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{folder}/columns").schema).parquet(f"{folder}/blocks")
 
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "corpus")}
+    return {"blocks": _blocks(spark, folder), **{name: spark.read.parquet(f"{folder}/{name}") for name in ("terms", "corpus")}}
 
 
 GOLDEN_SCHEMA = ("id string, type string, query string, expected_act string, expected_sections array<string>, "
