@@ -142,7 +142,8 @@ def observed(docs: DataFrame, keep: list[str], text: str, shared, own_classes: i
                 pairs, times = np.unique(owner[is_rare] * (len(words.values) + 1) + codes[is_rare], return_counts=True)
                 rare_at = np.searchsorted(pairs // (len(words.values) + 1), np.arange(n + 1)).astype(np.int32)
                 rare_words = pa.array(words.values, pa.binary()).cast(pa.string()).take(pa.array(pairs % (len(words.values) + 1), pa.int64()))
-                sums = [np.bincount(owner, weights=x[codes], minlength=n) for x in (value_log, member_log, rank >= 0)]
+                # without a word, bincount gives whole numbers whatever the weights
+                sums = [np.bincount(owner, weights=x[codes], minlength=n).astype(np.float64) for x in (value_log, member_log, rank >= 0)]
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(k).slice(lo, n) for k in range(len(kept))),
                     pa.array([raw[2 * a:2 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()),

@@ -116,3 +116,14 @@ def test_odd_rows(spark, odd, none):
     assert op.score_texts(none, ["doc_id"], held, iterations=1).count() == 0
     untaught = op.score_texts(odd, ["doc_id"], F.lit(True), iterations=1).collect()
     assert {r.train_tokens for r in untaught} == {0} and all(r.base_score == 0 for r in untaught)
+
+
+def test_a_partition_of_texts_without_words(spark):
+    rows = [(i, text) for i, text in enumerate([None, "", " \t", "\n"] * 3)] + [(100, "a text with words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    held = op.remainder(F.col("doc_id"), 10) == 0
+    got = {r.doc_id: r for r in op.score_texts(docs, ["doc_id"], held, iterations=1).collect()}
+    assert len(got) == 13 and all(math.isfinite(r.score) for r in got.values())
+    assert {r.n_tokens for d, r in got.items() if d != 100} == {1}
+    blank = op.score_texts(docs.where("doc_id < 100").coalesce(1), ["doc_id"], held, iterations=1)
+    assert blank.count() == 12
