@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lexquarry.functions.binding import let
 from lexquarry.functions.text import document_tokens
 from lexquarry.operators.dense import best_positions
 from lexquarry.operators.topk import top_k
@@ -321,14 +322,21 @@ def _scorer(shared, query: str, doc: str, k: int, params: Bm25, fallback: bool):
     return run
 
 
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a document's tokens: runs of the sorted tokens, counted where they are."""
+    def counted(words: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+        return let(first, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(words, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(words) + 1) - i).cast("bigint").alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), counted))
+
+
 def build_index(docs: DataFrame, doc: str, text: str, tokenizer: Tokenizer = document_tokens,
                 params: Bm25 = Bm25()) -> dict[str, DataFrame]:
-    """Index tables to write once and query many times: postings, terms, corpus."""
+    """Index tables to write once and query many times: postings, terms, corpus.  ``doc`` names a row; nothing is shuffled for postings."""
     tokens = tokenized(docs, doc, text, tokenizer)
-    postings = (
-        tokens.select(doc, "dl", F.explode("tokens").alias("term"))
-        .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
+    postings = tokens.select(doc, "dl", F.inline(term_counts(F.col("tokens"))))
     return {"postings": postings, "terms": term_idf(tokens, params=params), "corpus": corpus_stats(tokens)}
 
 
