@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lexquarry.llm.shared import ranked, reliable_checkpoint
@@ -34,24 +35,33 @@ from lexquarry.llm.words import Words, slices, split_words
 CAPACITY = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 600_000
+CACHED_PARTS = 600_000
 PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 class Pool:
-    """Id sequences by name, stored in a row."""
+    """Id sequences by name, stored in a row; room grows by doubling."""
 
     def __init__(self) -> None:
         self.number: dict = {}
+        self.count, self.used = 0, 0
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def add(self, names: list, flat: np.ndarray, size: np.ndarray) -> None:
-        first = len(self.size)
-        self.number.update(zip(names, range(first, first + len(names))))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.number.update(zip(names, range(self.count, self.count + len(names))))
+        self.begin = self._put(self.begin, self.count, self.used + np.cumsum(size) - size)
+        self.size = self._put(self.size, self.count, size)
+        self.flat = self._put(self.flat, self.used, flat)
+        self.count, self.used = self.count + len(size), self.used + len(flat)
+
+    @staticmethod
+    def _put(room: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+        if at + len(new) > len(room):
+            room = np.concatenate([room[:at], np.zeros(max(at, len(new)), room.dtype)])
+        room[at:at + len(new)] = new
+        return room
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences one after the other, and the end of each."""
@@ -63,7 +73,7 @@ class Pool:
 
 
 class WordEncoder:
-    """Token ids of words, with a bounded memory of words seen."""
+    """Token ids of words, with a bounded memory of parts seen."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,31 +86,38 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.parts = Pool(), Pool()
+        self.parts, self.judged = Pool(), {}
         self.parts.add([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
-    def split(self, word: bytes) -> tuple[bytes, bytes]:
-        """Letters and punctuation behind them; (b"", word) for any other word.
+    def heads(self, values: list[bytes]) -> tuple[pa.Array, list[bytes]]:
+        """Letters of each word (coded) and the punctuation behind them; of a word that is anything else, nothing and the word.
 
         The vocabulary's lower case is that of single characters; only A-Z are mapped here.
         """
-        head = word.rstrip(PUNCTUATION)
-        if head.isalpha():
-            return head.lower(), word[len(head):]
-        if not head.isascii():
-            letters = head.decode("utf-8", "replace")
-            if letters.isalpha() and "".join(map(str.lower, letters)).isalpha() and unicodedata.is_normalized("NFC", letters):
-                return head, word[len(head):]
-        return b"", word
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode new words by their parts; runs of letters are encoded together."""
-        pairs = [self.split(w) for w in words]
+        trimmed = pc.ascii_rtrim(pa.array(values, pa.binary()).cast(pa.string()), PUNCTUATION.decode())
+        plain, size = pc.ascii_is_alpha(trimmed), pc.binary_length(trimmed).to_numpy()
+        whole = ~plain.to_numpy(zero_copy_only=False)
+        lowered = pc.ascii_lower(trimmed)
+        doubtful = np.flatnonzero(whole & (size > 0) & ~pc.string_is_ascii(trimmed).to_numpy(zero_copy_only=False))
+        if len(doubtful):
+            whole[doubtful] = [not self.made_of_letters(values[i][:n]) for i, n in zip(doubtful.tolist(), size[doubtful].tolist())]
+            lowered = pc.if_else(plain, lowered, trimmed)
+        coded = pc.if_else(pa.array(whole), "", lowered).dictionary_encode()
+        return coded, [v[n:] for v, n in zip(values, np.where(whole, 0, size).tolist())]
+
+    def made_of_letters(self, head: bytes) -> bool:
+        if head not in self.judged:
+            text = head.decode("utf-8", "replace")
+            self.judged[head] = text.isalpha() and "".join(map(str.lower, text)).isalpha() and unicodedata.is_normalized("NFC", text)
+        return self.judged[head]
+
+    def learn(self, heads: list[bytes], others: list[bytes]) -> None:
+        """Encode new parts; runs of letters are encoded together."""
         known = self.parts.number
-        heads = list({h for h, _ in pairs if h not in known})
-        others = list({t for _, t in pairs if t not in known})
-        for lo in range(0, len(heads), 5000):
-            part = heads[lo:lo + 5000]
+        heads = [h for h in heads if h not in known]
+        others = [x for x in others if x not in known]
+        for lo in range(0, len(heads), 20_000):
+            part = heads[lo:lo + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
@@ -111,20 +128,23 @@ class WordEncoder:
         if others:
             found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in others], add_special_tokens=False)]
             self.parts.add(others, np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64))
-        numbers = np.array([(known[h], known[t]) for h, t in pairs], np.int64).reshape(-1)
-        flat, ends = self.parts.joined(numbers)
-        self.words.add(words, flat, np.diff(ends[1::2], prepend=0))
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins."""
-        if len(self.words.number) + len(words.values) > CACHED_WORDS:
+        if len(self.parts.number) + len(self.judged) + 2 * len(words.values) > CACHED_PARTS:
             self.forget()
-        new = [w for w in words.values if w not in self.words.number]
-        if new:
-            self.learn(new)
-        number = self.words.number
-        of_value = np.fromiter((number[w] for w in words.values), np.int64, len(words.values))
-        flat, ends = self.words.joined(of_value[words.codes])
+        coded, tails = self.heads(words.values)
+        heads = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(heads, list(set(tails)))
+        number = self.parts.number
+        of_head = np.fromiter(map(number.__getitem__, heads), np.int64, len(heads))
+        pair = np.empty((len(tails), 2), np.int64)
+        pair[:, 0] = of_head[coded.indices.to_numpy(zero_copy_only=False)] if len(tails) else 0
+        pair[:, 1] = np.fromiter(map(number.__getitem__, tails), np.int64, len(tails))
+        by_word, ends = self.parts.joined(pair.reshape(-1))
+        local = Pool()
+        local.add([], by_word, np.diff(ends[1::2], prepend=0))
+        flat, ends = local.joined(words.codes)
         return flat, np.concatenate([[0], ends])[words.starts]
 
 
