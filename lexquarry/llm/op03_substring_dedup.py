@@ -12,7 +12,8 @@ The sketch overestimates, so it loses no repeated window; what it lets through i
 The sketch has two rows of ``cells`` cells of two bits, sized from the number of bytes of text and bounded by ``MAX_CELLS`` (the
 broadcast has at most 128 MB); beyond that bound more windows reach the exact pass, and the result stays the same.
 
-A text is named by 128 bits of its content: equal texts have equal ranges.
+A text is named by 96 bits of its content: equal texts have equal ranges.  Rows leave a task in the order of its texts, so that the
+names of neighbours are equal and compress.
 
 Defined results: null and empty texts have no words; a text of fewer than ``width`` words has no window and keeps all its words;
 repeated rows are different documents, so their windows repeat; null ids are carried like any other; extra columns are carried only
@@ -154,7 +155,7 @@ def sketch(docs: DataFrame, text: str, width: int, gram: int, max_cells: int = M
 
 def _name(raw: bytes) -> tuple[int, int]:
     whole = xxhash.xxh3_128_intdigest(raw)
-    return (whole >> 64) - (1 << 63), (whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+    return (whole >> 64) - (1 << 63), (whole & 0xFFFFFFFF) - (1 << 31)
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +170,8 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
     whole = sketch(docs, text, width, gram, max_cells)
     cells, shared = whole.cells, spark.sparkContext.broadcast(whole.packed.tobytes())
     columns = ["h1", "h2", "t1", "t2", "lo", "hi"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    schema = "h1 long, h2 int, t1 long, t2 long, lo int, hi int"
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    schema = "h1 long, h2 int, t1 long, t2 int, lo int, hi int"
 
     def batch_of(*arrays):
         return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], names=columns)
@@ -196,7 +197,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
             same = np.concatenate([[False], (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])])
             group = np.cumsum(~same) - 1
             many = np.bincount(group)[group] > 1
-            send = order[~same]
+            send = np.sort(order[~same])
             settled = np.zeros(len(one), bool)
             settled[order[many]] = True
             # the row that is sent for a settled window carries hi = -1: it needs no answer
@@ -242,13 +243,14 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
         group = np.cumsum(new) - 1
         size = np.bincount(group)
         met = (size > 1) | (np.bincount(group, weights=x["hi"] == -1) > 0)
-        out = met[group] & (x["hi"] == 0)
-        if out.any():
-            # hi = 0: the range of one window
+        out = np.flatnonzero(met[group] & (x["hi"] == 0))
+        if len(out):
+            # hi = 0: the range of one window; rows of a text leave together
+            out = out[np.lexsort((x["lo"][out], x["t2"][out], x["t1"][out]))]
             yield pa.RecordBatch.from_arrays([pa.array(x[n][out]) for n in ("t1", "t2", "lo", "hi")], names=["t1", "t2", "lo", "hi"])
 
     rows = docs.select(text).mapInArrow(candidates, schema).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    found = rows.mapInArrow(settle, "t1 long, t2 long, lo int, hi int")
+    found = rows.mapInArrow(settle, "t1 long, t2 int, lo int, hi int")
 
     def joined(batches):
         """Ranges of each text, united; rows are sorted by text and start."""
@@ -272,11 +274,11 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
 
     def tables(out):
         t1, t2, ranges = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))],
+        return pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int32()), pa.array(ranges, pa.list_(pa.int32()))],
                                           names=["t1", "t2", "ranges"])
 
     sorted_rows = found.repartition("t1", "t2").sortWithinPartitions("t1", "t2", "lo")
-    return sorted_rows.mapInArrow(joined, "t1 long, t2 long, ranges array<int>")
+    return sorted_rows.mapInArrow(joined, "t1 long, t2 int, ranges array<int>")
 
 
 def remove_repeats(
@@ -291,7 +293,7 @@ def remove_repeats(
         return one
 
     ranges = repeated_ranges(docs, text, width, gram, max_cells)
-    named = per_text(docs, [*keep, text] if text not in keep else keep, text, [("_t1", T.LongType()), ("_t2", T.LongType())], make_name)
+    named = per_text(docs, [*keep, text] if text not in keep else keep, text, [("_t1", T.LongType()), ("_t2", T.IntegerType())], make_name)
     both = named.join(ranges, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left")
     kept = named.select(*keep).schema.fields
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
