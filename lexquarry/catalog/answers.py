@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexquarry.catalog import corpus as K
 from lexquarry.catalog.search import _corpus, english_vocabulary
+from lexquarry.catalog.structure import SQL as STRUCTURE_SQL
 from lexquarry.catalog.stand_ins import known_items, table, turns
 from lexquarry.config import EngineConfig
 from lexquarry.functions.text import document_tokens
 from lexquarry.models.embedding import HashedEmbedding
 from lexquarry.operators.forms import lookup
+from lexquarry.operators.jobs import job_states
 from lexquarry.plans.answering import answer, answer_forms, combined_evidence, unified
 from lexquarry.plans.benchmark import compare, generation_benchmark
 from lexquarry.operators.tenancy import within_active
-from lexquarry.plans.ingest import ingest_corpus, ingest_uploads, parse_corpus
+from lexquarry.plans.ingest import STAGES, ingest_corpus, ingest_uploads, parse_corpus
 from lexquarry.plans.retrieval import retrieve, retrieve_user
+from lexquarry.plans.staged import StagedIngest
 from lexquarry.session import checkpoint_folder
 from lexquarry.sources import buckets
-from lexquarry.streaming.jobs import admit_stream, counter_stream, job_state_stream, latest, run_to_folder
+from lexquarry.streaming.jobs import admit_stream, counter_stream, ingest_stream, job_state_stream, latest, run_to_folder
 
 
 def _s(c: Column) -> Column:
@@ -190,9 +193,31 @@ def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
     return latest(spark, out).select("event_type", "total", F.round("duration_sum", 4).alias("duration_sum"))
 
 
+def staged_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as an upload job; a fifth of the jobs is cancelled, each before another stage or too late."""
+    source = f"{folder}/documents.parquet*"  # one file or a folder of files
+    name = F.col("doc_id").cast("string")
+    uploads = spark.readStream.schema(table(spark, folder, "documents").schema).option("maxFilesPerTrigger", 8).parquet(source).select(
+        F.concat(F.lit("job"), name).alias("job_id"), F.concat(F.lit("doc"), name).alias("document_id"),
+        F.concat(F.lit("u"), (F.col("doc_id") % 7).cast("string")).alias("user_id"), F.lit("s1").alias("session_id"), F.lit("a.pdf").alias("filename"),
+        F.col("doc_id").alias("page_number"), F.regexp_replace("text", r"\n", "\n\n").alias("text"))
+    cancels = table(spark, folder, "documents").where("doc_id % 5 = 0").select(
+        F.concat(F.lit("job"), name).alias("job_id"), (F.floor(F.col("doc_id") / 5) % (len(STAGES) + 1)).alias("at"))
+    order = [s for s, _ in STAGES]
+    work = _work(spark)
+    config = EngineConfig(chunk_target_chars=900, chunk_overlap_chars=100, embedding_dim=64)
+    staged = StagedIngest(work, HashedEmbedding(config), lambda _, stage: cancels.where(F.col("at") <= order.index(stage)), config, n_buckets=16)
+    ingest_stream(uploads, work, staged)
+    states, stored = job_states(staged.events(spark)), staged.vectors(spark)
+    if stored is None:
+        return states.select("job_id", "status", "progress", "stage", F.lit(0).cast("long").alias("n_vectors"))
+    held = stored.groupBy("job_id").agg(F.count("embedding").alias("n_vectors"))
+    return states.join(held, "job_id", "left").select("job_id", "status", "progress", "stage", F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+
+
 QUERIES = {f.__name__: f for f in (
     retrieve_user_documents, retrieve_user_reranked, active_scope_search, ingest_store, form_answers, generate_validate, combined_answers, unified_answers, mode_compare,
-    generation_rates, embed_documents, ingest_documents, parse_statute, stream_rate_limit, stream_job_states, stream_counters)}
+    generation_rates, embed_documents, ingest_documents, parse_statute, stream_rate_limit, stream_job_states, stream_counters, staged_ingest)}
 
 SQL = {
     # every hit lies in the active document; five of its chunks are found, or all if there are fewer
@@ -203,6 +228,12 @@ FROM benchmark JOIN (SELECT doc_id % 40 AS d, count(*) AS n FROM documents GROUP
     "embed_documents": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, 256::INT AS dim FROM documents""",
     "ingest_store": """SELECT 'p' || p_partkey AS chunk_id, 'substantive_section' AS chunk_type,
   md5('The ' || p_name || ' of ' || p_brand || ' is ' || p_type || '.') AS index_md5, 64::BIGINT AS dim FROM part WHERE p_partkey % 10 <> 0""",
+    "staged_ingest": f"""WITH n AS (SELECT page_start AS doc_id, count(*) AS n FROM ({STRUCTURE_SQL["user_chunks"]}) GROUP BY ALL),
+j AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN doc_id % 5 = 0 THEN (doc_id // 5) % 6 ELSE 5 END AS stop_at FROM documents LEFT JOIN n USING (doc_id))
+SELECT 'job' || doc_id AS job_id, CASE WHEN n = 0 AND stop_at > 0 THEN 'FAILED' WHEN stop_at < 5 THEN 'CANCELLED' ELSE 'READY' END AS status,
+  CASE WHEN n = 0 OR stop_at = 0 THEN NULL ELSE [25, 50, 75, 90, 100][stop_at] END::INT AS progress,
+  CASE WHEN n = 0 AND stop_at > 0 THEN 'failed' WHEN stop_at < 5 THEN 'cancelled' ELSE 'complete' END AS stage,
+  CASE WHEN stop_at < 5 THEN 0 ELSE n END::BIGINT AS n_vectors FROM j""",
     "stream_rate_limit": K.SQL["rate_limit"],
     "stream_job_states": K.SQL["job_states"].replace("n AS n_events, ", ""),
     "stream_counters": K.SQL["counters"],
