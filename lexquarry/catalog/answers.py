@@ -23,7 +23,8 @@ from lexquarry.plans.retrieval import retrieve, retrieve_user
 from lexquarry.plans.staged import StagedIngest
 from lexquarry.session import checkpoint_folder
 from lexquarry.sources import buckets
-from lexquarry.streaming.jobs import admit_stream, counter_stream, ingest_stream, job_state_stream, latest, run_to_folder
+from lexquarry.streaming.batched import AdmitBatches, JobStateBatches, run_batches
+from lexquarry.streaming.jobs import counter_stream, ingest_stream, latest, run_to_folder
 
 
 def _s(c: Column) -> Column:
@@ -172,19 +173,21 @@ def _work(spark: SparkSession) -> str:
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(folder)
 
 
 def stream_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
     out = _work(spark)
-    run_to_folder(admit_stream(_events(spark, folder), "user_id", "ts", "event_id", K.LIMIT, K.WINDOW), out)
-    return spark.read.parquet(f"{out}/out").select("event_id", "is_allowed", "retry_after")
+    step = AdmitBatches(out, "user_id", "ts", "event_id", K.LIMIT, K.WINDOW, n_buckets=16)
+    run_batches(_events(spark, folder), out, step)
+    return step.decisions(spark).select("event_id", "is_allowed", "retry_after")
 
 
 def stream_job_states(spark: SparkSession, folder: str) -> DataFrame:
     out = _work(spark)
-    run_to_folder(job_state_stream(K.job_events_of(_events(spark, folder))), out, "update")
-    return latest(spark, out, ["job_id"], "seq").select("job_id", "status", "progress", "stage", F.col("seq").alias("last_seq"))
+    step = JobStateBatches(out, n_buckets=16)
+    run_batches(K.job_events_of(_events(spark, folder)), out, step)
+    return step.states(spark).select("job_id", "status", "progress", "stage", "last_seq")
 
 
 def stream_counters(spark: SparkSession, folder: str) -> DataFrame:

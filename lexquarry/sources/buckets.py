@@ -94,11 +94,11 @@ def read(spark: SparkSession, store: str, only: list[int] | None = None, version
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def lookup(spark: SparkSession, store: str, keys: DataFrame) -> DataFrame:
-    """Rows with the given keys, from their buckets."""
-    now = manifest(spark, store)
+def lookup(spark: SparkSession, store: str, keys: DataFrame, version: int | None = None) -> DataFrame:
+    """Rows with the given keys, from their buckets; of the newest version or of an older one."""
+    now = manifest(spark, store, version)
     touched = [r[0] for r in keys.select(bucket_of(now.key, now.buckets)).distinct().collect()]
-    return _matching(read(spark, store, touched), keys, now.key, "left_semi")
+    return _matching(read(spark, store, touched, version), keys, now.key, "left_semi")
 
 
 def _matching(rows: DataFrame, keys: DataFrame, key: list[str], how: str) -> DataFrame:

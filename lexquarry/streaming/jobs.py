@@ -1,70 +1,8 @@
-"""Admission, job state and counters as Structured Streaming queries."""
+"""Counters and ingestion as Structured Streaming queries; admission and job state are in ``batched``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from lexquarry.operators.admission import MICROS, _decide, micros
-
-
-def _fields(df: DataFrame, names: list[str]) -> str:
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-
-
-def admit_stream(requests: DataFrame, key: str, time: str, tie: str, limit: int = 60, window_seconds: int = 60) -> DataFrame:
-    """Streaming admission.  State per key: the times of at most ``limit`` admitted requests.
-
-    A micro-batch orders its own requests; limit its size at the source.
-    Requests that arrive in a later batch count as later ones.
-    """
-    window = window_seconds * MICROS
-    rows = requests.select(key, tie, micros(requests, time).alias("_t"))
-
-    def decide(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(frames)).sort_values(["_t", tie])
-        allowed, retry, held = _decide(batch["_t"].to_numpy(dtype=np.int64), held, limit, window)
-        state.update((held,))
-        yield pd.DataFrame({key: batch[key].to_numpy(), tie: batch[tie].to_numpy(), "is_allowed": allowed, "retry_after": retry})
-
-    return rows.groupBy(key).applyInPandasWithState(
-        decide, f"{_fields(requests, [key, tie])}, is_allowed boolean, retry_after int", "held array<bigint>", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def job_state_stream(events: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
-    """State of every job after each micro-batch.  State per job: status, progress, stage."""
-    dead, over = ("CANCELLED", "FAILED"), ("CANCELLED", "FAILED", "READY")
-    rows = events.select(key, order, "kind", "status", "progress", "stage")
-
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, progress, stage = state.get if state.exists else ("PENDING", None, None)
-        batch = pd.concat(list(frames)).sort_values(order)
-        columns = (batch[c].tolist() for c in ("kind", "status", "progress", "stage"))
-        for kind, new_status, new_progress, new_stage in zip(*columns):
-            if kind == "cancel":
-                if status not in over:
-                    status, stage = "CANCELLED", "cancelled"
-            elif kind == "finalize":
-                if status not in dead:
-                    status, progress, stage = "READY", 100, "complete"
-            else:
-                if isinstance(new_status, str) and (status not in dead or new_status in dead):
-                    status = new_status
-                progress = int(new_progress) if pd.notna(new_progress) else progress
-                stage = new_stage if isinstance(new_stage, str) else stage
-        state.update((status, progress, stage))
-        yield pd.DataFrame({key: [k[0]], order: [int(batch[order].iloc[-1])], "status": [status],
-                            "progress": pd.array([progress], dtype="Int32"), "stage": [stage]})
-
-    return rows.groupBy(key).applyInPandasWithState(
-        fold, f"{_fields(events, [key, order])}, status string, progress int, stage string",
-        "status string, progress int, stage string", "update", GroupStateTimeout.NoTimeout)
 
 
 def counter_stream(rows: DataFrame, labels: list[str], seconds: str) -> DataFrame:

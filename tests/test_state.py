@@ -192,7 +192,8 @@ def test_budget_counts_short_blocks(spark):
 
 
 def test_streams_show_the_last_state_of_several_batches(spark, tmp_path):
-    from lexquarry.streaming.jobs import counter_stream, job_state_stream, latest, run_to_folder
+    from lexquarry.streaming.batched import JobStateBatches, run_batches
+    from lexquarry.streaming.jobs import counter_stream, latest, run_to_folder
 
     source = tmp_path / "in"
     schema = "job_id string, seq long, kind string, status string, progress int, stage string"
@@ -200,8 +201,9 @@ def test_streams_show_the_last_state_of_several_batches(spark, tmp_path):
         rows = [(f"j{k}", part * 10 + k, "update", "PROCESSING", part, f"s{part}") for k in range(part, 4)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    run_to_folder(job_state_stream(stream), str(tmp_path / "a"), "update")
-    got = {r.job_id: (r.progress, r.stage) for r in latest(spark, str(tmp_path / "a"), ["job_id"], "seq").collect()}
+    step = JobStateBatches(str(tmp_path / "a"), n_buckets=4)
+    run_batches(stream, str(tmp_path / "a"), step)
+    got = {r.job_id: (r.progress, r.stage) for r in step.states(spark).collect()}
     assert got == {"j0": (0, "s0"), "j1": (1, "s1"), "j2": (2, "s2"), "j3": (2, "s2")}
     run_to_folder(counter_stream(stream, ["job_id"], "progress"), str(tmp_path / "b"), "complete")
     assert {r.job_id: r.total for r in latest(spark, str(tmp_path / "b")).collect()} == {"j0": 1, "j1": 2, "j2": 3, "j3": 3}
