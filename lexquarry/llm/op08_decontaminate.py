@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lexquarry.llm.words import ALPHANUMERIC, Words, mixed, per_text, split_words, windows
 
 WIDTH = 10
+#: a word before A-Z are lower-cased
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PART_WORDS = 2_000_000
 FACTOR = 0x9E3779B97F4A7C15
 TABLE_BITS = 22
@@ -92,14 +94,17 @@ class TestSet:
 
 
 def parts(benchmark: DataFrame, width: int, part_words: int, item_id: str = "item_id", text: str = "text") -> list:
-    """The benchmark as broadcast test sets of bounded size."""
+    """The benchmark as broadcast test sets of about ``part_words`` words.
+
+    Items are dealt by id and text, so that copies of one text under many ids spread; an item is never cut.
+    """
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null")
-    spaces = rows.agg(F.sum(F.length("t") - F.length(F.translate("t", " ", "")) + 1)).first()[0] or 0
-    n = ceil(spaces / part_words) or 1
+    words = rows.agg(F.sum(F.regexp_count("t", F.lit(ANY_CASE_WORD)))).first()[0] or 0
+    n = ceil(words / part_words) or 1
     out = []
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         out.append(spark.sparkContext.broadcast(TestSet([tuple(r) for r in part.toLocalIterator()], width)))
     return out
 

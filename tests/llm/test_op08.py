@@ -60,3 +60,15 @@ def test_documents(spark, folder, documents):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     want = brute(documents, [(r.item_id, r.text) for r in items.collect()])
     assert got(decontaminate(docs, items, ["doc_id"])) == want and sum(1 for w in want if w[2]) > 0
+
+
+def test_copies_of_an_item_are_dealt_over_the_parts(spark):
+    from lexquarry.llm.op08_decontaminate import parts
+
+    text = "One\ttwo\nthree four"
+    items = spark.createDataFrame([(i, text) for i in range(100)], "item_id long, text string")
+    sets = parts(items, 10, 40)
+    assert len(sets) == 10
+    docs = spark.createDataFrame([(1, "zero one two three four five")], "doc_id long, text string")
+    row = decontaminate(docs, items, ["doc_id"], part_words=40).first()
+    assert (row.n_words, row.n_hit, len(row["items"])) == (6, 4, 100)
