@@ -162,11 +162,11 @@ def viterbi(emission: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarr
     return labels
 
 
-def label(words: Words, model: Languages, switch: float) -> tuple[list, list, list]:
-    """Language, score and spans ("language:first word:past the last word") of each text."""
+def label(words: Words, model: Languages, switch: float) -> tuple[list, list, list, list]:
+    """Language, score, spans ("language:first word:past the last word") and the language's share of the words of each text."""
     n, kinds = len(words.starts) - 1, len(model.names)
     if not kinds:
-        return [UNKNOWN] * n, [0.0] * n, [[] for _ in range(n)]
+        return [UNKNOWN] * n, [0.0] * n, [[] for _ in range(n)], [0.0] * n
     per_value, voting = word_scores(words, model)
     emission, votes = per_value[words.codes], voting[words.codes]
     labels = viterbi(emission, words.starts, switch)
@@ -174,12 +174,14 @@ def label(words: Words, model: Languages, switch: float) -> tuple[list, list, li
     count = np.bincount(owner[votes] * kinds + labels[votes], minlength=n * kinds).reshape(n, kinds)
     total, best = count.sum(1), count.argmax(1)
     mine = votes & (labels == best[owner])
-    sums = np.stack([np.bincount(owner[mine], weights=emission[mine, k], minlength=n) for k in range(kinds)], 1)
+    # of no words at all, the sums are whole numbers
+    sums = np.stack([np.bincount(owner[mine], weights=emission[mine, k], minlength=n) for k in range(kinds)], 1).astype(np.float64)
     own = sums[np.arange(n), best]
     sums[np.arange(n), best] = -np.inf
     rival = sums.max(1)
     posterior = 1 / (1 + np.exp(np.clip(rival - own, -50, 50))) if kinds > 1 else np.ones(n)
-    score = np.where(total > 0, count.max(1) / np.maximum(1, total) * posterior, 0.0)
+    share = count.max(1) / np.maximum(1, total)
+    score = np.where(total > 0, share * posterior, 0.0)
     edge = np.ones(len(labels) + 1, bool)
     edge[1:-1] = (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])
     cuts = np.flatnonzero(edge)
@@ -188,13 +190,14 @@ def label(words: Words, model: Languages, switch: float) -> tuple[list, list, li
         i = owner[lo]
         if total[i]:
             spans[i].append(f"{model.names[labels[lo]]}:{lo - words.starts[i]}:{hi - words.starts[i]}")
-    return [model.names[b] if t else UNKNOWN for b, t in zip(best, total)], score.tolist(), spans
+    return [model.names[b] if t else UNKNOWN for b, t in zip(best, total)], score.tolist(), spans, share.tolist()
 
 
 def identify(docs: DataFrame, keep: list[str], model: Languages, text: str = "text", switch: float = SWITCH) -> DataFrame:
-    """``keep``, lang_pred, score and lang_spans of every row."""
+    """``keep``, lang_pred, score, lang_spans and lang_share (of the words that vote) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("lang_spans", T.ArrayType(T.StringType()))]
+    fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("lang_spans", T.ArrayType(T.StringType())),
+              ("lang_share", T.DoubleType())]
     return per_text(docs, keep, text, fields, lambda: lambda texts: label(split_words(texts, LOWER), shared.value, switch))
 
 

@@ -76,3 +76,13 @@ def test_odd_rows(spark, odd, none):
     assert op.identify(none, ["doc_id"], model).count() == 0
     untaught = op.learned(labelled.limit(0))
     assert {r.lang_pred for r in op.identify(odd, ["doc_id"], untaught).collect()} == {"und"}
+
+
+def test_share_of_words(spark):
+    lines = [("the house and the garden of the father", "en"), ("das haus und der garten von dem vater", "de")] * 40
+    model = op.train(spark.createDataFrame(lines, "text string, lang string"), "text", "lang")
+    docs = spark.createDataFrame([(1, "the house and the garden das haus und der garten"), (2, "the house and the garden of the father"), (3, " 12 ")],
+                                 "doc_id long, text string")
+    got = {r.doc_id: (r.lang_share, r.score) for r in op.identify(docs, ["doc_id"], model).collect()}
+    assert got[1][0] == 0.5 and got[1][1] <= 0.5
+    assert got[2][0] == 1.0 and got[3] == (0.0, 0.0)
