@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexquarry.llm.shared import reliable_checkpoint, stored
+from lexquarry.llm.shared import carries, reliable_checkpoint, stored
 from lexquarry.llm.spans import found, masked, of_kind, spelled
 
 BASE = ["assign", "access", "hex"]
@@ -79,6 +79,7 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     return weak.join(there, met & near, "left_semi").groupBy("_text").agg(F.collect_set("w").alias("links"))
 
 
+@carries("base", "spans")
 def scan(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SCOPE, linked_spans: int = LINKED_SPANS) -> DataFrame:
     """``keep``, ``base`` and ``spans`` of every row: arrays of (start, place, end, kind), sorted by start, then kind.
 

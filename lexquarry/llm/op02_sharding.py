@@ -20,7 +20,7 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexquarry.llm.shared import ranked, reliable_checkpoint
+from lexquarry.llm.shared import carries, ranked, reliable_checkpoint
 
 SHARDS = 16
 
@@ -126,6 +126,7 @@ def level_sizes(histogram: dict[int, int], bins: int) -> list[tuple[int, int, in
     return own + [(s, a + offset[s], b + offset[s], k) for s, a, b, k in best]
 
 
+@carries("size", "text_crc32", "shard", "slot")
 def shard(
     docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", bins: int | None = SHARDS,
     capacity: int | None = None,

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lexquarry.llm.shared import carries
 from lexquarry.llm.words import Words, mixed, per_text, slices, split_words, windows
 
 WIDTH = 35
@@ -281,6 +282,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", width: int = WIDTH, gra
     return sorted_rows.mapInArrow(joined, "t1 long, t2 int, ranges array<int>")
 
 
+@carries("n_words", "n_removed", "kept_text")
 def remove_repeats(
     docs: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH, gram: int = GRAM, max_cells: int = MAX_CELLS,
 ) -> DataFrame:

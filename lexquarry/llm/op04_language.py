@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lexquarry.llm.op07_hmm import remainder
+from lexquarry.llm.shared import carries
 from lexquarry.llm.words import LOWER, Words, per_text, slices, split_words
 
 BUCKETS = 1 << 16
@@ -193,6 +194,7 @@ def label(words: Words, model: Languages, switch: float) -> tuple[list, list, li
     return [model.names[b] if t else UNKNOWN for b, t in zip(best, total)], score.tolist(), spans, share.tolist()
 
 
+@carries("lang_pred", "score", "lang_spans", "lang_share")
 def identify(docs: DataFrame, keep: list[str], model: Languages, text: str = "text", switch: float = SWITCH) -> DataFrame:
     """``keep``, lang_pred, score, lang_spans and lang_share (of the words that vote) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

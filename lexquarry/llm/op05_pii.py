@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexquarry.llm.shared import stored
+from lexquarry.llm.shared import carries, stored
 from lexquarry.llm.spans import found, masked, of_kind, spelled
 
 BASE = ["email", "ip", "card", "phone"]
@@ -151,6 +151,7 @@ def accepted_codes(rows: DataFrame, precision: float = PRECISION, rounds: int =
     return sorted(accepted)
 
 
+@carries("base", "spans")
 def scan(docs: DataFrame, keep: list[str], text: str = "text", precision: float = PRECISION) -> DataFrame:
     """``keep``, ``base`` (by kind, then start) and ``spans`` (base and accepted ones) of every row."""
     rows = stored(candidates(docs, keep, text))

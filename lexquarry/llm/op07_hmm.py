@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lexquarry.llm.shared import stored
+from lexquarry.llm.shared import carries, stored
 from lexquarry.llm.words import LOWER, slices, split_words
 
 STATES = 8
@@ -295,6 +295,7 @@ def _table(rows: list) -> pa.RecordBatch:
         names=["kind", "k", "counts"])
 
 
+@carries("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 def score_texts(
     docs: DataFrame, keep: list[str], held_out: Column, text: str = "text", states: int = STATES, iterations: int = ITERATIONS,
     own_classes: int = OWN_CLASSES, shared_words: int = SHARED_WORDS,

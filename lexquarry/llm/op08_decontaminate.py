@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lexquarry.llm.shared import carries
 from lexquarry.llm.words import ALPHANUMERIC, Words, mixed, per_text, split_words, windows
 
 WIDTH = 10
@@ -109,6 +110,7 @@ def parts(benchmark: DataFrame, width: int, part_words: int, item_id: str = "ite
     return out
 
 
+@carries("hit_text", "hits", "items")
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH,
     part_words: int = PART_WORDS,
@@ -129,6 +131,7 @@ def find_hits(
     return out.select(*keep, F.col("_t").alias("hit_text"), F.col("_h").alias("hits"), F.col("_i").alias("items"))
 
 
+@carries("n_words", "n_hit", "items", "clean_text")
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH,
     part_words: int = PART_WORDS,

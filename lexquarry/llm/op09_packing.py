@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lexquarry.llm.shared import ranked, reliable_checkpoint
+from lexquarry.llm.shared import carries, ranked, reliable_checkpoint
 from lexquarry.llm.words import Words, slices, split_words
 
 CAPACITY = 4096
@@ -154,6 +154,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+@carries("start", "length", "ids_crc32", "doc_tokens", "ids")
 def pieces(
     docs: DataFrame, keep: list[str], path: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
     with_ids: bool = False,

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lexquarry.llm.shared import components, reliable_checkpoint, stored
+from lexquarry.llm.shared import carries, components, reliable_checkpoint, stored
 from lexquarry.llm.words import LOWER, mixed, per_text, translated
 from lexquarry.sizing import fits
 
@@ -156,6 +156,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+@carries("simhash", "component_id")
 def near_duplicates(
     docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
     radius: int = RADIUS, tree_rows: int = TREE_ROWS,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from inspect import signature
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -11,6 +14,40 @@ from lexquarry.session import checkpoint_folder, reliable_checkpoint
 MAX_STAR_ROUNDS = 200
 
 
+#: The struct that carries the columns of ``keep``.
+BOX = "_kept"
+#: Kept columns that no operator uses inside.
+PLAIN = {"doc_id", BOX}
+
+
+def carries(*results: str) -> Callable:
+    """Let ``keep`` of an operator name any columns, also those that it uses inside.
+
+    Such columns travel as one struct.  A column that has the name of a result cannot be carried: a ValueError says so before a job
+    runs.  Rows of which only the id is kept are not boxed.
+    """
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        shape = signature(operator)
+
+        @wraps(operator)
+        def run(*args, **named) -> DataFrame:
+            call = shape.bind(*args, **named)
+            docs, keep = call.arguments["docs"], list(dict.fromkeys(call.arguments["keep"]))
+            clash = sorted(set(keep) & set(results))
+            if clash:
+                raise ValueError(f"columns {clash} are results of this operator; rename them or leave them out of keep")
+            if set(keep) <= PLAIN:
+                return operator(*args, **named)
+            call.arguments["docs"] = docs.withColumn(BOX, F.struct(*(docs[c] for c in keep)))
+            call.arguments["keep"] = [BOX]
+            out = operator(*call.args, **call.kwargs)
+            return out.select(*(F.col(BOX).getField(c).alias(c) for c in keep), *(c for c in out.columns if c != BOX))
+
+        return run
+
+    return around
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back: lineage is cut, and columns can be read alone."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid4().hex}"
@@ -75,4 +112,4 @@ def _print_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-__all__ = ["components", "ranked", "reliable_checkpoint", "stored"]
+__all__ = ["carries", "components", "ranked", "reliable_checkpoint", "stored"]
