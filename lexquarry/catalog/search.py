@@ -14,6 +14,7 @@ from lexquarry.functions.confidence import TITLE_STOP_WORDS, confidence
 from lexquarry.functions.text import document_tokens, statute_tokens
 from lexquarry.models.scoring import lexical_logit
 from lexquarry.operators import lexical as L
+from lexquarry.operators.cells import load_cells, save_cells, search_cells
 from lexquarry.operators.dense import dense_top_k
 from lexquarry.operators.exact import exact_lookup, with_intent
 from lexquarry.operators.fusion import fuse, fuse_user
@@ -180,6 +181,35 @@ def dense_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return _dense_out(_dense(spark, folder, 25, floor=0.3))
 
 
+def stored_cells(spark: SparkSession, folder: str, owner: str | None = None) -> dict[str, DataFrame]:
+    """The vectors written in cells below the checkpoint folder and read again."""
+    path = f"{checkpoint_folder(spark)}/cells-{uuid4().hex}"
+    save_cells(table(spark, folder, "embeddings"), path, "vec_id", "embedding", owner=owner, keep=["label"])
+    return load_cells(spark, path)
+
+
+def _cells(spark: SparkSession, folder: str, owner: str | None = None, **kw) -> DataFrame:
+    queries = known_items(spark, folder).where(F.col("query_vector").isNotNull())
+    if owner:
+        own = table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), owner)
+        queries = queries.join(own, "query_id")
+    return _dense_out(search_cells(
+        stored_cells(spark, folder, owner), queries, "vec_id", "embedding", "query_id", "query_vector", 25, owner=owner, **kw))
+
+
+def dense_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return _cells(spark, folder)
+
+
+def dense_cells_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    return _cells(spark, folder, where=F.col("label") == 3)
+
+
+def dense_cells_owner(spark: SparkSession, folder: str) -> DataFrame:
+    """A label stands in for the user whose vectors a query may see."""
+    return _cells(spark, folder, owner="label")
+
+
 def _both(spark: SparkSession, folder: str, k: int = 25) -> tuple[DataFrame, DataFrame]:
     dense = _dense(spark, folder, k).withColumnRenamed("query_id", "item_id").withColumnRenamed("vec_id", "doc_id")
     return dense, _search(spark, folder, k)
@@ -304,6 +334,7 @@ QUERIES = {
     "bm25_filtered": bm25_filtered, "bm25_fallback_topk": bm25_fallback_topk, "bm25_index_search": bm25_index_search,
     "bm25_stored_index": bm25_stored_index, "retrieve_stored_index": retrieve_stored_index,
     "dense_topk": dense_topk, "dense_filtered": dense_filtered, "dense_threshold": dense_threshold,
+    "dense_cells": dense_cells, "dense_cells_filtered": dense_cells_filtered, "dense_cells_owner": dense_cells_owner,
     "rrf_fuse": rrf_fuse, "rrf_k_sweep": rrf_k_sweep, "rrf_user_order": rrf_user_order,
     "section_intent": section_intents, "exact_lookup": exact_lookups, "rerank_topk": rerank_topk,
     "english_vocabulary": english_vocabulary, "multilingual_flag": multilingual_flag, "confidence": confidence_scores,
@@ -420,6 +451,8 @@ SELECT item_id, CASE WHEN query IS NULL THEN 0.0::DOUBLE ELSE s END AS confidenc
 }
 
 SQL["bm25_stored_index"] = SQL["bm25_index_search"]
+SQL["dense_cells"], SQL["dense_cells_filtered"] = SQL["dense_topk"], SQL["dense_filtered"]
+SQL["dense_cells_owner"] = f"{_VEC} FROM ({dense_top(25, 'p.label = q.label')})"
 
 
 def _judged_sql(mode: str, ranked: str, dense_rank: str, bm25_rank: str, **before: str) -> str:
