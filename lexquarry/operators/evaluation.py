@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexquarry.functions.refs import base_section
+from lexquarry.session import reliable_checkpoint
 
 MISS = 0
 
@@ -59,31 +60,77 @@ def ranking_metrics(first: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 ACCURACY = 10_000
+#: Steps of the sketch that narrows a bracket, and the distinct values that a bracket may hold when they are put in order.
+GRID, BRACKET_VALUES = 1_000, 10_000
 
 
 def nearest_rank(rows: DataFrame, value: str, percentiles: dict[str, float], by: list[str]) -> DataFrame:
     """Percentiles as elements of the sorted values: position int(n * p), from 0.
 
-    A mergeable sketch brackets each percentile; values below the bracket are
-    counted, and only the distinct values inside it are sorted, so the result is exact
-    and a hot group is never gathered.  A null label is a group; a group without
-    values has n = 0 and null percentiles.
+    Selection by rounds.  Every group has a bracket for each percentile; a round counts the values below it and at its ends and
+    sketches those between, for all percentiles in one aggregation, and the sketch gives the next bracket.  That goes on until no
+    bracket holds more than ``BRACKET_VALUES`` distinct values; only these are put in order, so no task sorts the values of a group.
+    A round leaves about a few ``GRID``-ths of the values; the ends are counted apart, so a value that most rows share does not hold
+    it up.  The result is exact.  A null label is a group; a group without values has n = 0 and null percentiles.
     """
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"))
-    eps = 2.0 / ACCURACY
-    for name, p in percentiles.items():
-        ends = F.percentile_approx(value, [max(0.0, p - eps), min(1.0, p + eps)], ACCURACY)
-        bracket = rows.groupBy(*by).agg(F.count(value).alias("_n"), ends.alias("_ends"))
-        near = _same_group(rows.select(*by, value), bracket, by)
-        low, high = F.element_at("_ends", 1), F.element_at("_ends", 2)
-        below = near.groupBy(*by).agg(F.count_if(F.col(value) < low).alias("_below"))
-        inside = near.where(F.col(value).between(low, high)).groupBy(*by, "_n", value).agg(F.count(F.lit(1)).alias("_c"))
-        w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-        upto = F.col("_below") + F.col("_sum")
-        placed = _same_group(inside.withColumn("_sum", F.sum("_c").over(w)), below, by)
-        picked = placed.where(upto > F.floor(F.col("_n") * F.lit(p))).groupBy(*by).agg(F.min(value).alias(name))
-        out = _same_group(out, picked, by)
-    return out
+    v, names = F.col(value), list(percentiles)
+    data = rows.select(*by, value)
+    brackets = None
+    steps = F.expr("array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")")
+    while True:
+        seen = data if brackets is None else _same_group(data, brackets.drop("n"), by)
+        counted = [F.count(value).alias("n")]
+        for name in names:
+            low, high = _ends(rows, value, name, brackets is None)
+            between = v if brackets is None else F.when((v > low) & (v < high), v)
+            counted += [
+                F.first(low).alias(f"_low_{name}"), F.first(high).alias(f"_high_{name}"), F.count_if(v < low).alias(f"_below_{name}"),
+                F.count_if(v == low).alias(f"_at_{name}"), F.count(between).alias(f"_open_{name}"),
+                F.approx_count_distinct(between).alias(f"_kinds_{name}"),
+                F.percentile_approx(between, steps, ACCURACY).alias(f"_edges_{name}")]
+        now = reliable_checkpoint(seen.groupBy(*by).agg(*counted))
+        if (now.agg(F.max(F.greatest(*(F.col(f"_kinds_{n}") for n in names), F.lit(0)))).first()[0] or 0) <= BRACKET_VALUES:
+            break
+        brackets = now.select(*by, "n", *(c for name, p in percentiles.items() for c in _narrowed(name, p)))
+    return _picked(data, now, value, percentiles, by, whole=brackets is None)
+
+
+def _ends(rows: DataFrame, value: str, name: str, whole: bool) -> tuple[Column, Column]:
+    if whole:
+        none = F.lit(None).cast(rows.schema[value].dataType)
+        return none, none
+    return F.col(f"_low_{name}"), F.col(f"_high_{name}")
+
+
+def _narrowed(name: str, p: float) -> list[Column]:
+    """The next bracket: an end itself, or the steps of the sketch around the position, half a step more than its error."""
+    low, high, edges = F.col(f"_low_{name}"), F.col(f"_high_{name}"), F.col(f"_edges_{name}")
+    within = F.floor(F.col("n") * F.lit(p)) - F.col(f"_below_{name}")
+    after = within - F.col(f"_at_{name}")
+    step = F.lit(GRID) / F.greatest(F.col(f"_open_{name}"), F.lit(1))
+
+    def end(edge: Column) -> Column:
+        inner = F.get(edges, F.least(F.greatest(edge, F.lit(0)), F.lit(GRID)).cast("int"))
+        return F.when(low.isNotNull() & (within < F.col(f"_at_{name}")), low).when(after < F.col(f"_open_{name}"), inner).otherwise(high)
+
+    return [end(F.floor(after * step - 0.5)).alias(f"_low_{name}"), end(F.ceil((after + 1) * step + 0.5)).alias(f"_high_{name}")]
+
+
+def _picked(data: DataFrame, brackets: DataFrame, value: str, percentiles: dict[str, float], by: list[str], whole: bool) -> DataFrame:
+    """The values at the positions, of brackets with few distinct values each."""
+    v = F.col(value)
+    per_name = F.array(*[F.struct(
+        F.lit(name).alias("name"), F.col(f"_low_{name}").alias("low"), F.col(f"_high_{name}").alias("high"),
+        (F.floor(F.col("n") * F.lit(p)) - F.col(f"_below_{name}")).alias("at")) for name, p in percentiles.items()])
+    wanted = brackets.select(*by, F.explode(per_name).alias("_b")).select(*by, "_b.*")
+    near = _same_group(data.where(v.isNotNull()), brackets.select(*by, per_name.alias("_all")), by)
+    inside = F.filter("_all", lambda b: F.lit(whole) | v.between(b["low"], b["high"]))
+    counts = near.select(*by, value, F.explode(inside).alias("_b")).groupBy(*by, "_b.name", value).agg(F.count(F.lit(1)).alias("_c"))
+    w = W.partitionBy(*by, "name").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = _same_group(counts.withColumn("_upto", F.sum("_c").over(w)), wanted.select(*by, "name", "at"), [*by, "name"])
+    found = placed.where(F.col("_upto") > F.col("at")).groupBy(*by).agg(
+        *[F.min(F.when(F.col("name") == name, v)).alias(name) for name in percentiles])
+    return _same_group(brackets.select(*by, "n"), found, by)
 
 
 def _same_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:

@@ -88,6 +88,25 @@ def test_nearest_rank(spark, n):
     assert (row["p50"], row["p95"]) == (sorted(values)[n // 2], sorted(values)[int(0.95 * n)])
 
 
+@pytest.mark.parametrize("grid, values", [(20, 60), (1000, 10_000)])
+def test_nearest_rank_in_rounds(spark, monkeypatch, grid, values):
+    """Brackets that are narrowed several times, with values that most rows share, one group with most rows, and an empty group."""
+    from lexquarry.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "GRID", grid)
+    monkeypatch.setattr(evaluation, "BRACKET_VALUES", values)
+    rng = np.random.default_rng(8)
+    groups = {
+        "hot": [float(x) for x in rng.normal(size=1500)], "shared": [float(i) for i in range(60)] + [500.0] * 900, None: [3.0, 1.0, 2.0],
+        "ends": [0.0] * 400 + [float(x) for x in rng.random(200)] + [1.0] * 400, "empty": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("empty", None), ("hot", None)]
+    ps = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p999": 0.999}
+    got = {r.g: r for r in evaluation.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", ps, ["g"]).collect()}
+    for g, vs in groups.items():
+        assert got[g].n == len(vs)
+        assert [got[g][n] for n in ps] == ([sorted(vs)[int(len(vs) * p)] for p in ps.values()] if vs else [None] * len(ps)), g
+
+
 EVIDENCE = [(1, "c1", "Bharatiya Nyaya Sanhita, 2023", "BNS", "VI", "Of offences", "103", "Murder", None, None, "substantive_section",
              "Whoever commits murder shall be punished with death or imprisonment for life, and shall also be liable to fine. (2) A group.", 10, 11, 0.9)]
 SCHEMA = ("array<struct<rank:int,chunk_id:string,act:string,act_short:string,chapter:string,chapter_title:string,section_number:string,"
