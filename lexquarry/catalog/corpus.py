@@ -22,6 +22,7 @@ from lexquarry.operators.admission import admit
 from lexquarry.session import checkpoint_folder, reliable_checkpoint
 from lexquarry.sizing import join_bounded
 from lexquarry.sources import buckets
+from lexquarry.sources.documents import extract_pages
 
 
 def _s(c: Column) -> Column:
@@ -267,6 +268,16 @@ def readable_uploads(spark: SparkSession, folder: str) -> DataFrame:
     return V.readable_uploads(pages)
 
 
+def upload_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Web pages as uploaded files: a paragraph is a page of them; some are empty, encrypted or of another kind.  Pages 1 to 20."""
+    n, text = F.col("page_id"), F.replace(F.col("html"), F.lit("</p>"), F.lit("\f"))
+    content = F.when(n % 13 == 0, F.lit("")).when(n % 11 == 0, text).when(
+        n % 7 == 0, F.concat(F.lit("%PDF-1.7 trailer /Encrypt 5 0 R "), text)).otherwise(F.concat(F.lit("%PDF-1.7 "), text))
+    files = table(spark, folder, "pages").select(n.alias("path"), content.cast("binary").alias("content"))
+    return extract_pages(files, pages=(1, 20)).select(
+        F.col("path").cast("long").alias("page_id"), "page_number", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"), "problem")
+
+
 # --- evaluation ---------------------------------------------------------------
 
 def _in_a_row(tokens: Column) -> Column:
@@ -430,7 +441,7 @@ QUERIES = {f.__name__: f for f in (
     form_by_section, form_by_title, form_by_key, form_fuzzy, lookup_ladder, lookup_candidates, left_join_manifest, form_confidence,
     form_invariants, form_texts, form_manifest, parse_forms, form_fields, scoped_search, active_documents, upsert_latest, scoped_delete,
     deleted_counts, ingest_dedup, redact, missing_keys, duplicate_keys, corpus_report, corpus_issues, short_chunks, readiness,
-    readable_uploads, golden_set, recall_mrr, first_hit_ranks, config_compare, threshold_sweep, best_threshold, label_refusals,
+    readable_uploads, upload_pages, golden_set, recall_mrr, first_hit_ranks, config_compare, threshold_sweep, best_threshold, label_refusals,
     nearest_rank_percentiles, rate_limit, job_states, cancel_jobs, counters, token_cost, metrics_text)}
 
 
@@ -584,6 +595,14 @@ FROM (SELECT e.user_id::VARCHAR AS user_id, e.user_id AS n, coalesce(r.ready, []
     "short_chunks": r"SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 200",
     "readiness": "SELECT unnest(['embeddings', 'part', 'documents']) AS name, unnest([CASE WHEN (SELECT count(*) FROM embeddings) = 0 THEN 'DEGRADED' ELSE 'READY' END, CASE WHEN (SELECT count(*) FROM part) = 58 THEN 'READY' ELSE 'DEGRADED' END, 'READY']) AS status, CASE WHEN (SELECT count(*) FROM part) = 58 THEN 'READY' ELSE 'UNAVAILABLE' END AS overall",
     "readable_uploads": r"SELECT page_id AS document_id, count(*) AS n_pages, sum(CASE WHEN page_id % 5 = 0 THEN 0 ELSE length(regexp_replace(html, '^\s+|\s+$', '', 'g')) END)::BIGINT AS n_chars, page_id % 5 <> 0 AS accepted FROM pages GROUP BY page_id",
+    "upload_pages": r"""SELECT page_id, 0::INT AS page_number, 0::BIGINT AS n_chars, md5('') AS md5,
+        CASE WHEN page_id % 13 = 0 THEN 'EMPTY' WHEN page_id % 11 = 0 THEN 'NOT_PDF' ELSE 'ENCRYPTED' END AS problem
+      FROM pages WHERE page_id % 13 = 0 OR page_id % 11 = 0 OR page_id % 7 = 0
+      UNION ALL SELECT page_id, n::INT, length(t)::BIGINT, md5(t), NULL FROM (
+        SELECT page_id, n, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM (
+          SELECT page_id, unnest(texts) AS text, generate_subscripts(texts, 1) AS n FROM (
+            SELECT page_id, string_split(replace('%PDF-1.7 ' || html, '</p>', chr(12)), chr(12)) AS texts FROM pages
+            WHERE page_id % 13 <> 0 AND page_id % 11 <> 0 AND page_id % 7 <> 0)) WHERE n <= 20)""",
     "golden_set": _with(golden=GOLDEN_SQL) + "SELECT query_id, coalesce(array_to_string(docs, ','), '') AS docs, should_refuse FROM golden",
     "recall_mrr": _with(**_GOLD, firsts=_FIRST) + f"SELECT {_METRICS} FROM firsts WHERE NOT should_refuse",
     "first_hit_ranks": _with(**_GOLD) + """SELECT g.query_id, coalesce(min(h.rank) FILTER (len(list_filter(g.docs, lambda d: starts_with(h.doc::VARCHAR, d::VARCHAR))) > 0), 0)::INT AS first_rank

@@ -12,6 +12,7 @@ from lexquarry.operators import structure as S
 from lexquarry.operators.chunking import chunk_sections
 from lexquarry.operators.schedule import schedule_entries
 from lexquarry.sources import store
+from lexquarry.config import EngineConfig
 from lexquarry.sources.documents import extract_pages, file_problem
 
 STATUTE = [
@@ -137,3 +138,28 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.column_names) == names
     rows = [sorted(zip(*[t.column(n).to_pylist() for n in names]), key=repr) for t in (got, want)]
     assert rows[0] == rows[1]
+
+
+def test_files_are_checked_before_the_reader(spark):
+    """The reader fails on every file that a check refuses, so none may reach it."""
+    good = b"%PDF-1\n one \f two \f  \f four"
+    rows = [("good", good), ("plain", b"text"), ("none", None), ("void", b""), ("locked", b"%PDF-1 trailer /Encrypt 7 0 R"),
+            ("talk", b"%PDF-1 about /Encrypt"), ("large", b"%PDF-" + b"x" * 200), ("blank", b"%PDF-\f \f "), ("broken", b"%PDF-!")]
+
+    def reader(content):
+        assert content.startswith(b"%PDF-") and b"7 0 R" not in content and len(content) < 100
+        if content.endswith(b"!"):
+            raise ValueError("no table")
+        return content.decode().split("\f")[1:] if content.startswith(b"%PDF-\f") else content.decode()[6:].split("\f")
+
+    files = spark.createDataFrame(rows, "path string, content binary")
+    config = EngineConfig(upload_max_bytes=100)
+    got = sorted((r.path, r.page_number, r.text, r.problem) for r in extract_pages(files, reader, config=config).collect())
+    assert got == sorted([
+        ("good", 1, "one", None), ("good", 2, "two", None), ("good", 3, "", None), ("good", 4, "four", None), ("plain", 0, "", "NOT_PDF"),
+        ("none", 0, "", "EMPTY"), ("void", 0, "", "EMPTY"), ("locked", 0, "", "ENCRYPTED"), ("talk", 1, "about /Encrypt", None),
+        ("large", 0, "", "TOO_LARGE"), ("blank", 0, "", "NO_TEXT"), ("broken", 0, "", "UNREADABLE no table")])
+    ranged = extract_pages(files.where("path in ('good', 'talk')"), reader, config=config, pages=(2, 3)).collect()
+    assert sorted((r.path, r.page_number, r.problem) for r in ranged) == [("good", 2, None), ("good", 3, None), ("talk", 0, "NO_PAGES")]
+    with pytest.raises(ValueError):
+        extract_pages(files, reader, pages=(3, 2))
