@@ -9,7 +9,9 @@ from lexquarry.functions.refs import normalize_section
 from lexquarry.functions.text import form_filename, normalize_key, slugify, strip
 from lexquarry.operators.scans import running
 from lexquarry.operators.topk import top_k
-from lexquarry.sizing import BROADCAST_ROWS, join_bounded
+from lexquarry.session import reliable_checkpoint
+from lexquarry.sizing import BROADCAST_ROWS, fits, join_bounded, union_all
+from lexquarry.sources.tables import spread
 
 # Words a query and a title do not match on.
 TITLE_STOP = ["the", "of", "to", "an", "a", "for", "in", "by", "under"]
@@ -92,7 +94,7 @@ def forms_by_section(queries: DataFrame, forms: DataFrame, section: str = "secti
                      broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(query columns, form_number) for queries that name a section."""
     asked = queries.withColumn("key", normalize_section(F.col(section)))
-    return join_bounded(asked, section_keys(forms), ["key"], max_rows=broadcast_rows).drop("key")
+    return join_bounded(section_keys(forms), asked, ["key"], max_rows=broadcast_rows).drop("key").select(*queries.columns, "form_number")
 
 
 def forms_by_title(queries: DataFrame, forms: DataFrame, text: str = "query_text",
@@ -159,35 +161,96 @@ def fuzzy_scores(queries: DataFrame, forms: DataFrame, query: str = "query_id",
     return met.select(query, "form_number", score.alias("match_score")).where(F.col("match_score") > MIN_SCORE)
 
 
-def lookup(queries: DataFrame, forms: DataFrame, query: str = "query_id", text: str = "query_text",
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Status, form and candidates of every query.
+# Words up to which pairs of a title's or a query's words are listed.
+PAIR_WORDS = 32
 
-    Tried in order: form number, bare number, section, exact title, similar
-    titles.  A number that no form has ends the search; a section without
-    forms does not.
+
+def _pairs(words: Column, last: Column | None = None) -> Column:
+    """Pairs (a, b) of words, a before b; with ``last`` those whose a and b are in the first ``last`` and ``last`` + 1."""
+    size = F.size(words) if last is None else last + 1
+    return F.flatten(F.transform(F.slice(words, 1, F.greatest(size - 1, F.lit(0))), lambda a, i: F.transform(
+        F.slice(words, i + 2, F.greatest(size - 1 - i, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def similar_titles(queries: DataFrame, forms: DataFrame, k: int = MAX_CANDIDATES, query: str = "query_id", text: str = "query_text",
+                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(query, form_number, match_score, rank): the first ``k`` rows per query of ``fuzzy_scores``, without its other pairs.
+
+    Among titles of one length the score grows with the shared words alone.  A title that shares one word (or two) with a query is
+    therefore among the ``k`` smallest numbers of that word (or pair) and length, or ``k`` others come before it.  Only pairs that
+    share three words are met one by one, by their two rarest.  Queries of equal words are searched once; queries and titles of more
+    than ``PAIR_WORDS`` words go through ``fuzzy_scores``.
+    """
+    titles = forms.select("form_number", _tokens(F.col("form_title"), TITLE_STOP).alias("_t"))
+    counts = reliable_checkpoint(titles.select(F.explode("_t").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_df")))
+    titles = reliable_checkpoint(_rarest_first(titles, "_t", ["form_number"], counts, broadcast_rows).select(
+        "form_number", F.size("_t").alias("_nt"), F.col("known").alias("_words")))
+    asked = _rarest_first(queries.select(query, _tokens(F.col(text), QUERY_STOP).alias("_q")), "_q", [query], counts, broadcast_rows)
+    asked = reliable_checkpoint(asked.select(query, F.size("_q").alias("_nq"), "known"))
+    sets = asked.where(F.size("known") <= PAIR_WORDS).select("_nq", "known").distinct()
+    short = titles.where(F.col("_nt") <= PAIR_WORDS)
+
+    met = []
+    for part in (lambda words: F.transform(words, lambda a: F.struct(a.alias("a"), F.lit("").alias("b"))), _pairs):
+        first = top_k(short.select("form_number", "_nt", "_words", F.inline(part(F.col("_words")))), ["a", "b", "_nt"],
+                      [F.col("form_number").asc()], k).drop("rank")
+        met.append(join_bounded(sets.select("_nq", "known", F.inline(part(F.col("known")))), first, ["a", "b"], max_rows=broadcast_rows))
+    rarest = [rows.select("*", F.inline(_pairs(F.col(words), F.size(words) - 2))) for rows, words in ((sets, "known"), (short, "_words"))]
+    three = join_bounded(*rarest, ["a", "b"], max_rows=broadcast_rows).withColumn("_both", F.array_intersect("known", "_words"))
+    met.append(three.where((F.size("_both") > 2) & (F.col("_both")[0] == F.col("a")) & (F.col("_both")[1] == F.col("b"))))
+    pairs = union_all([m.select("_nq", "known", "form_number", "_nt", F.size(F.array_intersect("known", "_words")).alias("_n")) for m in met])
+    p, r = F.col("_n") / F.col("_nq"), F.col("_n") / F.col("_nt")
+    pairs = pairs.distinct().withColumn("match_score", 0.6 * p + 0.4 * (2 * p * r / (p + r))).where(F.col("match_score") > MIN_SCORE)
+    order = [F.round("match_score", 12).desc(), F.col("form_number").asc()]
+    best = top_k(pairs, ["_nq", "known"], order, k).select("_nq", "known", "form_number", "match_score")
+    found = join_bounded(asked, best, ["_nq", "known"], max_rows=broadcast_rows).select(query, "form_number", "match_score")
+
+    wide_asked, wide_titles = asked.where(F.size("known") > PAIR_WORDS), titles.where(F.col("_nt") > PAIR_WORDS)
+    if not fits(wide_asked, 0):
+        found = found.unionByName(fuzzy_scores(queries.join(wide_asked.select(query), query, "left_semi"), forms, query, text, broadcast_rows))
+    if not fits(wide_titles, 0):
+        found = found.unionByName(fuzzy_scores(queries, forms.join(wide_titles.select("form_number"), "form_number", "left_semi"), query, text, broadcast_rows))
+    return top_k(found.distinct(), [query], order, k)
+
+
+def named(queries: DataFrame, forms: DataFrame, query: str = "query_id", text: str = "query_text",
+          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The form number and the section that a query names, and what forms they have.
+
+    Forms are counted by section before queries meet them.
     """
     q = strip(F.col(text))
-    named = F.regexp_extract(q, FORM_NUMBER, 1)
+    number = F.regexp_extract(q, FORM_NUMBER, 1)
     bare = F.when(q.rlike(r"^\d+$"), q)
-    asked = queries.select(query, text, q.alias("_q"), F.coalesce(F.nullif(named, F.lit("")), bare).alias("_number"),
+    asked = queries.select(query, text, q.alias("_q"), F.coalesce(F.nullif(number, F.lit("")), bare).alias("_number"),
                            F.nullif(strip(F.regexp_extract(q, SECTION, 1)), F.lit("")).alias("_section"))
     asked = asked.withColumn("_number", F.regexp_replace("_number", r"^0+(?=\d)", ""))
     numbers = forms.select(F.col("form_number").cast("string").alias("_number"), F.col("form_number").alias("_by_number"))
     out = join_bounded(asked, numbers.distinct(), ["_number"], "left", max_rows=broadcast_rows)
+    sections = section_keys(forms).groupBy("key").agg(F.count(F.lit(1)).alias("_n_section"), F.min("form_number").alias("_by_section"))
+    out = out.withColumn("key", F.when(F.col("_number").isNull(), normalize_section(F.col("_section"))))
+    return join_bounded(out, sections, ["key"], "left", max_rows=broadcast_rows).drop("key")
+
+
+def lookup(queries: DataFrame, forms: DataFrame, query: str = "query_id", text: str = "query_text",
+           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Status, form and candidates of every query.
 
-    open_section = out.where(F.col("_number").isNull() & F.col("_section").isNotNull())
-    by_section = forms_by_section(open_section.select(query, F.col("_section").alias("section")), forms,
-                                  broadcast_rows=broadcast_rows)
-    sections = by_section.groupBy(query).agg(
-        F.count(F.lit(1)).alias("_n_section"), F.min("form_number").alias("_by_section"))
-    by_title = forms_by_title(out.where(F.col("_number").isNull()).select(query, "_q"), forms, "_q",
-                              broadcast_rows).select(query, F.col("form_number").alias("_by_title"))
-    out = out.join(sections, query, "left").join(by_title, query, "left")
+    Tried in order: form number, bare number, section, exact title, similar
+    titles.  A number that no form has ends the search; a section without
+    forms does not.
+    """
+    # both are read many times, and a small file is one split
+    forms = reliable_checkpoint(spread(forms.select("form_number", "form_title", "applicable_sections")))
+    queries = reliable_checkpoint(spread(queries.select(query, text)))
+    out = named(queries, forms, query, text, broadcast_rows)
+    titles = forms.groupBy(normalize_key(F.col("form_title")).alias("_key")).agg(F.max("form_number").alias("_by_title"))
+    out = out.withColumn("_key", F.when(F.col("_number").isNull(), normalize_key(F.col("_q"))))
+    # used again by the search for similar titles
+    out = reliable_checkpoint(join_bounded(out, titles, ["_key"], "left", max_rows=broadcast_rows).drop("_key"))
 
     fuzzy_open = F.col("_number").isNull() & F.col("_n_section").isNull() & F.col("_by_title").isNull()
-    ranked = top_k(fuzzy_scores(out.where(fuzzy_open).select(query, "_q"), forms, query, "_q", broadcast_rows), [query],
-                   [F.round("match_score", 12).desc(), F.col("form_number").asc()], MAX_CANDIDATES)
+    ranked = similar_titles(out.where(fuzzy_open).select(query, "_q"), forms, MAX_CANDIDATES, query, "_q", broadcast_rows)
     best = ranked.groupBy(query).agg(
         F.max(F.when(F.col("rank") == 1, F.col("match_score"))).alias("_s1"),
         F.max(F.when(F.col("rank") == 2, F.col("match_score"))).alias("_s2"),
@@ -222,8 +285,14 @@ def lookup(queries: DataFrame, forms: DataFrame, query: str = "query_id", text:
 
 def section_candidates(queries: DataFrame, forms: DataFrame, looked_up: DataFrame, query: str = "query_id",
                        text: str = "query_text") -> DataFrame:
-    """The forms behind an ambiguous section, as rows: a section may have any number of forms."""
-    wide = looked_up.where((F.col("step") == "section") & (F.col("status") == "AMBIGUOUS")).select(query)
+    """The forms behind an ambiguous section, as rows: a section may have any number of forms.
+
+    ``looked_up``: rows of ``lookup``, or of ``named``, which is all that it takes.
+    """
+    if "step" in looked_up.columns:
+        wide = looked_up.where((F.col("step") == "section") & (F.col("status") == "AMBIGUOUS")).select(query)
+    else:
+        wide = looked_up.where(F.col("_number").isNull() & (F.col("_n_section") > 1)).select(query)
     asked = queries.join(wide, query, "left_semi").select(
         query, F.regexp_extract(strip(F.col(text)), SECTION, 1).alias("section"))
     return forms_by_section(asked, forms).select(query, "form_number")

@@ -59,3 +59,20 @@ def test_common_words_meet_few_pairs(spark):
     assert needed == 2
     joined = frame.groupBy().agg(F.count(F.lit(1)).alias("n"))
     assert joined.first().n <= 5 * 300
+
+
+def test_first_titles_against_all_pairs(spark, monkeypatch):
+    """The first five of each query, also where words are listed up to two only and the rest takes the other way."""
+    for seed, bound, most in ((1, 200_000, 32), (2, 3, 32), (3, 200_000, 3)):
+        monkeypatch.setattr(M, "PAIR_WORDS", most)
+        queries, forms = drawn(seed)
+        forms += [(2000 + i, t) for i, (_, t) in enumerate(forms[:80])]
+        found = M.similar_titles(spark.createDataFrame(queries, "query_id long, query_text string"),
+                                 spark.createDataFrame(forms, "form_number int, form_title string"), broadcast_rows=bound).collect()
+        want = {}
+        for (q, f), s in plain(queries, forms).items():
+            want.setdefault(q, []).append((-s, f))
+        got = {}
+        for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((-round(r.match_score, 9), r.form_number))
+        assert got == {q: sorted(rows)[:5] for q, rows in want.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.operators import lexical as L
 from lexquarry.operators.exact import exact_lookup, with_intent
+from lexquarry.operators.forms import lookup
 
 
 def joined_rows(frame):
@@ -76,3 +77,17 @@ def test_products_of_a_task_are_bounded(monkeypatch):
     tracemalloc.stop()
     assert peak < 4_000_000
     assert len(out) == 2 * queries and {r["doc"] for r in out} == {0, 1} and all(abs(r["score"] - terms) < 1e-9 for r in out)
+
+
+def test_a_section_of_many_forms_is_counted_once(spark):
+    """200 forms of one section and of one title word, 200 queries for each: no join meets all of their pairs."""
+    forms = spark.range(200).select(
+        F.col("id").cast("int").alias("form_number"), F.concat(F.lit("bond "), F.concat(F.lit("t"), F.col("id"))).alias("form_title"),
+        F.array(F.lit("7")).alias("applicable_sections"))
+    asked = spark.range(400).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "under section 7").otherwise("a bond").alias("query_text"))
+    found = lookup(asked, forms)
+    assert joined_rows(found) <= 4000
+    rows = found.collect()
+    assert {(r.query_id % 2, r.step, r.status, r.n_section_forms) for r in rows} == {
+        (0, "section", "AMBIGUOUS", 200), (1, "similar", "AMBIGUOUS", None)} and len(rows) == 400
+    assert all(r.similar_forms == [0, 1, 2, 3, 4] for r in rows if r.query_id % 2)
