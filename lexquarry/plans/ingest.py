@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexquarry.config import EngineConfig
+from lexquarry.functions.binding import computed
 from lexquarry.functions.chunking import embedding_text
 from lexquarry.functions.ids import chunk_point_id, user_point_id
 from lexquarry.functions.refs import cross_references
@@ -26,7 +27,7 @@ def parse_corpus(
     config: EngineConfig = EngineConfig(),
 ) -> tuple[DataFrame, DataFrame]:
     """(sections, passages) of an act: clean lines to sections, sections and schedule rows to passages."""
-    clean = lines.where(~is_boilerplate(F.col("text")) & ~is_act_footnote(F.col("text")))
+    clean = computed(lines, text=F.col("text")).where(~is_boilerplate(F.col("text")) & ~is_act_footnote(F.col("text")))
     sections = detect_sections(clean, group, config.max_section, titles).withColumns({
         "act": act, "act_short": F.lit(act_short), "references": cross_references(F.col("raw_text"), act_short)})
     passages = chunk_sections(sections, group, config.section_max_chars)

@@ -163,3 +163,25 @@ def test_files_are_checked_before_the_reader(spark):
     assert sorted((r.path, r.page_number, r.problem) for r in ranged) == [("good", 2, None), ("good", 3, None), ("talk", 0, "NO_PAGES")]
     with pytest.raises(ValueError):
         extract_pages(files, reader, pages=(3, 2))
+
+
+def counted_lines(spark, texts):
+    """Lines whose text is made by a function that counts its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(text):
+        calls.add(1)
+        return text
+
+    rows = [("a", i // 5, i % 5, text) for i, text in enumerate(texts)]
+    return spark.createDataFrame(rows, "act_key string, page int, line_no int, text string").withColumn("text", made("text")), calls
+
+
+def test_lines_are_computed_twice(spark):
+    """Once for the totals of the pages and once for the rows, however often the text is tested and read."""
+    texts = [f"{i % 7 + 1}. The text {i}" if i % 2 else f"{i + 1} (2) Theft {i} Imprisonment for life." for i in range(40)]
+    for build in (lambda rows: S.detect_sections(rows, ["act_key"]), lambda rows: schedule_entries(rows, ["act_key"])):
+        lines, calls = counted_lines(spark, texts)
+        assert build(lines).collect()
+        assert calls.value <= 2 * len(texts)
