@@ -91,3 +91,31 @@ def test_a_section_of_many_forms_is_counted_once(spark):
     assert {(r.query_id % 2, r.step, r.status, r.n_section_forms) for r in rows} == {
         (0, "section", "AMBIGUOUS", 200), (1, "similar", "AMBIGUOUS", None)} and len(rows) == 400
     assert all(r.similar_forms == [0, 1, 2, 3, 4] for r in rows if r.query_id % 2)
+
+
+def test_texts_are_cut_twice(spark):
+    """Once for the statistics and once for the scores."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(text):
+        calls.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"word{i % 5} common other{i}") for i in range(30)], "doc long, text string").withColumn("text", made("text"))
+    queries = spark.createDataFrame([(1, "word1 common"), (2, "other7")], "query long, asked string")
+    assert L.bm25_search(docs, queries, "doc", "text", "query", "asked", 3).count() == 4
+    assert calls.value <= 2 * 30
+
+
+def test_joined_search_splits_heavy_terms(spark, monkeypatch):
+    """Terms of many products are met in parts; scores are those of the broadcast path."""
+    docs = spark.createDataFrame([(i, f"word{i % 5} common " * (i % 3 + 1)) for i in range(40)], "doc long, text string")
+    queries = spark.createDataFrame([(i, f"word{i % 5} common none") for i in range(20)], "query long, asked string")
+
+    def scores(bound):
+        rows = L.bm25_scores(docs, queries, "doc", "text", "query", "asked", broadcast_rows=bound).collect()
+        return {(r["query"], r["doc"]): (round(r.score, 9), r.matches) for r in rows}
+
+    monkeypatch.setattr(L, "PAIR_ROWS", 50)
+    assert scores(1) == scores(1_000) and len(scores(1)) == 800
