@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from lexquarry.config import EngineConfig
 from lexquarry.models.generation import FirstItemProvider, Provider
 from lexquarry.operators.evaluation import first_hits, generation_metrics, ranking_metrics, refusal_rates
+from lexquarry.functions.text import statute_tokens
+from lexquarry.operators.lexical import corpus_counts
 from lexquarry.plans.answering import answer
 from lexquarry.plans.retrieval import Corpus, retrieve
 
@@ -20,6 +24,9 @@ def _exploded(results: DataFrame, name: str) -> DataFrame:
 def compare(golden: DataFrame, queries: DataFrame, corpus: Corpus, modes: list[str], config: EngineConfig, **search) -> DataFrame:
     """Recall, MRR and refusal rates of every mode; ``top_k`` of the config should reach 10."""
     hits, judged = None, None
+    if corpus.index is None and corpus.counts is None and {*modes} - {"dense"}:
+        # the modes share the statistics
+        corpus = replace(corpus, counts=corpus_counts(corpus.passages, "chunk_id", "index_text", search.get("tokenizer", statute_tokens)))
     inside = golden.where(~F.col("should_refuse"))
     for mode in modes:
         results = retrieve(queries, corpus, mode, config, **search)
