@@ -61,6 +61,20 @@ def test_common_words_meet_few_pairs(spark):
     assert joined.first().n <= 5 * 300
 
 
+def test_pairs_of_a_common_word_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Each query shares one word with each title, and that word is all that they share."""
+    monkeypatch.setattr(M, "CELL_PAIRS", 4000, raising=False)
+    monkeypatch.setattr(M, "CELL_TITLES", 90, raising=False)
+    forms = [(i, "court") for i in range(250)]
+    queries = [(i, f"court x{i % 2}") for i in range(200)]
+    found = M.fuzzy_scores(spark.createDataFrame(queries, "query_id long, query_text string"),
+                           spark.createDataFrame(forms, "form_number int, form_title string"), broadcast_rows=3)
+    rows = found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in rows) == found.distinct().count() == 250 * 200
+    assert max(r.n for r in rows) <= 250 * 200 / 2
+    assert {round(r.match_score, 9) for r in found.collect()} == {round(0.6 * 0.5 + 0.4 * 2 / 3, 9)}
+
+
 def test_first_titles_against_all_pairs(spark, monkeypatch):
     """The first five of each query, also where words are listed up to two only and the rest takes the other way."""
     for seed, bound, most in ((1, 200_000, 32), (2, 3, 32), (3, 200_000, 3)):
