@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexquarry.operators.lexical import Bm25
-from lexquarry.operators.pruned import RANGE_DOCS, block_terms, layout, posting_blocks, write_blocks
+from lexquarry.operators.pruned import RANGE_DOCS, block_terms, cut_blocks, layout, posting_blocks, write_blocks
 from lexquarry.operators.tenancy import latest
 
 LAYOUT = ["chunk_type", "act_short"]
@@ -56,12 +56,16 @@ def compact(spark: SparkSession, store: str, target: str, key: list[str], layout
 def save_index(index: dict[str, DataFrame], folder: str, doc: str, params: Bm25 = Bm25(), range_docs: int = RANGE_DOCS) -> None:
     """Write index tables of ``lexical.build_index`` for searches that skip blocks.
 
-    The corpus row is written first, as blocks depend on the average length; terms are counted from the blocks that were written.
+    Texts are cut once, for the rows of ``cut``.  The corpus row comes from them and is written before the blocks, as they depend on
+    the average length; terms are counted from the blocks that were written.
     """
-    spark = index["postings"].sparkSession
-    layout(index["corpus"], params, range_docs).coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus")
+    spark = index["tokens"].sparkSession
+    cut = cut_blocks(index["tokens"], doc, range_docs)
+    cut.write.mode("overwrite").parquet(f"{folder}/cut")
+    cut = spark.read.schema(cut.schema).parquet(f"{folder}/cut")
+    layout(cut, params).coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus")
     corpus = spark.read.parquet(f"{folder}/corpus")
-    blocks = posting_blocks(index["postings"], corpus, doc, params)
+    blocks = posting_blocks(cut, corpus, params)
     # keeps the columns of an index without a posting
     spark.createDataFrame([], blocks.schema).write.mode("overwrite").parquet(f"{folder}/columns")
     write_blocks(blocks, f"{folder}/blocks")
