@@ -1,8 +1,10 @@
-"""A keyed table in buckets: an upsert or a delete rewrites the buckets it touches, and readers swap at once.
+"""A keyed table in buckets: an upsert rewrites the small buckets it touches and adds to the large ones, and readers swap at once.
 
 A row lies in the bucket of a hash of its key.  The folder of a version holds the buckets that version rewrote, and the manifest of a
 version names, for every bucket, the folder that holds it.  A reader takes the newest manifest and reads the folders it
-names; those of a version in the making are named by none.  A manifest is written under a name that must not exist yet, so of two
+names; those of a version in the making are named by none.  A delete writes the keys that are gone beside the rows, and so does an
+upsert of a large bucket for keys that it had: a reader leaves out rows of older versions with those keys.  A bucket of ``MOST_LAYERS``
+such additions is rewritten.  A manifest is written under a name that must not exist yet, so of two
 writers that start from the same version one fails and nothing is lost.  Writing the same rows again rewrites their buckets with the same
 rows.  ``vacuum`` removes what no kept manifest names.
 
@@ -13,7 +15,7 @@ without such columns any one; a delete of keys that are not there changes nothin
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from uuid import uuid4
 
@@ -24,11 +26,15 @@ from lexquarry.sizing import fits
 
 BUCKETS = 256
 BROADCAST_KEYS = 200_000
+#: Bytes beyond which a bucket is added to, and additions after which it is rewritten.
+APPEND_BYTES, MOST_LAYERS = 4 << 20, 8
+#: What the folder of the keys that a version took out adds to the name of its rows.
+GONE = "-gone"
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """Version number, key, buckets, and the folder that holds each bucket that has rows."""
+    """Version number, key, buckets, the folder that holds each bucket that has rows, and the folders that were added to it since."""
 
     version: int
     key: list[str]
@@ -36,6 +42,7 @@ class Manifest:
     held: dict[int, str]
     schema: str
     layout: list[str]
+    layers: dict[int, list[str]] = field(default_factory=dict)
 
 
 def _path(spark: SparkSession, path: str):
@@ -63,7 +70,8 @@ def manifest(spark: SparkSession, store: str, version: int | None = None) -> Man
     finally:
         stream.close()
     raw = json.loads(text)
-    return Manifest(raw["version"], raw["key"], raw["buckets"], {int(b): v for b, v in raw["held"].items()}, raw["schema"], raw["layout"])
+    return Manifest(raw["version"], raw["key"], raw["buckets"], {int(b): v for b, v in raw["held"].items()}, raw["schema"], raw["layout"],
+                    {int(b): v for b, v in raw.get("layers", {}).items()})
 
 
 def _commit(spark: SparkSession, store: str, new: Manifest) -> None:
@@ -86,11 +94,22 @@ def read(spark: SparkSession, store: str, only: list[int] | None = None, version
     if now is None:
         raise FileNotFoundError(f"no table at {store}")
     schema = spark.createDataFrame([], now.schema).schema
-    wanted = {b: v for b, v in now.held.items() if only is None or b in set(only)}
-    paths: dict[str, list[str]] = {}
-    for b, v in sorted(wanted.items()):
-        paths.setdefault(v, []).append(f"{store}/data/{v}/bucket={b}")
-    parts = [spark.read.schema(schema).option("basePath", f"{store}/data/{v}").parquet(*p).select(*schema.fieldNames()) for v, p in paths.items()]
+    rows: dict[str, list[int]] = {}
+    gone: dict[str, list[int]] = {}
+    for b in sorted(b for b in now.held if only is None or b in set(only)):
+        for v in [now.held[b], *now.layers.get(b, [])]:
+            (gone if v.endswith(GONE) else rows).setdefault(v, []).append(b)
+
+    def stored(folder: str, buckets: list[int], columns: list[str]) -> DataFrame:
+        paths = [f"{store}/data/{folder}/bucket={b}" for b in buckets]
+        fields = spark.createDataFrame([], schema).select(*columns).schema
+        return spark.read.schema(fields).option("basePath", f"{store}/data/{folder}").parquet(*paths).select(*columns)
+
+    parts = []
+    for v, held in rows.items():
+        part = stored(v, held, schema.fieldNames())
+        later = [stored(g, sorted({*of} & {*held}), now.key) for g, of in gone.items() if g.split("-")[0] > v.split("-")[0] and {*of} & {*held}]
+        parts.append(_matching(part, reduce(DataFrame.unionByName, later), now.key, "left_anti") if later else part)
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -108,22 +127,57 @@ def _matching(rows: DataFrame, keys: DataFrame, key: list[str], how: str) -> Dat
     return rows.join(F.broadcast(wanted) if fits(wanted, BROADCAST_KEYS) else wanted, reduce(lambda a, b: a & b, same), how)
 
 
-def _write(spark: SparkSession, store: str, now: Manifest, rows: DataFrame, touched: list[int]) -> Manifest:
-    """Write the touched buckets as a new version and publish it."""
-    version = now.version + 1
+def _filled(spark: SparkSession, target: str) -> set[int]:
+    fs, p = _path(spark, target)
+    return {int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
+
+
+def _fresh(now: Manifest) -> str:
     # a name of its own: another writer of this version writes elsewhere
-    folder = f"{version:010d}-{uuid4().hex}"
+    return f"{now.version + 1:010d}-{uuid4().hex}"
+
+
+def _write(spark: SparkSession, store: str, now: Manifest, rows: DataFrame, touched: list[int], order: list[str] | None = None,
+           added: list[int] = (), taken: list[int] = (), folder: str | None = None) -> Manifest:
+    """Write the touched buckets as a new version and publish it; ``order`` names what tells rows of one key apart.
+
+    Rows are laid over the buckets of ``added``, whose keys of ``taken`` were written already to the folder of what is gone.  Rows are
+    shuffled once, by bucket and a part of it, and meet those of their key there.
+    """
+    folder = folder or _fresh(now)
     target = f"{store}/data/{folder}"
-    placed = rows.withColumn("bucket", bucket_of(now.key, now.buckets))
-    placed.repartition("bucket").write.partitionBy("bucket", *now.layout).parquet(target)
-    fs, p = _path(spark, target)
-    filled = {int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
-    held = {b: v for b, v in now.held.items() if b not in set(touched)} | {b: folder for b in filled}
-    new = Manifest(version, now.key, now.buckets, held, now.schema, now.layout)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(len(touched), 1))
+    placed = rows.withColumns({"bucket": bucket_of(now.key, now.buckets), "_part": F.pmod(F.hash(*now.key), F.lit(parts))})
+    placed = placed.repartition("bucket", "_part")
+    if order:
+        placed = latest(placed, ["bucket", "_part", *now.key], order).drop(*order)
+    placed.drop("_part").write.partitionBy("bucket", *now.layout).parquet(target)
+    filled = _filled(spark, target)
+    anew = set(touched) - set(added)
+    held = {b: v for b, v in now.held.items() if b not in anew} | {b: folder for b in filled & anew}
+    layers = {b: v for b, v in now.layers.items() if b not in anew}
+    for b in sorted({*added} & filled):
+        layers[b] = [*layers.get(b, []), *([folder + GONE] if b in taken else []), folder]
+    new = replace(now, version=now.version + 1, held=held, layers=layers)
     _commit(spark, store, new)
     return new
 
 
+def _take(spark: SparkSession, store: str, now: Manifest, keys: DataFrame, folder: str) -> list[int]:
+    """Write keys that are gone beside the rows of ``folder``; returns their buckets."""
+    placed = keys.select(*now.key).withColumn("bucket", bucket_of(now.key, now.buckets)).where(F.col("bucket").isin(sorted(now.held)))
+    placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{store}/data/{folder}{GONE}")
+    return sorted(_filled(spark, f"{store}/data/{folder}{GONE}"))
+
+
+def _bytes(spark: SparkSession, store: str, now: Manifest, bucket: int) -> int:
+    total = 0
+    for v in [now.held[bucket], *now.layers.get(bucket, [])]:
+        fs, p = _path(spark, f"{store}/data/{v}/bucket={bucket}")
+        total += fs.getContentSummary(p).getLength()
+    return total
+
+
 def _start(spark: SparkSession, store: str, incoming: DataFrame, key: list[str] | None, buckets: int, layout: list[str]) -> Manifest:
     now = manifest(spark, store)
     if now is not None:
@@ -138,30 +192,38 @@ def upsert(incoming: DataFrame, store: str, key: list[str] | None = None, versio
            layout: list[str] | None = None) -> Manifest:
     """Lay rows over those with the same key.  The first call makes the table, with its key, buckets and folders within a bucket.
 
-    Only buckets of incoming keys are read and written.  Incoming rows win over stored ones unless ``version`` columns say otherwise.
+    Only buckets of incoming keys are read and written; of a bucket beyond ``APPEND_BYTES`` only the keys, unless ``version`` is given.
+    Incoming rows win over stored ones unless ``version`` columns say otherwise.
     """
     spark = incoming.sparkSession
     now = _start(spark, store, incoming, key, buckets, layout or [])
     touched = sorted(r[0] for r in incoming.select(bucket_of(now.key, now.buckets)).distinct().collect())
-    columns = incoming.columns
     new = incoming.withColumn("_new", F.lit(1))
     old = [b for b in touched if b in now.held]
+    added = [] if version else [b for b in old if len(now.layers.get(b, [])) < MOST_LAYERS and _bytes(spark, store, now, b) > APPEND_BYTES]
+    folder, taken = _fresh(now), []
+    if added:
+        known = read(spark, store, added, now.version).select(*now.key)
+        again = _matching(known, incoming.where(bucket_of(now.key, now.buckets).isin(added)), now.key, "left_semi")
+        taken = _take(spark, store, now, again, folder)
+    old = [b for b in old if b not in added]
     if old:
         new = new.unionByName(read(spark, store, old, now.version).withColumn("_new", F.lit(0)))
-    order = [*(version or []), "_new"]
-    return _write(spark, store, now, latest(new, now.key, order).select(*columns), touched)
+    if not version:
+        return _write(spark, store, now, new, touched, ["_new"], added, taken, folder)
+    return _write(spark, store, now, latest(new, now.key, [*version, "_new"]).drop("_new"), touched)
 
 
 def delete(doomed: DataFrame, store: str) -> Manifest:
-    """Remove the rows with the keys of ``doomed``; only their buckets are read and written."""
+    """Remove the rows with the keys of ``doomed``: the keys are written, and buckets with many such additions are rewritten."""
     spark = doomed.sparkSession
     now = manifest(spark, store)
-    keys = doomed.select(*now.key).distinct()
-    touched = sorted(r[0] for r in keys.select(bucket_of(now.key, now.buckets)).distinct().collect())
-    old = [b for b in touched if b in now.held]
-    rows = read(spark, store, old, now.version)
-    left = _matching(rows, keys, now.key, "left_anti")
-    return _write(spark, store, now, left, old)
+    folder = _fresh(now)
+    taken = _take(spark, store, now, doomed.select(*now.key).distinct(), folder)
+    new = replace(now, version=now.version + 1, layers=now.layers | {b: [*now.layers.get(b, []), folder + GONE] for b in taken})
+    _commit(spark, store, new)
+    full = [b for b in taken if len(new.layers[b]) > MOST_LAYERS]
+    return _write(spark, store, new, read(spark, store, full, new.version), full) if full else new
 
 
 def vacuum(spark: SparkSession, store: str, keep: int = 1) -> list[int]:
@@ -170,7 +232,8 @@ def vacuum(spark: SparkSession, store: str, keep: int = 1) -> list[int]:
     if not known:
         return []
     kept, gone = known[-keep:], known[:-keep]
-    named = {v for k in kept for v in manifest(spark, store, k).held.values()}
+    manifests = [manifest(spark, store, k) for k in kept]
+    named = {v for m in manifests for v in [*m.held.values(), *(v for layers in m.layers.values() for v in layers)]}
     removed = []
     for v in gone:
         fs, p = _path(spark, f"{store}/manifests/{v:010d}.json")

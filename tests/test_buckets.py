@@ -80,3 +80,41 @@ def test_a_second_writer_fails_and_readers_keep_their_version(spark, tmp_path, m
     assert buckets.read(spark, store).count() == 20 and buckets.manifest(spark, store, 0) is None
     buckets.delete(spark.range(20), store)
     assert buckets.read(spark, store).count() == 0
+
+
+def size_of(folder):
+    return sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+
+
+def test_large_buckets_are_added_to_and_rewritten_in_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "APPEND_BYTES", 0, raising=False)
+    monkeypatch.setattr(buckets, "MOST_LAYERS", 3, raising=False)
+    store, draw, want, deepest = str(tmp_path / "t"), random.Random(2), {}, 0
+    for step in range(8):
+        if step in (2, 5):
+            gone = [(k,) for k in draw.sample(sorted(want, key=repr), 12)] + [("not there",)]
+            now = buckets.delete(spark.createDataFrame(gone, "k string"), store)
+            for (k,) in gone:
+                want.pop(k, None)
+        else:
+            rows = [(k, draw.choice("xy"), draw.randint(0, 9), f"{step}") for k in draw.sample([None, *(f"k{i}" for i in range(40))], 15)]
+            now = buckets.upsert(spark.createDataFrame(rows, SCHEMA), store, ["k"], buckets=2, layout=["part"])
+            want |= {r[0]: r for r in rows}
+        deepest = max(deepest, *map(len, now.layers.values()), 0) if now.layers else deepest
+        assert rows_of(buckets.read(spark, store)) == sorted(want.values(), key=repr)
+    assert 0 < deepest <= 5
+    assert len(buckets.vacuum(spark, store)) > 0
+    assert rows_of(buckets.read(spark, store)) == sorted(want.values(), key=repr)
+
+
+def test_a_delete_and_a_small_upsert_write_little(spark, tmp_path, monkeypatch):
+    """Every bucket is touched, and none of its other rows is written again."""
+    monkeypatch.setattr(buckets, "APPEND_BYTES", 10_000, raising=False)
+    store = str(tmp_path / "t")
+    buckets.upsert(spark.range(20000).selectExpr("id", "sha2(string(id), 512) as v"), store, ["id"], buckets=4)
+    whole = size_of(store)
+    buckets.delete(spark.range(0, 20000, 100), store)
+    buckets.upsert(spark.range(20000, 20200).selectExpr("id", "'new' as v"), store)
+    assert size_of(store) < 1.1 * whole
+    left = buckets.read(spark, store)
+    assert left.count() == 20000 and left.where("id % 100 = 0 and id < 20000").isEmpty() and left.where("v = 'new'").count() == 200
