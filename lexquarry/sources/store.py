@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lexquarry.operators.lexical import Bm25
-from lexquarry.operators.pruned import RANGE_DOCS, block_terms, cut_blocks, layout, posting_blocks, write_blocks
+from lexquarry.operators.pruned import RANGE_DOCS, block_terms, layout, packed_blocks, posting_blocks, unpacked, write_blocks
 from lexquarry.operators.tenancy import latest
 
 LAYOUT = ["chunk_type", "act_short"]
@@ -56,25 +56,29 @@ def compact(spark: SparkSession, store: str, target: str, key: list[str], layout
 def save_index(index: dict[str, DataFrame], folder: str, doc: str, params: Bm25 = Bm25(), range_docs: int = RANGE_DOCS) -> None:
     """Write index tables of ``lexical.build_index`` for searches that skip blocks.
 
-    Texts are cut once, for the rows of ``cut``.  The corpus row comes from them and is written before the blocks, as they depend on
+    Texts are cut once, for the rows of ``cut``; postings are stored packed.  The corpus row comes from them and is written before the blocks, as they depend on
     the average length; terms are counted from the blocks that were written.
     """
     spark = index["tokens"].sparkSession
-    cut = cut_blocks(index["tokens"], doc, range_docs)
+    kind = index["tokens"].schema[doc].dataType
+    cut = packed_blocks(index["tokens"], doc, range_docs)
     cut.write.mode("overwrite").parquet(f"{folder}/cut")
     cut = spark.read.schema(cut.schema).parquet(f"{folder}/cut")
     layout(cut, params).coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus")
     corpus = spark.read.parquet(f"{folder}/corpus")
     blocks = posting_blocks(cut, corpus, params)
     # keeps the columns of an index without a posting
-    spark.createDataFrame([], blocks.schema).write.mode("overwrite").parquet(f"{folder}/columns")
+    spark.createDataFrame([], T.StructType([*blocks.schema, T.StructField("id", kind)])).write.mode("overwrite").parquet(f"{folder}/columns")
     write_blocks(blocks, f"{folder}/blocks")
     terms = block_terms(_blocks(spark, folder), corpus, params)
     terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
 
 
 def _blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(spark.read.parquet(f"{folder}/columns").schema).parquet(f"{folder}/blocks")
+    """The stored blocks, with lists of their postings for readers that name them."""
+    columns = spark.read.parquet(f"{folder}/columns").schema
+    stored = T.StructType([f for f in columns if f.name != "id"])
+    return unpacked(spark.read.schema(stored).parquet(f"{folder}/blocks"), columns["id"].dataType)
 
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
